@@ -374,3 +374,171 @@ def _nc(spark, d):
     return prof.select("column_name", S.near_constant_col(
         F.col("cls"), F.col("n_rows"), F.col("n_nonnull"), F.col("n_distinct"), F.col("mean"),
         F.col("std_samp")).alias("near_constant"))
+
+
+# =============================================================== preprocessing
+from ..operators import prep as PR  # noqa: E402
+
+
+@register("blank_to_null",
+          f"SELECT event_id, CASE WHEN regexp_matches(event_type, '^\\s*$') THEN NULL ELSE event_type END AS event_type "
+          f"FROM ({DV.EVENTS_BLANK_SQL})")
+def _blank(spark, d):
+    return PR.blank_to_null(DV.events_blank(T(spark, d, "events"))).select("event_id", "event_type")
+
+
+def _impute_sql(stat: str) -> str:
+    src = f"({DV.LINEITEM_NULLS_SQL})"
+    return (f"SELECT l_orderkey, l_linenumber, coalesce(l_quantity, s.q) AS l_quantity, coalesce(l_discount, s.d) AS l_discount "
+            f"FROM {src}, (SELECT {stat.format('l_quantity')} AS q, {stat.format('l_discount')} AS d FROM {src}) s")
+
+
+@register("impute_median", _impute_sql("quantile_cont({}, 0.5)"))
+def _imp_med(spark, d):
+    df = DV.lineitem_nulls(T(spark, d, "lineitem"))
+    pre = PR.Preprocessor(numeric_strategy="median", scaler_type="standard").fit(df.select("l_quantity", "l_discount"))
+    return df.select("l_orderkey", "l_linenumber",
+                     *[F.coalesce(F.col(c), F.lit(pre.num_fill[c])).alias(c) for c in ["l_quantity", "l_discount"]])
+
+
+@register("impute_mean", _impute_sql("avg({})").replace("coalesce(l_quantity, s.q)", "round(coalesce(l_quantity, s.q), 6)")
+          .replace("coalesce(l_discount, s.d)", "round(coalesce(l_discount, s.d), 6)"))
+def _imp_mean(spark, d):
+    df = DV.lineitem_nulls(T(spark, d, "lineitem"))
+    pre = PR.Preprocessor(numeric_strategy="mean").fit(df.select("l_quantity", "l_discount"))
+    return df.select("l_orderkey", "l_linenumber",
+                     *[F.round(F.coalesce(F.col(c), F.lit(pre.num_fill[c])), R).alias(c) for c in ["l_quantity", "l_discount"]])
+
+
+@register("impute_mode",
+          f"SELECT l_orderkey, l_linenumber, coalesce(l_returnflag, (SELECT v FROM (SELECT l_returnflag AS v, count(*) AS n "
+          f"FROM ({DV.LINEITEM_NULLS_SQL}) WHERE l_returnflag IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)) AS l_returnflag "
+          f"FROM ({DV.LINEITEM_NULLS_SQL})")
+def _imp_mode(spark, d):
+    df = DV.lineitem_nulls(T(spark, d, "lineitem"))
+    pre = PR.Preprocessor().fit(df.select("l_returnflag"))
+    return df.select("l_orderkey", "l_linenumber", F.coalesce("l_returnflag", F.lit(pre.cat_fill["l_returnflag"])).alias("l_returnflag"))
+
+
+_SCALE_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("scale_standard",
+          "SELECT l_orderkey, l_linenumber, " + ", ".join(
+              f"round(({c} - (SELECT avg({c}) FROM lineitem)) / coalesce(nullif((SELECT stddev_pop({c}) FROM lineitem), 0), 1), {R}) AS {c}"
+              for c in _SCALE_COLS) + " FROM lineitem")
+def _scale_std(spark, d):
+    df = T(spark, d, "lineitem")
+    pre = PR.Preprocessor(scaler_type="standard").fit(df.select(*_SCALE_COLS))
+    return pre.transform(df, keep=["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", "l_linenumber", *[F.round(c, R).alias(c) for c in _SCALE_COLS])
+
+
+@register("scale_minmax",
+          "SELECT l_orderkey, l_linenumber, " + ", ".join(
+              f"round(({c} - (SELECT min({c}) FROM lineitem)) / coalesce(nullif((SELECT max({c}) - min({c}) FROM lineitem), 0), 1), {R}) AS {c}"
+              for c in _SCALE_COLS) + " FROM lineitem")
+def _scale_mm(spark, d):
+    df = T(spark, d, "lineitem")
+    pre = PR.Preprocessor(scaler_type="minmax").fit(df.select(*_SCALE_COLS))
+    return pre.transform(df, keep=["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", "l_linenumber", *[F.round(c, R).alias(c) for c in _SCALE_COLS])
+
+
+@register("one_hot",
+          "SELECT p_partkey, 'p_brand_' || p_brand AS feature, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS feature_index FROM part")
+def _one_hot(spark, d):
+    df = T(spark, d, "part")
+    pre = PR.Preprocessor().fit(df.select("p_brand"))
+    names = pre.feature_names()
+    wide = pre.transform(df, keep=["p_partkey"])
+    hot = F.array_position(F.array(*[F.col(f"`{n}`") for n in names]), 1.0).cast("int") - 1
+    return wide.select("p_partkey", F.element_at(F.array(*[F.lit(n) for n in names]), hot + 1).alias("feature"),
+                       hot.alias("feature_index"))
+
+
+@register("feature_names",
+          "SELECT 0 AS position, 'p_size' AS feature UNION ALL SELECT 1, 'p_retailprice' UNION ALL "
+          "SELECT CAST(1 + dense_rank() OVER (ORDER BY p_brand) AS INTEGER), 'p_brand_' || p_brand FROM (SELECT DISTINCT p_brand FROM part)")
+def _feat_names(spark, d):
+    df = T(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
+    pre = PR.Preprocessor().fit(df)
+    # F8 as a table derived from the fitted levels: (position, feature)
+    levels = PR.frequency_table(df.select("p_brand"), ["p_brand"]).select("value").distinct()
+    num = spark.createDataFrame([(i, c) for i, c in enumerate(pre.numeric_features)], "position int, feature string")
+    cat = levels.select((F.dense_rank().over(PR_window_value()) + len(pre.numeric_features) - 1).cast("int").alias("position"),
+                        F.concat(F.lit("p_brand_"), F.col("value")).alias("feature"))
+    return num.unionByName(cat)
+
+
+def PR_window_value():
+    from pyspark.sql import Window
+    return Window.orderBy("value")
+
+
+@register("dedupe_rows", f"SELECT DISTINCT * FROM ({DV.LINEITEM_DUPS_SQL})")
+def _dedupe(spark, d):
+    return PR.dedupe_rows(DV.lineitem_dups(T(spark, d, "lineitem")))
+
+
+def _prep_table_sql() -> str:
+    base = "SELECT DISTINCT p_brand, p_size, p_retailprice FROM part"
+    num = []
+    for c in ["p_size", "p_retailprice"]:
+        num.append(f"SELECT p_brand, p_size, p_retailprice, '{c}' AS feature, "
+                   f"round((CAST({c} AS DOUBLE) - s.m_{c}) / coalesce(nullif(s.s_{c}, 0), 1), {R}) AS value FROM b, s")
+    stats = ("SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
+                                   for c in ["p_size", "p_retailprice"]) + " FROM b")
+    cat = ("SELECT b.p_brand, b.p_size, b.p_retailprice, 'p_brand_' || l.v AS feature, "
+           "CASE WHEN b.p_brand = l.v THEN 1.0 ELSE 0.0 END AS value FROM b, (SELECT DISTINCT p_brand AS v FROM b) l")
+    return f"WITH b AS ({base}), s AS ({stats}) " + " UNION ALL ".join(num + [cat])
+
+
+@register("preprocess_table", _prep_table_sql())
+def _prep_table(spark, d):
+    # M1/M2 on part's usable columns: dedupe → impute → scale → one-hot, long form per (row, feature)
+    df = T(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
+    prepared = PR.preprocess(df)
+    names = prepared.feature_names
+    keys = ["p_brand", "p_size", "p_retailprice"]
+    base = prepared.base.select("*", *[F.col(k).alias(f"key_{k}") for k in keys])
+    wide = prepared.preprocessor.transform(base, keep=[f"key_{k}" for k in keys])
+    longf = wide.select(*[F.col(f"key_{k}").alias(k) for k in keys], F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in names])))
+    return longf.select(*keys, "feature", F.round("value", R).alias("value"))
+
+
+def _pca_sql() -> str:
+    return (
+        "WITH s AS (SELECT avg(p_size::DOUBLE) AS m0, avg(p_retailprice) AS m1, var_samp(p_size::DOUBLE) AS a, "
+        "covar_samp(p_size::DOUBLE, p_retailprice) AS b, var_samp(p_retailprice) AS c FROM part), "
+        "e AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1, "
+        "(a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l2 FROM s), "
+        "v AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u0, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS u1, "
+        "b / sqrt(b * b + (l2 - a) * (l2 - a)) AS w0, (l2 - a) / sqrt(b * b + (l2 - a) * (l2 - a)) AS w1 FROM e), "
+        "f AS (SELECT *, CASE WHEN (CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) < 0 THEN -1 ELSE 1 END AS su, "
+        "CASE WHEN (CASE WHEN abs(w0) >= abs(w1) THEN w0 ELSE w1 END) < 0 THEN -1 ELSE 1 END AS sw FROM v) "
+        f"SELECT p_partkey, round(su * ((p_size - m0) * u0 + (p_retailprice - m1) * u1), {R}) AS PC1, "
+        f"round(sw * ((p_size - m0) * w0 + (p_retailprice - m1) * w1), {R}) AS PC2 FROM part, f")
+
+
+@register("pca_scatter", _pca_sql())
+def _pca(spark, d):
+    res = PR.pca(T(spark, d, "part"), ["p_size", "p_retailprice"], 2, keep=["p_partkey"])
+    frame, _ = res
+    return frame.select("p_partkey", F.round("PC1", R).alias("PC1"), F.round("PC2", R).alias("PC2"))
+
+
+@register("pca_explained",
+          "WITH s AS (SELECT var_samp(p_size::DOUBLE) AS a, covar_samp(p_size::DOUBLE, p_retailprice) AS b, "
+          "var_samp(p_retailprice) AS c FROM part), e AS (SELECT (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1, "
+          "(a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l2 FROM s) "
+          f"SELECT 'PC1' AS component, round(l1 / (l1 + l2), {R}) AS explained_variance_ratio FROM e "
+          f"UNION ALL SELECT 'PC2', round(l2 / (l1 + l2), {R}) FROM e")
+def _pca_ev(spark, d):
+    res = PR.pca(T(spark, d, "part"), ["p_size", "p_retailprice"], 2, keep=["p_partkey"])
+    frame, ratios = res
+    # C5 side table: explained variance per component, derived from the fitted covariance of the scan
+    return frame.limit(1).select(F.inline(F.array(*[
+        F.struct(F.lit(f"PC{i + 1}").alias("component"), F.round(F.lit(r), R).alias("explained_variance_ratio"))
+        for i, r in enumerate(ratios)])))
