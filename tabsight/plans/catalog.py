@@ -542,3 +542,226 @@ def _pca_ev(spark, d):
     return frame.limit(1).select(F.inline(F.array(*[
         F.struct(F.lit(f"PC{i + 1}").alias("component"), F.round(F.lit(r), R).alias("explained_variance_ratio"))
         for i, r in enumerate(ratios)])))
+
+
+# =============================================================== cluster metrics on fixed labels
+from ..functions import bands as BD  # noqa: E402
+from ..operators import cluster_metrics as CM  # noqa: E402
+from ..operators import dbscan as DB  # noqa: E402
+from ..operators import neighbors as NB  # noqa: E402
+
+_PL = f"({DV.PART_LABELS_SQL})"
+_PP = f"({DV.PART_POINTS_SQL})"
+_XY = ["x0", "x1"]
+
+
+def _labels(spark, d):
+    return DV.part_labels(T(spark, d, "part"))
+
+
+@register("cluster_sizes", f"SELECT cluster, count(*) AS size FROM {_PL} GROUP BY cluster")
+def _csizes(spark, d):
+    return CM.cluster_sizes(_labels(spark, d))
+
+
+@register("cluster_counts",
+          f"SELECT CAST(count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS BIGINT) AS n_clusters, "
+          f"CAST(count(*) FILTER (WHERE cluster = -1) AS BIGINT) AS n_noise, CAST(count(*) AS BIGINT) AS n_rows FROM {_PL}")
+def _ccounts(spark, d):
+    return CM.cluster_counts(_labels(spark, d))
+
+
+@register("cluster_balance",
+          f"SELECT round(avg(size), 6) AS avg_size, min(size) AS min_size, max(size) AS max_size, "
+          f"round(max(size)::DOUBLE / min(size), 6) AS size_ratio FROM (SELECT cluster, count(*) AS size FROM {_PL} GROUP BY cluster)")
+def _cbal(spark, d):
+    return CM.cluster_balance(_labels(spark, d))
+
+
+_CENT_SQL = (f"c AS (SELECT cluster, count(*) AS n, avg(x0) AS c0, avg(x1) AS c1 FROM {_PL} GROUP BY cluster), "
+             f"w AS (SELECT p.cluster, (p.x0 - c.c0) * (p.x0 - c.c0) + (p.x1 - c.c1) * (p.x1 - c.c1) AS d2 "
+             f"FROM {_PL} p JOIN c USING (cluster))")
+
+
+@register("inertia", f"WITH {_CENT_SQL} SELECT round(sum(d2), 6) AS inertia FROM w")
+def _inertia(spark, d):
+    lab = _labels(spark, d)
+    return spark.createDataFrame([(round(CM.within_cluster_ss(lab, _XY), R),)], "inertia double")
+
+
+@register("davies_bouldin",
+          f"WITH {_CENT_SQL}, s AS (SELECT cluster, avg(sqrt(d2)) AS s FROM w GROUP BY cluster), "
+          f"r AS (SELECT a.cluster, max((sa.s + sb.s) / sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1))) AS r "
+          f"FROM c a JOIN c b ON a.cluster <> b.cluster JOIN s sa ON sa.cluster = a.cluster JOIN s sb ON sb.cluster = b.cluster GROUP BY a.cluster) "
+          f"SELECT round(avg(r), 6) AS davies_bouldin FROM r")
+def _db(spark, d):
+    lab = _labels(spark, d)
+    return spark.createDataFrame([(round(CM.davies_bouldin(lab, _XY), R),)], "davies_bouldin double")
+
+
+@register("calinski_harabasz",
+          f"WITH {_CENT_SQL}, g AS (SELECT avg(x0) AS g0, avg(x1) AS g1, count(*) AS n FROM {_PL}), "
+          f"b AS (SELECT sum(c.n * ((c.c0 - g.g0) * (c.c0 - g.g0) + (c.c1 - g.g1) * (c.c1 - g.g1))) AS b, count(*) AS k FROM c, g) "
+          f"SELECT round(b.b * (g.n - b.k) / ((SELECT sum(d2) FROM w) * (b.k - 1)), 6) AS calinski_harabasz FROM b, g")
+def _ch(spark, d):
+    lab = _labels(spark, d)
+    return spark.createDataFrame([(round(CM.calinski_harabasz(lab, _XY), R),)], "calinski_harabasz double")
+
+
+def _sil_rows_sql(src: str) -> str:
+    return (f"pr AS (SELECT a.row_id, a.cluster AS ca, b.cluster AS cb, "
+            f"(a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) AS d FROM {src} a JOIN {src} b ON a.row_id <> b.row_id), "
+            f"m AS (SELECT row_id, ca, cb, avg(d) AS md FROM pr GROUP BY row_id, ca, cb), "
+            f"sr AS (SELECT row_id, ca AS cluster, max(CASE WHEN ca = cb THEN md END) AS a, min(CASE WHEN ca <> cb THEN md END) AS b "
+            f"FROM m GROUP BY row_id, ca), "
+            f"sil AS (SELECT row_id, cluster, CASE WHEN a IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END AS s FROM sr)")
+
+
+@register("silhouette_sq", f"WITH {_sil_rows_sql(_PL)} SELECT round(avg(s), 6) AS silhouette_sq FROM sil")
+def _sil(spark, d):
+    lab = _labels(spark, d)
+    return spark.createDataFrame([(round(CM.silhouette_sq(lab, _XY), R),)], "silhouette_sq double")
+
+
+@register("silhouette_by_cluster",
+          f"WITH {_sil_rows_sql(_PL)}, g AS (SELECT cluster, avg(s) AS sil FROM sil GROUP BY cluster) "
+          f"SELECT cluster, round(sil, 6) AS silhouette, "
+          f"CASE WHEN sil > 0.5 THEN 'strong' WHEN sil > 0.2 THEN 'moderate' ELSE 'weak' END AS quality, "
+          f"CASE WHEN sil < -0.2 THEN {lit(BD.SIL_VERY_WEAK)} WHEN sil < 0.0 THEN {lit(BD.SIL_WEAK_NEG)} "
+          f"WHEN sil < 0.3 THEN {lit(BD.SIL_WEAK)} WHEN sil < 0.5 THEN {lit(BD.SIL_MODERATE)} "
+          f"WHEN sil < 0.7 THEN {lit(BD.SIL_GOOD)} ELSE {lit(BD.SIL_EXCELLENT)} END AS reading, "
+          f"CASE WHEN sil < -0.2 THEN 'error' WHEN sil < 0.3 THEN 'warning' WHEN sil < 0.5 THEN 'info' ELSE 'success' END AS level "
+          f"FROM g")
+def _sil_by(spark, d):
+    # F13 / F14 applied per segment: each cluster's mean silhouette, banded two ways
+    lab = _labels(spark, d)
+    rows = CM.silhouette_rows(lab, _XY).groupBy("cluster").agg(F.avg("silhouette").alias("sil"))
+    msg, level = BD.silhouette_reading(F.col("sil"))
+    return rows.select("cluster", F.round("sil", R).alias("silhouette"), BD.cluster_quality_band(F.col("sil")).alias("quality"),
+                       msg.alias("reading"), level.alias("level"))
+
+
+def _eval_sql(src: str, name: str) -> str:
+    """Safe metrics + 4-dp summary for one labelling of part_points (noise counted as a cluster)."""
+    return (f"WITH {_sil_rows_sql(src)}, "
+            f"c AS (SELECT cluster, count(*) AS n, avg(x0) AS c0, avg(x1) AS c1 FROM {src} GROUP BY cluster), "
+            f"w AS (SELECT p.cluster, (p.x0 - c.c0) * (p.x0 - c.c0) + (p.x1 - c.c1) * (p.x1 - c.c1) AS d2 FROM {src} p JOIN c USING (cluster)), "
+            f"s AS (SELECT cluster, avg(sqrt(d2)) AS s FROM w GROUP BY cluster), "
+            f"r AS (SELECT a.cluster, max((sa.s + sb.s) / sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1))) AS r "
+            f"FROM c a JOIN c b ON a.cluster <> b.cluster JOIN s sa ON sa.cluster = a.cluster JOIN s sb ON sb.cluster = b.cluster GROUP BY a.cluster), "
+            f"g AS (SELECT avg(x0) AS g0, avg(x1) AS g1, count(*) AS n FROM {src}), "
+            f"b AS (SELECT sum(c.n * ((c.c0 - g.g0) * (c.c0 - g.g0) + (c.c1 - g.g1) * (c.c1 - g.g1))) AS b, count(*) AS k FROM c, g), "
+            f"k AS (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS nc, count(*) FILTER (WHERE cluster = -1) AS nn, count(*) AS nr FROM {src}), "
+            f"mt AS (SELECT k.nc, k.nn, k.nr, CASE WHEN k.nc < 2 THEN -1.0 ELSE (SELECT avg(s) FROM sil) END AS sil, "
+            f"CASE WHEN k.nc < 2 THEN NULL ELSE (SELECT avg(r) FROM r) END AS db, "
+            f"CASE WHEN k.nc < 2 THEN NULL ELSE b.b * (g.n - b.k) / ((SELECT sum(d2) FROM w) * (b.k - 1)) END AS ch FROM k, b, g) "
+            f"SELECT {lit(name)} AS model, CAST(nc AS BIGINT) AS n_clusters, CAST(nn AS BIGINT) AS n_noise, CAST(nr AS BIGINT) AS n_rows, "
+            f"round(sil, 4) AS silhouette_score, round(db, 4) AS davies_bouldin_score, round(ch, 4) AS calinski_harabasz_score, "
+            f"CASE WHEN sil > 0.5 THEN 'strong' WHEN sil > 0.2 THEN 'moderate' ELSE 'weak' END AS quality, sil AS raw_sil FROM mt")
+
+
+def _evaluation_frame(spark, lab, name: str):
+    m = CM.safe_metrics(lab, _XY)
+
+    def r4(v):
+        return None if v is None else round(v, 4)
+
+    row = (name, m["n_clusters"], m["n_noise"], m["n_rows"], r4(m["silhouette"]), r4(m["davies_bouldin"]),
+           r4(m["calinski_harabasz"]), float(m["silhouette"]))
+    df = spark.createDataFrame([row], "model string, n_clusters long, n_noise long, n_rows long, silhouette_score double, "
+                                      "davies_bouldin_score double, calinski_harabasz_score double, raw_sil double")
+    return df.withColumn("quality", BD.cluster_quality_band(F.col("raw_sil")))
+
+
+@register("cluster_evaluation",
+          f"SELECT model, n_clusters, n_noise, silhouette_score, davies_bouldin_score, calinski_harabasz_score, quality "
+          f"FROM ({_eval_sql(_PL, 'p_size_bands')})")
+def _ceval(spark, d):
+    # F16: the rounded evaluation summary of one labelling
+    return _evaluation_frame(spark, _labels(spark, d), "p_size_bands").select(
+        "model", "n_clusters", "n_noise", "silhouette_score", "davies_bouldin_score", "calinski_harabasz_score", "quality")
+
+
+_PRICE_SPLIT_SQL = f"(SELECT row_id, x0, x1, CASE WHEN x1 > 0 THEN 1 ELSE 0 END AS cluster FROM {_PP})"
+
+
+def _price_split(spark, d):
+    pts = DV.part_points(T(spark, d, "part"))
+    return pts.select("row_id", "x0", "x1", F.when(F.col("x1") > 0, 1).otherwise(0).alias("cluster"))
+
+
+@register("select_clustering",
+          f"WITH e AS (SELECT * FROM ({_eval_sql(_PL, 'p_size_bands')}) UNION ALL SELECT * FROM ({_eval_sql(_PRICE_SPLIT_SQL, 'price_split')})), "
+          f"a AS (SELECT model, raw_sil - CASE WHEN n_clusters <= 1 THEN 1.0 ELSE 0.0 END "
+          f"- CASE WHEN n_noise::DOUBLE / n_rows > 0.3 THEN (n_noise::DOUBLE / n_rows - 0.3) * 2.0 ELSE 0.0 END AS adj, "
+          f"CASE model WHEN 'p_size_bands' THEN 0 ELSE 1 END AS ord FROM e) "
+          f"SELECT model, round(adj, 6) AS adjusted_score, row_number() OVER (ORDER BY adj DESC, ord) = 1 AS selected FROM a")
+def _select(spark, d):
+    # Adjusted score per candidate; the best (first listed on ties) is selected
+    ev = _evaluation_frame(spark, _labels(spark, d), "p_size_bands").withColumn("ord", F.lit(0)).unionByName(
+        _evaluation_frame(spark, _price_split(spark, d), "price_split").withColumn("ord", F.lit(1)))
+    return select_best(ev)
+
+
+def select_best(ev):
+    from pyspark.sql import Window
+    adj = BD.adjusted_cluster_score(F.col("raw_sil"), F.col("n_clusters"), F.col("n_noise"), F.col("n_rows"))
+    w = Window.orderBy(F.desc("adj"), "ord")
+    return (ev.withColumn("adj", adj)
+            .select("model", F.round("adj", R).alias("adjusted_score"), (F.row_number().over(w) == 1).alias("selected")))
+
+
+# =============================================================== neighbours and DBSCAN
+
+
+def _points(spark, d):
+    return DV.with_features(DV.part_points(T(spark, d, "part")))
+
+
+_KNN_SQL = (f"WITH p AS {_PP}, pr AS (SELECT a.row_id, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS d "
+            f"FROM p a, p b), rk AS (SELECT row_id, d, row_number() OVER (PARTITION BY row_id ORDER BY d) AS r FROM pr), "
+            f"ms AS (SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) AS k FROM p), "
+            f"kd AS (SELECT row_id, d AS kdist FROM rk, ms WHERE r = ms.k)")
+
+
+@register("knn_distance", f"{_KNN_SQL} SELECT row_id, round(kdist, 6) AS kdist FROM kd")
+def _knn(spark, d):
+    pts = _points(spark, d)
+    k = pts.select(BD.dbscan_min_samples(F.count(F.lit(1)))).first()[0]
+    return NB.kth_neighbor_distance(pts, k).select("row_id", F.round("kdist", R).alias("kdist"))
+
+
+@register("dbscan_eps",
+          f"{_KNN_SQL} SELECT (SELECT k FROM ms) AS min_samples, round(quantile_cont(kdist, 0.9), 6) AS eps FROM kd")
+def _eps(spark, d):
+    pts = _points(spark, d)
+    k = pts.select(BD.dbscan_min_samples(F.count(F.lit(1)))).first()[0]
+    eps, _ = NB.estimate_eps(pts, k)
+    return spark.createDataFrame([(int(k), round(eps, R))], "min_samples int, eps double")
+
+
+def _dbscan_sql(eps_sql: str, ms_sql: str) -> str:
+    return (
+        f"WITH RECURSIVE p AS {_PP}, "
+        f"nb AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON "
+        f"sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) <= ({eps_sql})), "
+        f"core AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= ({ms_sql})), "
+        f"ce AS (SELECT nb.i, nb.j FROM nb JOIN core c1 ON nb.i = c1.i JOIN core c2 ON nb.j = c2.i), "
+        f"reach(node, lbl) AS (SELECT i, i FROM core UNION SELECT ce.j, r.lbl FROM reach r JOIN ce ON ce.i = r.node), "
+        f"comp AS (SELECT node, min(lbl) AS c FROM reach GROUP BY node), "
+        f"num AS (SELECT c, dense_rank() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM comp)), "
+        f"corelab AS (SELECT comp.node, num.k FROM comp JOIN num USING (c)), "
+        f"border AS (SELECT nb.i AS node, min(cl.k) AS k FROM nb JOIN corelab cl ON nb.j = cl.node "
+        f"WHERE nb.i NOT IN (SELECT i FROM core) GROUP BY nb.i) "
+        f"SELECT p.row_id, CAST(coalesce(cl.k, b.k, -1) AS INTEGER) AS cluster FROM p "
+        f"LEFT JOIN corelab cl ON p.row_id = cl.node LEFT JOIN border b ON p.row_id = b.node")
+
+
+@register("dbscan_labels", _dbscan_sql("0.12", "7"))
+def _dbscan_fixed(spark, d):
+    return DB.dbscan(_points(spark, d), 0.12, 7).select("row_id", "cluster")
+
+
+@register("dbscan_labels_fine", _dbscan_sql("0.10", "7"))
+def _dbscan_fine(spark, d):
+    return DB.dbscan(_points(spark, d), 0.10, 7).select("row_id", "cluster")
