@@ -765,3 +765,188 @@ def _dbscan_fixed(spark, d):
 @register("dbscan_labels_fine", _dbscan_sql("0.10", "7"))
 def _dbscan_fine(spark, d):
     return DB.dbscan(_points(spark, d), 0.10, 7).select("row_id", "cluster")
+
+
+# =============================================================== model metrics and splits
+from ..operators import model_eval as ME  # noqa: E402
+
+_LP = f"({DV.LABEL_PRED_SQL})"
+_LN = f"({DV.LINE_PRED_SQL})"
+
+
+def _clsmetrics_sql(src: str) -> str:
+    return (f"WITH conf AS (SELECT label AS t, prediction AS p, count(*) AS c FROM {src} GROUP BY 1, 2), "
+            f"cls AS (SELECT t AS cls FROM conf UNION SELECT p FROM conf), "
+            f"per AS (SELECT cls.cls, coalesce((SELECT sum(c) FROM conf WHERE t = cls.cls), 0) AS support, "
+            f"coalesce((SELECT sum(c) FROM conf WHERE p = cls.cls), 0) AS npred, "
+            f"coalesce((SELECT sum(c) FROM conf WHERE t = cls.cls AND p = cls.cls), 0) AS tp FROM cls), "
+            f"pr AS (SELECT *, coalesce(tp::DOUBLE / nullif(npred, 0), 0.0) AS prec, coalesce(tp::DOUBLE / nullif(support, 0), 0.0) AS rec FROM per), "
+            f"f AS (SELECT *, coalesce(2.0 * prec * rec / nullif(prec + rec, 0), 0.0) AS f1 FROM pr) "
+            f"SELECT round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy, round(sum(support * f1) / sum(support), 6) AS f1, "
+            f"round(sum(support * prec) / sum(support), 6) AS precision, round(sum(support * rec) / sum(support), 6) AS recall FROM f")
+
+
+@register("classification_metrics", _clsmetrics_sql(_LP))
+def _clsm(spark, d):
+    return ME.classification_metrics(DV.label_pred(T(spark, d, "labels")))
+
+
+@register("roc_auc",
+          f"WITH g AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM {_LP} GROUP BY score), "
+          f"c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM g) "
+          f"SELECT round(sum(pos * (neg_below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM c")
+def _auc(spark, d):
+    return spark.createDataFrame([(round(ME.roc_auc(DV.label_pred(T(spark, d, "labels"))), R),)], "roc_auc double")
+
+
+@register("regression_metrics",
+          f"WITH s AS (SELECT sum((label - prediction) * (label - prediction)) AS ssr, sum(abs(label - prediction)) AS sae, "
+          f"sum((label - (SELECT avg(label) FROM {_LN})) * (label - (SELECT avg(label) FROM {_LN}))) AS sst, count(*) AS n FROM {_LN}) "
+          f"SELECT round(sqrt(ssr / n), 6) AS rmse, round(sae / n, 6) AS mae, "
+          f"round(CASE WHEN sst = 0 THEN CASE WHEN ssr = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - ssr / sst END, 6) AS r2 FROM s")
+def _regm(spark, d):
+    return ME.regression_metrics(DV.line_pred(T(spark, d, "lineitem")))
+
+
+@register("class_counts",
+          "SELECT p_type AS cls, count(*) AS count, count(*) = min(count(*)) OVER () AS rarest FROM part GROUP BY p_type")
+def _ccls(spark, d):
+    return ME.class_counts(T(spark, d, "part"), "p_type")
+
+
+@register("problem_type",
+          "SELECT column_name, CASE WHEN cls = 'categorical' THEN 'classification' "
+          "WHEN n_distinct::DOUBLE / n_rows < 0.05 THEN 'classification' ELSE 'regression' END AS problem_type "
+          f"FROM ({column_stats_sql('lineitem')}) WHERE cls IN ('numeric', 'categorical')")
+def _ptype(spark, d):
+    # F10 for every candidate target column of the table
+    prof = P.full_profile(T(spark, d, "lineitem")).where(F.col("cls").isin("numeric", "categorical"))
+    return prof.select("column_name", ME.problem_type_col(F.col("cls") == "categorical", F.col("n_distinct"),
+                                                          F.col("n_rows")).alias("problem_type"))
+
+
+@register("label_encode",
+          "SELECT p_type AS value, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS index FROM (SELECT DISTINCT p_type FROM part)")
+def _lenc(spark, d):
+    return ME.label_index(T(spark, d, "part"), "p_type")
+
+
+_SEG_SQL = ("SELECT d.source, count(*) AS n, avg(CASE WHEN l.quality = l.toxic THEN 1.0 ELSE 0.0 END) AS acc "
+            "FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.source")
+
+# Performance reading messages (cuts 0.6 / 0.75).
+_PERF_MSG = {
+    "weak": ("⚠️ Model performance is weak ({p}). Predictions are unreliable and should not drive decisions yet.", "warning"),
+    "moderate": ("💡 Moderate performance ({p}). Model shows some predictive power but could be improved.", "info"),
+    "strong": ("✅ Strong performance ({p}). Model predictions are reasonably reliable.", "success"),
+}
+
+
+def _pct_sql(x: str) -> str:
+    return f"CAST(round({x} * 100, 1) AS VARCHAR) || '%'"
+
+
+def _perf_sql() -> str:
+    band = "CASE WHEN acc < 0.6 THEN 'weak' WHEN acc <= 0.75 THEN 'moderate' ELSE 'strong' END"
+    msg = "CASE " + " ".join(
+        f"WHEN {band} = {lit(b)} THEN replace({lit(m)}, '{{p}}', {_pct_sql('acc')})" for b, (m, _) in _PERF_MSG.items()) + " END"
+    lvl = "CASE " + " ".join(f"WHEN {band} = {lit(b)} THEN {lit(v)}" for b, (_, v) in _PERF_MSG.items()) + " END"
+    return (f"SELECT source, CAST(n AS BIGINT) AS n, round(acc, 6) AS score, {band} AS band, {msg} AS message, {lvl} AS level "
+            f"FROM ({_SEG_SQL})")
+
+
+def pct_col(x):
+    return F.concat(F.round(x * 100, 1).cast("string"), F.lit("%"))
+
+
+@register("performance_band", _perf_sql())
+def _perf(spark, d):
+    # F12 per segment: accuracy of a fixed rule within each document source, banded
+    lab = T(spark, d, "labels")
+    docs = T(spark, d, "documents").select("doc_id", "source")
+    seg = (lab.join(docs, "doc_id").groupBy("source")
+           .agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("quality") == F.col("toxic"), 1.0).otherwise(0.0)).alias("acc")))
+    band = BD.performance_band(F.col("acc"))
+    msg = None
+    lvl = None
+    for b, (m, v) in _PERF_MSG.items():
+        pre, post = m.split("{p}")
+        text = F.concat(F.lit(pre), pct_col(F.col("acc")), F.lit(post))
+        msg = F.when(band == b, text) if msg is None else msg.when(band == b, text)
+        lvl = F.when(band == b, F.lit(v)) if lvl is None else lvl.when(band == b, F.lit(v))
+    return seg.select("source", F.col("n").cast("long").alias("n"), F.round("acc", R).alias("score"), band.alias("band"),
+                      msg.alias("message"), lvl.alias("level"))
+
+
+def _nsplits_sql(table: str, cls: str) -> str:
+    return f"(SELECT greatest(2, least(5, min(c))) FROM (SELECT count(*) AS c FROM {table} GROUP BY {cls}))"
+
+
+@register("cv_folds",
+          f"SELECT p_partkey, CAST((row_number() OVER (PARTITION BY p_type ORDER BY md5('42|' || CAST(p_partkey AS VARCHAR))) - 1) "
+          f"% {_nsplits_sql('part', 'p_type')} AS INTEGER) AS fold FROM part")
+def _folds(spark, d):
+    part = T(spark, d, "part").select("p_partkey", "p_type")
+    counts = {r[0]: r[1] for r in part.groupBy("p_type").count().collect()}
+    k = ME.n_splits_for(counts, "classification")
+    return ME.assign_folds(part, "p_partkey", "p_type", k).select("p_partkey", "fold")
+
+
+@register("holdout_split",
+          "WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type), "
+          "a AS (SELECT p_type, n, CAST(floor(0.2 * n) AS BIGINT) AS base, 0.2 * n - floor(0.2 * n) AS frac FROM c), "
+          "r AS (SELECT *, row_number() OVER (ORDER BY frac DESC, p_type) AS rr FROM a), "
+          "q AS (SELECT p_type, base + CASE WHEN rr <= CAST(ceil(0.2 * (SELECT count(*) FROM part)) AS BIGINT) - (SELECT sum(base) FROM a) "
+          "THEN 1 ELSE 0 END AS quota FROM r) "
+          "SELECT p.p_partkey, (row_number() OVER (PARTITION BY p.p_type ORDER BY md5('42|' || CAST(p.p_partkey AS VARCHAR))) - 1) < q.quota AS is_test "
+          "FROM part p JOIN q USING (p_type)")
+def _holdout(spark, d):
+    part = T(spark, d, "part").select("p_partkey", "p_type")
+    return ME.holdout(part, "p_partkey", "p_type", 0.2).select("p_partkey", "is_test")
+
+
+# fold scores of three fixed predictors of labels.quality, over stratified folds
+_FOLD_SQL = (f"WITH f AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) - 1) "
+             f"% (SELECT greatest(2, least(5, min(c))) FROM (SELECT count(*) AS c FROM {_LP} GROUP BY label)) AS INTEGER) AS fold FROM {_LP}), "
+             "s AS (SELECT 'toxic_rule' AS model, fold, avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END) AS score FROM f GROUP BY fold "
+             "UNION ALL SELECT 'always_one', fold, avg(CASE WHEN label = 1.0 THEN 1.0 ELSE 0.0 END) FROM f GROUP BY fold "
+             "UNION ALL SELECT 'score_rule', fold, avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1.0 ELSE 0.0 END) = label THEN 1.0 ELSE 0.0 END) FROM f GROUP BY fold)")
+
+
+def _fold_scores(spark, d):
+    lp = DV.label_pred(T(spark, d, "labels"))
+    counts = {r[0]: r[1] for r in lp.groupBy("label").count().collect()}
+    k = ME.n_splits_for(counts, "classification")
+    f = ME.assign_folds(lp, "doc_id", "label", k)
+    rules = {"toxic_rule": F.col("prediction"), "always_one": F.lit(1.0),
+             "score_rule": F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)}
+    out = None
+    for name, pred in rules.items():
+        s = f.groupBy("fold").agg(F.avg(F.when(pred == F.col("label"), 1.0).otherwise(0.0)).alias("score")) \
+             .select(F.lit(name).alias("model"), "fold", "score")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@register("fold_scores", f"{_FOLD_SQL} SELECT model, fold, round(score, 6) AS score FROM s")
+def _fscores(spark, d):
+    return _fold_scores(spark, d).select("model", "fold", F.round("score", R).alias("score"))
+
+
+@register("cv_stability",
+          f"{_FOLD_SQL} SELECT model, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, "
+          f"round(CASE WHEN avg(score) > 0 THEN stddev_pop(score) / avg(score) ELSE 0.0 END, 6) AS cv FROM s GROUP BY model")
+def _cvstab(spark, d):
+    return ME.fold_stability(_fold_scores(spark, d))
+
+
+@register("model_ranking",
+          f"{_FOLD_SQL} SELECT model, round(avg(score), 6) AS score, CAST(row_number() OVER (ORDER BY avg(score) DESC, model) AS INTEGER) AS rank "
+          f"FROM s GROUP BY model")
+def _mrank(spark, d):
+    # Fold lists averaged (non-numeric scores skipped), ranked best first
+    from pyspark.sql import Window
+    s = _fold_scores(spark, d).withColumn("score", F.col("score").try_cast("double")).where(F.col("score").isNotNull())
+    g = s.groupBy("model").agg(F.avg("score").alias("score"))
+    return g.select("model", F.round("score", R).alias("score"),
+                    F.row_number().over(Window.orderBy(F.desc("score"), "model")).cast("int").alias("rank"))
