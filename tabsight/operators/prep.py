@@ -75,8 +75,9 @@ class Preprocessor:
         stats = df.agg(*([F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(num + cat)]
                          + [F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(num)])).first()
         # all-NULL columns carry no information and are dropped (as the reference's imputer does)
+        n_num = len(num)
         num = [c for i, c in enumerate(num) if stats[f"n{i}"] > 0]
-        cat = [c for j, c in enumerate(cat) if stats[f"n{len(num) + j}"] > 0] if cat else []
+        cat = [c for j, c in enumerate(cat) if stats[f"n{n_num + j}"] > 0]
         self.numeric_features, self.categorical_features = num, cat
         if num:
             if self.numeric_strategy == "median":
@@ -249,3 +250,33 @@ def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str
         comps.append(expr.alias(f"PC{j + 1}"))
     out = filled.select(*[qcol(x) for x in (keep or [])], *comps)
     return out, [float(v) / total for v in vals[:k]]
+
+
+# ------------------------------------------------------------------ SQL form (saveable as an MLlib stage)
+
+
+def _sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_double(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def _sql_str(v: str) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def preprocessor_sql(pre: Preprocessor, keep: list[str] | None = None) -> str:
+    """The fitted transform as one SQL statement over ``__THIS__`` for ``SQLTransformer``, so
+    the preprocessing travels with a saved ``PipelineModel``."""
+    pre._check()
+    items = [_sql_ident(k) for k in (keep or [])]
+    for c in pre.numeric_features:
+        x = f"coalesce(CAST({_sql_ident(c)} AS DOUBLE), {_sql_double(pre.num_fill[c])})"
+        items.append(f"(({x} - {_sql_double(pre.num_center[c])}) / {_sql_double(pre.num_scale[c])}) AS {_sql_ident(c)}")
+    for c in pre.categorical_features:
+        x = f"coalesce({_sql_ident(c)}, {_sql_str(pre.cat_fill[c])})"
+        for v in pre.levels[c]:
+            items.append(f"CASE WHEN {x} = {_sql_str(v)} THEN 1.0 ELSE 0.0 END AS {_sql_ident(f'{c}_{v}')}")
+    return "SELECT " + ", ".join(items) + " FROM __THIS__"

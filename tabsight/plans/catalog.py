@@ -950,3 +950,93 @@ def _mrank(spark, d):
     g = s.groupBy("model").agg(F.avg("score").alias("score"))
     return g.select("model", F.round("score", R).alias("score"),
                     F.row_number().over(Window.orderBy(F.desc("score"), "model")).cast("int").alias("rank"))
+
+
+# =============================================================== trainers (M11–M16, M18, IO4, F18)
+from ..operators import train as TR  # noqa: E402
+
+
+@register("ridge_fit",
+          "WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem), "
+          "c AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) AS sxy, sum((l_quantity - mx) * (l_quantity - mx)) AS sxx FROM lineitem, s) "
+          "SELECT round(sxy / (sxx + 1.0), 4) AS coefficient, round(my - sxy / (sxx + 1.0) * mx, 4) AS intercept FROM c, s")
+def _ridge(spark, d):
+    coef, icpt = TR.ridge_closed_form(T(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 1.0)
+    return spark.createDataFrame([(round(coef, 4), round(icpt, 4))], "coefficient double, intercept double")
+
+
+def _cv_frame(spark, res: "TR.ModelingResult"):
+    rows = [(m, int(f), float(s), float(res.all_scores[m]), m == res.best_model_name, res.problem_type)
+            for m, scores in res.cross_val_scores.items() for f, s in enumerate(scores)]
+    return spark.createDataFrame(rows, "model string, fold int, score double, mean_score double, is_best boolean, problem_type string")
+
+
+def _binary_input(spark, d):
+    lab = T(spark, d, "labels")
+    docs = T(spark, d, "documents").select("doc_id", "n_chars", "source")
+    return lab.join(docs, "doc_id").select("n_chars", "source", "quality")
+
+
+@register("train_classification")
+def _train_cls(spark, d):
+    # Part → p_type (6 classes) from size, price and brand; per-fold scores
+    df = T(spark, d, "part").select("p_size", "p_retailprice", "p_brand", "p_type")
+    return _cv_frame(spark, TR.train(df, "p_type"))
+
+
+@register("train_binary")
+def _train_bin(spark, d):
+    return _cv_frame(spark, TR.train(_binary_input(spark, d), "quality"))
+
+
+@register("train_regression")
+def _train_reg(spark, d):
+    # Lineitem → l_extendedprice from quantity, discount, tax
+    df = T(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    return _cv_frame(spark, TR.train(df, "l_extendedprice"))
+
+
+@register("feature_importance_topk")
+def _fi_topk(spark, d):
+    # Top-5 importances of the refitted best model, named from the feature metadata
+    res = TR.train(_binary_input(spark, d), "quality")
+    rows = [(i + 1, f, float(v), res.best_model_name) for i, (f, v) in enumerate(res.feature_importance)]
+    return spark.createDataFrame(rows, "rank int, feature string, importance double, model string")
+
+
+def _binary_features(spark, d):
+    base, pre, problem, levels = TR.prepare_supervised(_binary_input(spark, d), "quality")
+    from pyspark.ml import Pipeline
+    stages = TR.feature_pipeline(pre, ["row_id", "label"])
+    return base, pre, stages
+
+
+@register("linear_importance")
+def _lin_imp(spark, d):
+    # |coefficients| of the logistic model, averaged over classes
+    base, pre, stages = _binary_features(spark, d)
+    from pyspark.ml import Pipeline
+    n = base.count()
+    lr = TR.make_models(TR.CLASSIFICATION, n, 2)["LogisticRegression"]
+    model = Pipeline(stages=stages + [lr]).fit(base)
+    imp = TR.importances(model.stages[-1], len(pre.feature_names()))
+    rows = sorted(zip(pre.feature_names(), [float(x) for x in imp]), key=lambda t: -t[1])
+    return spark.createDataFrame([(f, v) for f, v in rows], "feature string, importance double")
+
+
+@register("model_roundtrip")
+def _roundtrip(spark, d):
+    # IO4: fitted pipeline (preprocessing SQL + assembler + forest) saved, loaded and re-scored
+    from pyspark.ml import Pipeline, PipelineModel
+    from ..session import ensure_checkpoint_dir
+    from ..functions.names import model_filename
+    base, pre, stages = _binary_features(spark, d)
+    rf = TR.make_models(TR.CLASSIFICATION, base.count(), 2)["RandomForest"]
+    model = Pipeline(stages=stages + [rf]).fit(base)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{model_filename('quality', 'RandomForest')}"
+    model.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    a = model.transform(base).select("row_id", F.col("prediction").alias("prediction"))
+    b = again.transform(base).select("row_id", F.col("prediction").alias("reloaded_prediction"))
+    return a.join(b, "row_id").select("row_id", "prediction", "reloaded_prediction",
+                                      (F.col("prediction") == F.col("reloaded_prediction")).alias("same"))
