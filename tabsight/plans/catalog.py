@@ -1040,3 +1040,216 @@ def _roundtrip(spark, d):
     b = again.transform(base).select("row_id", F.col("prediction").alias("reloaded_prediction"))
     return a.join(b, "row_id").select("row_id", "prediction", "reloaded_prediction",
                                       (F.col("prediction") == F.col("reloaded_prediction")).alias("same"))
+
+
+# =============================================================== findings
+from ..operators import findings as FD  # noqa: E402
+
+_LI_COLS = cols("lineitem")
+_DOC_COLS = cols("documents")
+
+
+def _null_sum_sql(columns):
+    return " + ".join(f"count(*) - count({q(c)})" for c in columns)
+
+
+_SEGMENTS_SQL = (
+    f"SELECT 'lineitem:l_linenumber=' || CAST(l_linenumber AS VARCHAR) AS subject, count(*) AS n_records, "
+    f"({_null_sum_sql(_LI_COLS)}) * 100.0 / (count(*) * {len(_LI_COLS)}) AS missing_pct, {len(_LI_COLS)} AS n_features "
+    f"FROM ({DV.LINEITEM_NULLS_SQL}) GROUP BY l_linenumber UNION ALL "
+    f"SELECT 'documents:lang=' || lang, count(*), ({_null_sum_sql(_DOC_COLS)}) * 100.0 / (count(*) * {len(_DOC_COLS)}), {len(_DOC_COLS)} "
+    f"FROM documents GROUP BY lang")
+
+
+def _segments(spark, d):
+    li = DV.lineitem_nulls(T(spark, d, "lineitem"))
+    docs = T(spark, d, "documents")
+
+    def seg(df, key, prefix, columns):
+        nulls = None
+        for c in columns:
+            t = F.count_if(F.col(c).isNull())
+            nulls = t if nulls is None else nulls + t
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_records"), nulls.alias("nulls")).select(
+            F.concat(F.lit(prefix), F.col(key).cast("string")).alias("subject"), "n_records",
+            (F.col("nulls") * 100.0 / (F.col("n_records") * len(columns))).alias("missing_pct"),
+            F.lit(len(columns)).alias("n_features"))
+
+    return seg(li, "l_linenumber", "lineitem:l_linenumber=", _LI_COLS).unionByName(seg(docs, "lang", "documents:lang=", _DOC_COLS))
+
+
+@register("findings_quality", FD.run_sql(_SEGMENTS_SQL, "subject", FD.DATA_QUALITY, "data_quality"))
+def _fq(spark, d):
+    # G1 per segment: record count, missing %, feature count
+    return FD.run(_segments(spark, d), "subject", FD.DATA_QUALITY, "data_quality")
+
+
+@register("findings_missing_flag", FD.run_sql(_SEGMENTS_SQL, "subject", FD.MISSING_FLAG, "missing_flag"))
+def _fmf(spark, d):
+    return FD.run(_segments(spark, d), "subject", FD.MISSING_FLAG, "missing_flag")
+
+
+@register("quality_metrics",
+          f"SELECT subject, CAST(n_records AS BIGINT) AS total_samples, CAST(n_features AS INTEGER) AS total_features, "
+          f"round(missing_pct, 6) AS missing_values_pct FROM ({_SEGMENTS_SQL})")
+def _qm(spark, d):
+    # A17 per segment
+    return _segments(spark, d).select("subject", F.col("n_records").cast("long").alias("total_samples"),
+                                      F.col("n_features").cast("int").alias("total_features"),
+                                      F.round("missing_pct", R).alias("missing_values_pct"))
+
+
+def _clustering_metrics_sql(src: str, name: str) -> str:
+    return (f"SELECT e.model AS subject, e.n_clusters, e.raw_sil AS silhouette, e.n_noise, e.n_rows, "
+            f"s.min_size, s.max_size, s.all_min_size, s.all_max_size, s.avg_size FROM ({_eval_sql(src, name)}) e, "
+            f"(SELECT min(CASE WHEN cluster <> -1 THEN size END) AS min_size, max(CASE WHEN cluster <> -1 THEN size END) AS max_size, "
+            f"min(size) AS all_min_size, max(size) AS all_max_size, avg(size) AS avg_size "
+            f"FROM (SELECT cluster, count(*) AS size FROM {src} GROUP BY cluster)) s")
+
+
+_CLM_SQL = (f"{_clustering_metrics_sql(_PL, 'p_size_bands')} UNION ALL "
+            f"{_clustering_metrics_sql(_PRICE_SPLIT_SQL, 'price_split')}")
+
+
+def _clustering_metrics(spark, d):
+    out = None
+    for name, lab in [("p_size_bands", _labels(spark, d)), ("price_split", _price_split(spark, d))]:
+        m = CM.safe_metrics(lab, _XY)
+        sizes = CM.cluster_sizes(lab).agg(
+            F.min(F.when(F.col("cluster") != -1, F.col("size"))).alias("min_size"),
+            F.max(F.when(F.col("cluster") != -1, F.col("size"))).alias("max_size"),
+            F.min("size").alias("all_min_size"), F.max("size").alias("all_max_size"), F.avg("size").alias("avg_size"))
+        row = sizes.select(F.lit(name).alias("subject"), F.lit(m["n_clusters"]).cast("long").alias("n_clusters"),
+                           F.lit(float(m["silhouette"])).alias("silhouette"), F.lit(m["n_noise"]).cast("long").alias("n_noise"),
+                           F.lit(m["n_rows"]).cast("long").alias("n_rows"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("findings_clustering", FD.run_sql(_CLM_SQL, "subject", FD.CLUSTERING_BUSINESS, "clustering"))
+def _fcl(spark, d):
+    # G2 per clustering of part_points
+    return FD.run(_clustering_metrics(spark, d), "subject", FD.CLUSTERING_BUSINESS, "clustering")
+
+
+@register("findings_cluster_quality", FD.run_sql(_CLM_SQL, "subject", FD.CLUSTER_QUALITY, "cluster_quality"))
+def _fcq(spark, d):
+    return FD.run(_clustering_metrics(spark, d), "subject", FD.CLUSTER_QUALITY, "cluster_quality")
+
+
+@register("findings_cluster_balance", FD.run_sql(_CLM_SQL, "subject", FD.CLUSTER_BALANCE, "cluster_balance"))
+def _fcb(spark, d):
+    return FD.run(_clustering_metrics(spark, d), "subject", FD.CLUSTER_BALANCE, "cluster_balance")
+
+
+# importance table: |Pearson r| of each numeric lineitem column with l_extendedprice
+_IMP_FEATS = [c for c in _L_NUM if c != "l_extendedprice"]
+_IMP_SQL = " UNION ALL ".join(
+    f"SELECT {lit(c)} AS feature, covar_pop({q(c)}, l_extendedprice) / nullif(stddev_pop({q(c)}) * stddev_pop(l_extendedprice), 0) AS r FROM lineitem"
+    for c in _IMP_FEATS)
+
+
+def _importance(spark, d):
+    li = T(spark, d, "lineitem")
+    corr = ST.correlation_matrix(li, _IMP_FEATS + ["l_extendedprice"])
+    # unrounded r for the ranking: recompute from the same aggregate without the rounding step
+    aggs = [F.try_divide(F.covar_pop(F.col(c).cast("double"), F.col("l_extendedprice")),
+                         F.stddev_pop(F.col(c).cast("double")) * F.stddev_pop("l_extendedprice")).alias(c) for c in _IMP_FEATS]
+    wide = li.agg(*aggs)
+    del corr
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in _IMP_FEATS])))
+
+
+@register("importance_abs_topk",
+          f"SELECT feature, round(r, 6) AS importance, CAST(rk AS INTEGER) AS rank FROM "
+          f"(SELECT *, row_number() OVER (ORDER BY abs(r) DESC, feature) AS rk FROM ({_IMP_SQL})) WHERE rk <= 5")
+def _iabs(spark, d):
+    # Top-5 by absolute value (a limit that is the feature)
+    from pyspark.sql import Window
+    imp = _importance(spark, d)
+    w = Window.orderBy(F.desc(F.abs("r")), "feature")
+    return imp.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= 5).select(
+        "feature", F.round("r", R).alias("importance"), "rank")
+
+
+_IMPABS_SQL = f"SELECT feature, abs(r) AS importance FROM ({_IMP_SQL})"
+_IMPSUM_SQL = (
+    f"WITH r AS (SELECT feature, importance AS imp, row_number() OVER (ORDER BY importance DESC, feature) AS rk FROM ({_IMPABS_SQL})) "
+    f"SELECT CAST(least(count(*), 3) AS INTEGER) AS n_imp, max(CASE WHEN rk = 1 THEN feature END) AS f1, "
+    f"max(CASE WHEN rk = 2 THEN feature END) AS f2, max(CASE WHEN rk = 3 THEN feature END) AS f3, "
+    f"coalesce(sum(CASE WHEN rk = 1 THEN imp END) * 100.0 / nullif(sum(imp), 0), 0.0) AS p1, "
+    f"coalesce(sum(CASE WHEN rk = 2 THEN imp END) * 100.0 / nullif(sum(imp), 0), 0.0) AS p2, "
+    f"coalesce(sum(CASE WHEN rk = 3 THEN imp END) * 100.0 / nullif(sum(imp), 0), 0.0) AS p3, "
+    f"coalesce(sum(CASE WHEN rk <= 5 THEN imp END) * 100.0 / nullif(sum(imp), 0), 0.0) AS top5_pct, "
+    f"CAST(count(*) FILTER (WHERE imp > 0) AS BIGINT) AS n_positive, CAST(count(*) AS BIGINT) AS n_total FROM r")
+
+
+def _imp_summary(spark, d):
+    imp = _importance(spark, d).select("feature", F.abs("r").alias("importance"))
+    return FD.importance_summary(imp).withColumn("subject", F.lit("l_extendedprice"))
+
+
+@register("importance_share",
+          f"SELECT round(p1 + p2 + p3, 6) AS top3_pct, round(top5_pct, 6) AS top5_pct, n_positive FROM ({_IMPSUM_SQL})")
+def _ishare(spark, d):
+    # A27
+    s = _imp_summary(spark, d)
+    return s.select(F.round(F.col("p1") + F.col("p2") + F.col("p3"), R).alias("top3_pct"),
+                    F.round("top5_pct", R).alias("top5_pct"), "n_positive")
+
+
+@register("top_drivers",
+          f"SELECT string_agg(feature, ', ' ORDER BY rk) AS top_drivers FROM (SELECT feature, row_number() OVER "
+          f"(ORDER BY importance DESC, feature) AS rk FROM ({_IMPABS_SQL})) WHERE rk <= 3")
+def _tdrv(spark, d):
+    # K5: the three strongest drivers as one text
+    s = _imp_summary(spark, d)
+    return s.select(F.concat_ws(", ", "f1", "f2", "f3").alias("top_drivers"))
+
+
+@register("findings_features", FD.run_sql(f"SELECT 'l_extendedprice' AS subject, * FROM ({_IMPSUM_SQL})", "subject",
+                                          FD.FEATURES_BUSINESS, "features"))
+def _ffeat(spark, d):
+    # G7 on the |r| importance table
+    return FD.run(_imp_summary(spark, d), "subject", FD.FEATURES_BUSINESS, "features")
+
+
+@register("findings_drivers", FD.run_sql(f"SELECT 'l_extendedprice' AS subject, * FROM ({_IMPSUM_SQL})", "subject",
+                                         FD.DRIVERS, "drivers"))
+def _fdrv(spark, d):
+    return FD.run(_imp_summary(spark, d), "subject", FD.DRIVERS, "drivers")
+
+
+_MODEL_METRICS_SQL = (
+    f"{_FOLD_SQL}, st AS (SELECT model, avg(score) AS cv_mean, stddev_pop(score) AS cv_std FROM s GROUP BY model) "
+    f"SELECT model AS subject, model AS model_name, 'classification' AS problem_type, cv_mean AS best_score, cv_mean, cv_std, "
+    f"(SELECT count(*) FROM labels) AS n_records, 0.0 AS missing_pct, "
+    f"(SELECT feature FROM ({_IMPABS_SQL}) ORDER BY importance DESC, feature LIMIT 1) AS top_feature FROM st")
+
+
+def _model_metrics(spark, d):
+    st = _fold_scores(spark, d).groupBy("model").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
+    n = T(spark, d, "labels").count()
+    top = _imp_summary(spark, d).first()["f1"]
+    return st.select(F.col("model").alias("subject"), F.col("model").alias("model_name"), F.lit("classification").alias("problem_type"),
+                     F.col("cv_mean").alias("best_score"), "cv_mean", "cv_std", F.lit(n).alias("n_records"),
+                     F.lit(0.0).alias("missing_pct"), F.lit(top).alias("top_feature"))
+
+
+for _key, _groups, _section in [("findings_model", FD.MODEL_BUSINESS, "modeling"),
+                                ("findings_performance", FD.PERFORMANCE, "performance"),
+                                ("findings_optimization", FD.OPTIMIZATION, "optimization"),
+                                ("findings_next_steps", FD.NEXT_STEPS, "recommendations")]:
+    def _mkf(groups, section):
+        return lambda spark, d: FD.run(_model_metrics(spark, d), "subject", groups, section)
+    register(_key, FD.run_sql(f"{_MODEL_METRICS_SQL}", "subject", _groups, _section))(_mkf(_groups, _section))
+
+
+_RECO_SQL = f"SELECT subject, n_records, missing_pct, n_features, subject LIKE 'lineitem%' AS has_clustering FROM ({_SEGMENTS_SQL})"
+
+
+@register("findings_recommend", FD.run_sql(_RECO_SQL, "subject", FD.RECOMMEND, "recommendations"))
+def _freco(spark, d):
+    # G11 per segment (clustering considered run for the lineitem segments)
+    seg = _segments(spark, d).withColumn("has_clustering", F.col("subject").startswith("lineitem"))
+    return FD.run(seg, "subject", FD.RECOMMEND, "recommendations")
