@@ -49,30 +49,58 @@ def fit_best_of(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_it
     return model, cost
 
 
+def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
+    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features_vec", predictionCol="cluster")
+    m = km.fit(vec)
+    return m.summary.trainingCost, m
+
+
 def kmeans(df: DataFrame, cols: list[str], k: int | None = None, key: str = "row_id", min_k: int = 2,
-           max_k: int = 10, n_init: int = 10, seed: int = 42, max_iter: int = 300, rescale: bool = True):
-    """Returns (labels frame (key, cluster), k, search table rows, inertia)."""
+           max_k: int = 10, n_init: int = 10, seed: int = 42, max_iter: int = 300, rescale: bool = True,
+           tol: float = 1e-4, threads: int = 8):
+    """Returns (labels frame (key, cols…, cluster), k, search rows (k, silhouette, cost, error), cost).
+
+    All (k, seed) fits of the search are independent and go to one driver thread pool; per k
+    the lowest-cost seed wins, then the silhouettes of the k winners are computed (also
+    concurrently) and the best k (smallest on ties) is kept."""
     data = standardize(df, cols, keep=[key]) if rescale else df.select(key, *cols)
     vec = _assemble(data, cols).persist(StorageLevel.MEMORY_AND_DISK)
     search = []
     try:
-        if k is None:
-            best_k, best = min_k, -2.0
-            for kk in range(min_k, max_k + 1):
+        ks = [k] if k is not None else list(range(min_k, max_k + 1))
+        tasks = [(kk, i) for kk in ks for i in range(n_init)]
+        with ThreadPoolExecutor(max_workers=threads) as ex:
+            futs = {t: ex.submit(_fit_one, vec, t[0], seed + t[1], max_iter, tol) for t in tasks}
+            fits, errors = {}, {}
+            for (kk, i), fu in futs.items():
                 try:
-                    model, cost = fit_best_of(vec, kk, n_init, seed, max_iter)
-                    lab = model.transform(vec).select(key, *cols, "cluster")
-                    if lab.select("cluster").distinct().limit(2).count() < 2:
-                        continue
-                    sil = CM.silhouette_sq(lab, cols)
+                    cost, m = fu.result()
+                    if kk not in fits or (cost, i) < (fits[kk][0], fits[kk][1]):
+                        fits[kk] = (cost, i, m)
                 except Exception as exc:  # noqa: BLE001 - a failing k is skipped, as in the reference
-                    search.append((kk, None, None, str(exc)[:200]))
+                    errors[kk] = str(exc)[:200]
+        if k is None:
+            def sil_of(kk):
+                lab = fits[kk][2].transform(vec).select(key, *cols, "cluster")
+                if lab.select("cluster").distinct().limit(2).count() < 2:
+                    return None
+                return CM.silhouette_sq(lab, cols)
+
+            with ThreadPoolExecutor(max_workers=threads) as ex:
+                sils = dict(zip(sorted(fits), ex.map(sil_of, sorted(fits))))
+            best_k, best = min_k, -2.0
+            for kk in ks:
+                if kk in errors or kk not in fits:
+                    search.append((kk, None, None, errors.get(kk)))
                     continue
-                search.append((kk, float(sil), float(cost), None))
-                if sil > best:
+                sil = sils[kk]
+                search.append((kk, None if sil is None else float(sil), float(fits[kk][0]), None))
+                if sil is not None and sil > best:
                     best, best_k = sil, kk
             k = best_k
-        model, cost = fit_best_of(vec, k, n_init, seed, max_iter)
+        if k not in fits:
+            raise ValueError(f"k-means failed for k={k}: {errors.get(k)}")
+        cost, _, model = fits[k]
         labels = model.transform(vec).select(key, *cols, F.col("cluster").cast("int").alias("cluster"))
         return labels, k, search, float(cost)
     finally:

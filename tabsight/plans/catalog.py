@@ -1253,3 +1253,75 @@ def _freco(spark, d):
     # G11 per segment (clustering considered run for the lineitem segments)
     seg = _segments(spark, d).withColumn("has_clustering", F.col("subject").startswith("lineitem"))
     return FD.run(seg, "subject", FD.RECOMMEND, "recommendations")
+
+
+# =============================================================== whole runs, sources and sinks (M5, M6, M17, G12, G13, IO1, IO6)
+from ..operators import kmeans as KMS  # noqa: E402
+from ..sources import csv as CSV  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from . import analysis as AN  # noqa: E402
+
+
+@register("kmeans_labels")
+def _km_labels(spark, d):
+    # M5: best of 10 seeds at k = 4 on part_points, re-scaled first
+    pts = DV.part_points(T(spark, d, "part"))
+    lab, k, _, cost = KMS.kmeans(pts, _XY, k=4)
+    return lab.select("row_id", "cluster")
+
+
+@register("kmeans_auto_k")
+def _km_auto(spark, d):
+    # M6: the k search table (k, squared silhouette, training cost) and the chosen k
+    pts = DV.part_points(T(spark, d, "part"))
+    lab, k, search, cost = KMS.kmeans(pts, _XY, k=None)
+    rows = [(kk, s, c, kk == k) for kk, s, c, _err in search]
+    return spark.createDataFrame(rows, "k int, silhouette double, cost double, chosen boolean")
+
+
+@register("dbscan_auto")
+def _dbscan_auto(spark, d):
+    # M7 + M8: ε from the 90th percentile of k-distances, min_samples = max(5, ⌊ln n⌋)
+    pts = _points(spark, d)
+    k = pts.select(BD.dbscan_min_samples(F.count(F.lit(1)))).first()[0]
+    eps, _ = NB.estimate_eps(pts, k)
+    return DB.dbscan(pts, eps, k).select("row_id", "cluster")
+
+
+@register("full_report")
+def _full_report(spark, d):
+    # The whole unsupervised run on part, as its findings table
+    res = AN.run_analysis(T(spark, d, "part"))
+    return res.findings
+
+
+@register("findings_summary")
+def _summary(spark, d):
+    # Data quality, clustering, modelling, features and recommendations of one supervised run
+    res = AN.run_analysis(_binary_input(spark, d), target_col="quality", run_modeling=True)
+    return res.findings
+
+
+@register("cluster_labels")
+def _cluster_labels(spark, d):
+    # IO6: the labelled processed table written as Parquet and read back
+    res = AN.run_analysis(T(spark, d, "part"), methods=("DBSCAN",))
+    path = SK.write_labelled(res.labelled, "part_labelled")
+    return spark.read.parquet(path).select("row_id", "cluster")
+
+
+@register("csv_scan")
+def _csv_scan(spark, d):
+    # IO1: events written as CSV (blank strings, timestamps, JSON text) and read back with narrowing
+    ev = DV.events_blank(T(spark, d, "events"))
+    path = SK.results_dir(spark, "events_csv")
+    ev.write.mode("overwrite").option("header", True).csv(path)
+    back = CSV.read_csv(spark, path)
+    return back.select([F.col(f"`{c}`") for c in back.columns])
+
+
+ORACLES["dbscan_auto"] = _dbscan_sql(
+    f"SELECT quantile_cont(kdist, 0.9) FROM (SELECT row_id, d AS kdist FROM (SELECT row_id, d, row_number() OVER "
+    f"(PARTITION BY row_id ORDER BY d) AS r FROM (SELECT a.row_id, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * "
+    f"(a.x1 - b.x1)) AS d FROM {_PP} a, {_PP} b)) WHERE r = (SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) FROM {_PP}))",
+    f"SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) FROM {_PP}")
