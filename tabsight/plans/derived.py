@@ -48,26 +48,41 @@ def events_blank(ev: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ part_points / part_labels
+# Standardised with the population std computed from exact integer sums (sizes and price
+# cents are integers), so both engines produce bit-identical coordinates: mean = Σv/n and
+# var = (n·Σv² − (Σv)²)/n², each rounded to double once.
 PART_POINTS_SQL = (
-    "WITH g AS (SELECT CAST(p_size AS DOUBLE) AS p_size, p_retailprice, min(p_partkey) AS row_id "
-    "FROM part GROUP BY p_size, p_retailprice), "
-    "s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM g) "
-    "SELECT row_id, (p_size - m1) / coalesce(nullif(s1, 0), 1) AS x0, (p_retailprice - m2) / coalesce(nullif(s2, 0), 1) AS x1, "
-    "CAST(p_size AS INTEGER) AS p_size FROM g, s")
+    "WITH g AS (SELECT CAST(p_size AS BIGINT) AS v0, CAST(round(p_retailprice * 100) AS BIGINT) AS v1, "
+    "min(p_partkey) AS row_id FROM part GROUP BY p_size, p_retailprice), "
+    "a AS (SELECT count(*) AS n, sum(v0) AS s0, sum(v0 * v0) AS q0, sum(v1) AS s1, sum(v1 * v1) AS q1 FROM g), "
+    "s AS (SELECT CAST(s0 AS DOUBLE) / CAST(n AS DOUBLE) AS m0, "
+    "sqrt(CAST(n * q0 - s0 * s0 AS DOUBLE) / CAST(n * n AS DOUBLE)) AS d0, "
+    "CAST(s1 AS DOUBLE) / CAST(n AS DOUBLE) AS m1, sqrt(CAST(n * q1 - s1 * s1 AS DOUBLE) / CAST(n * n AS DOUBLE)) AS d1 FROM a) "
+    "SELECT row_id, (CAST(v0 AS DOUBLE) - m0) / coalesce(nullif(d0, 0), 1) AS x0, "
+    "(CAST(v1 AS DOUBLE) - m1) / coalesce(nullif(d1, 0), 1) AS x1, CAST(v0 AS INTEGER) AS p_size FROM g, s")
 
 
 def part_points(part: DataFrame) -> DataFrame:
-    """(row_id, x0, x1, p_size): distinct (p_size, p_retailprice), standardised with population std."""
-    g = part.groupBy(F.col("p_size").cast("double").alias("ps"), F.col("p_retailprice").alias("pr")).agg(
-        F.min("p_partkey").alias("row_id"))
-    st = g.agg(F.avg("ps").alias("m1"), F.stddev_pop("ps").alias("s1"),
-               F.avg("pr").alias("m2"), F.stddev_pop("pr").alias("s2")).first()
-
-    def z(c, m, s):
-        return (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)
-
-    return g.select("row_id", z("ps", st["m1"], st["s1"]).alias("x0"), z("pr", st["m2"], st["s2"]).alias("x1"),
-                    F.col("ps").cast("int").alias("p_size"))
+    """(row_id, x0, x1, p_size): distinct (p_size, p_retailprice), standardised (population std)."""
+    g = part.groupBy(F.col("p_size").cast("long").alias("v0"),
+                     F.round(F.col("p_retailprice") * 100).cast("long").alias("v1")).agg(F.min("p_partkey").alias("row_id"))
+    dec = "decimal(38,0)"
+    st = g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v0").cast(dec)).alias("s0"),
+               F.sum((F.col("v0") * F.col("v0")).cast(dec)).alias("q0"), F.sum(F.col("v1").cast(dec)).alias("s1"),
+               F.sum((F.col("v1").cast(dec) * F.col("v1").cast(dec))).alias("q1")).first()
+    n = int(st["n"])
+
+    def stats(sv, qv):
+        sv, qv = int(sv), int(qv)
+        mean = float(sv) / float(n)
+        sd = (float(n * qv - sv * sv) / float(n * n)) ** 0.5
+        return mean, (sd if sd else 1.0)
+
+    m0, d0 = stats(st["s0"], st["q0"])
+    m1, d1 = stats(st["s1"], st["q1"])
+    return g.select("row_id", ((F.col("v0").cast("double") - F.lit(m0)) / F.lit(d0)).alias("x0"),
+                    ((F.col("v1").cast("double") - F.lit(m1)) / F.lit(d1)).alias("x1"),
+                    F.col("v0").cast("int").alias("p_size"))
 
 
 PART_LABELS_SQL = (
