@@ -3,6 +3,8 @@
 ``percentile`` in Spark is exact but its buffer is a map of every distinct value, which is
 unbounded for a continuous column. Above ``max_exact_rows`` non-null values we therefore:
 
+0. (one aggregate) non-null count and approximate distinct count per column; columns with
+   few rows or few distinct values go straight to ``percentile`` (its map is small),
 1. take ``percentile_approx`` brackets around each requested rank (rank error ≤ N/accuracy),
 2. count the rows strictly below each bracket and inside it (one aggregate),
 3. run exact ``percentile`` only over the rows inside the bracket, at the rank shifted by the
@@ -35,12 +37,16 @@ def _exact_direct(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    max_exact_rows: int = 2_000_000, accuracy: int = 100_000) -> dict:
+                    max_exact_rows: int = 50_000, accuracy: int = 100_000, max_exact_distinct: int = 50_000) -> dict:
     """{column: [q(p) for p in probs]} with NULLs ignored; None for an all-null column."""
     if not cols:
         return {}
-    counts = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if counts[f"n{i}"] <= max_exact_rows]
+    counts = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                    *[F.approx_count_distinct(qcol(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    # ``percentile`` keeps one map entry per distinct value: use it directly only when that map
+    # is small (few distinct values or few rows); otherwise bracket with a sketch first.
+    small = [c for i, c in enumerate(cols)
+             if counts[f"n{i}"] <= max_exact_rows or counts[f"d{i}"] <= max_exact_distinct]
     large = [c for c in cols if c not in small]
     out = _exact_direct(df, small, probs) if small else {}
     if not large:

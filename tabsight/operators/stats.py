@@ -148,31 +148,41 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair, pairwise-complete, in long form (x, y, r).
 
-    One aggregate with a term per unordered pair. ``covar_pop / (std_pop·std_pop)`` over the
-    rows where both are present — NULL (not an error) for a constant column under ANSI mode.
+    Two passes of plain sums (cheap, codegen-friendly aggregates): column means, then per pair
+    the sums of mean-shifted values over the rows where both are present:
+    r = (Sxy − Sx·Sy/n) / sqrt((Sxx − Sx²/n)(Syy − Sy²/n)). Shifting by the means keeps the
+    sums small (no cancellation); a zero spread gives NULL, not an error, under ANSI mode.
     Fewer than two numeric columns → empty table.
     """
     cols = _numeric_cols(df, columns)
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "x string, y string, r double")
-    aggs = []
-    pairs = []
-    for i, a in enumerate(cols):
+    mr = df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    dx = [qcol(c).cast("double") - F.lit(mr[f"m{i}"] if mr[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)]
+    present = [qcol(c).isNotNull() for c in cols]
+    aggs, pairs = [], []
+    for i in range(len(cols)):
         for j in range(i, len(cols)):
-            b = cols[j]
-            xa, xb = qcol(a).cast("double"), qcol(b).cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            r = F.try_divide(F.covar_pop(xa, xb),
-                             F.stddev_pop(F.when(both, xa)) * F.stddev_pop(F.when(both, xb)))
-            aggs.append(r.alias(f"r{i}_{j}"))
-            pairs.append((a, b, f"r{i}_{j}"))
+            both = present[i] & present[j]
+            a = F.when(both, dx[i])
+            b = F.when(both, dx[j])
+            aggs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(a).alias(f"sa{i}_{j}"), F.sum(b).alias(f"sb{i}_{j}"),
+                     F.sum(a * b).alias(f"sab{i}_{j}"), F.sum(a * a).alias(f"saa{i}_{j}"), F.sum(b * b).alias(f"sbb{i}_{j}")]
+            pairs.append((cols[i], cols[j], f"{i}_{j}"))
     wide = df.agg(*aggs)
     structs = []
     for a, b, k in pairs:
-        structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(k).alias("r")))
+        n = F.col(f"n{k}").cast("double")
+        sa, sb = F.col(f"sa{k}"), F.col(f"sb{k}")
+        cov = F.col(f"sab{k}") - F.try_divide(sa * sb, n)
+        va = F.col(f"saa{k}") - F.try_divide(sa * sa, n)
+        vb = F.col(f"sbb{k}") - F.try_divide(sb * sb, n)
+        den = F.sqrt(va * vb)
+        r = F.when(den > 0, F.try_divide(cov, den))
+        structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
         if a != b:
-            structs.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(k).alias("r")))
+            structs.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("r")))
     return wide.select(F.inline(F.array(*structs))).select("x", "y", F.round("r", R).alias("r"))
 
 

@@ -51,3 +51,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError(
         "No checkpoint directory: set spark.checkpoint.dir to a shared folder for iterative operators"
     )
+
+
+def materialize(df, name: str = "t"):
+    """Cut lineage by writing ``df`` as Parquet under the checkpoint directory and reading it
+    back — for tables that are also worth keeping as files (columnar, prunable); iterative
+    operators use ``checkpoint()``, which writes to the same shared storage."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
