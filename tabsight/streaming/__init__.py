@@ -1,0 +1,18 @@
+"""Streaming.
+
+The analysed system has no streaming operators (no watermarks, windows or stateful
+operators); everything it does is a batch analysis of one table. The only streaming use that
+follows from it is applying an already fitted pipeline — preprocessing SQL stage, assembler
+and model, as saved by ``operators.train.save_model`` — to a streaming DataFrame, which
+MLlib transformers support directly.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
+
+
+def score_stream(stream: DataFrame, model_path: str) -> DataFrame:
+    """Score a streaming DataFrame with a saved pipeline (stateless, per micro-batch)."""
+    return PipelineModel.load(model_path).transform(stream)
