@@ -74,28 +74,27 @@ def cluster_table(df: DataFrame, cols: list[str], label: str = "cluster") -> Clu
                         sq=np.array([r["q"] for r in rows], dtype=float))
 
 
-def _sq_dist_to(cols: list[str], center: np.ndarray) -> Column:
-    out = None
-    for i, c in enumerate(cols):
-        d = qcol(c) - F.lit(float(center[i]))
-        out = d * d if out is None else out + d * d
-    return out
-
-
-def _own_centroid_sq(cols: list[str], ct: ClusterTable, label: str) -> Column:
-    """Squared distance from the row to its own cluster centroid (CASE over ≤ k literals)."""
+def _with_own_centroid_sq(df: DataFrame, cols: list[str], ct: ClusterTable, label: str) -> DataFrame:
+    """Adds ``_d2`` = squared distance to the row's own centroid, by a broadcast hash join with
+    the k-row centroid table (size bounded by ``MAX_CLUSTER_CELLS``); the per-row expression
+    is O(d), whatever the number of clusters."""
+    spark = df.sparkSession
     cent = ct.centroids
-    expr = None
-    for j, cid in enumerate(ct.ids):
-        e = _sq_dist_to(cols, cent[j])
-        expr = F.when(qcol(label) == F.lit(cid), e) if expr is None else expr.when(qcol(label) == F.lit(cid), e)
-    return expr
+    rows = [(cid, [float(v) for v in cent[j]]) for j, cid in enumerate(ct.ids)]
+    dtype = dict(df.dtypes)[label]
+    ctab = spark.createDataFrame(rows, f"_cl {dtype}, _c array<double>")
+    joined = df.join(F.broadcast(ctab), qcol(label) == F.col("_cl"))
+    d2 = None
+    for i, c in enumerate(cols):
+        t = (qcol(c) - F.col("_c")[i]) * (qcol(c) - F.col("_c")[i])
+        d2 = t if d2 is None else d2 + t
+    return joined.withColumn("_d2", d2).drop("_cl", "_c")
 
 
 def within_cluster_ss(df: DataFrame, cols: list[str], label: str = "cluster", ct: ClusterTable | None = None) -> float:
     """Inertia Σ ||x − c_label||²."""
     ct = ct or cluster_table(df, cols, label)
-    return df.agg(F.sum(_own_centroid_sq(cols, ct, label)).alias("w")).first()["w"] or 0.0
+    return _with_own_centroid_sq(df, cols, ct, label).agg(F.sum("_d2").alias("w")).first()["w"] or 0.0
 
 
 def davies_bouldin(df: DataFrame, cols: list[str], label: str = "cluster", ct: ClusterTable | None = None) -> float | None:
@@ -104,8 +103,8 @@ def davies_bouldin(df: DataFrame, cols: list[str], label: str = "cluster", ct: C
     k = len(ct.ids)
     if k < 2:
         return None
-    own = F.sqrt(_own_centroid_sq(cols, ct, label))
-    s = {r["cl"]: r["s"] for r in df.groupBy(qcol(label).alias("cl")).agg(F.avg(own).alias("s")).collect()}
+    own = _with_own_centroid_sq(df, cols, ct, label)
+    s = {r["cl"]: r["s"] for r in own.groupBy(qcol(label).alias("cl")).agg(F.avg(F.sqrt("_d2")).alias("s")).collect()}
     intra = np.array([s[c] for c in ct.ids])
     cent = ct.centroids
     dist = np.sqrt(((cent[:, None, :] - cent[None, :, :]) ** 2).sum(-1))
@@ -129,6 +128,9 @@ def calinski_harabasz(df: DataFrame, cols: list[str], label: str = "cluster", ct
     return 1.0 if w == 0.0 else float(b * (n - k) / (w * (k - 1.0)))
 
 
+SMALL_SILHOUETTE_CELLS = 256
+
+
 def silhouette_rows(df: DataFrame, cols: list[str], label: str = "cluster", ct: ClusterTable | None = None) -> DataFrame:
     """Per-row squared-Euclidean silhouette as a projection with the cluster table as literals."""
     ct = ct or cluster_table(df, cols, label)
@@ -153,8 +155,19 @@ def silhouette_rows(df: DataFrame, cols: list[str], label: str = "cluster", ct:
 
 
 def silhouette_sq(df: DataFrame, cols: list[str], label: str = "cluster", ct: ClusterTable | None = None) -> float:
+    """Mean squared-Euclidean silhouette. Few clusters × dims: one projection with the cluster
+    table as literals; otherwise Spark's ``ClusteringEvaluator`` (same definition, vectorised,
+    cluster statistics broadcast)."""
     ct = ct or cluster_table(df, cols, label)
-    return silhouette_rows(df, cols, label, ct).agg(F.avg("silhouette").alias("s")).first()["s"]
+    if len(ct.ids) * max(1, len(cols)) <= SMALL_SILHOUETTE_CELLS:
+        return silhouette_rows(df, cols, label, ct).agg(F.avg("silhouette").alias("s")).first()["s"]
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(
+        df.select(*[qcol(c) for c in cols], qcol(label).cast("double").alias("_pred")))
+    ev = ClusteringEvaluator(featuresCol="_features", predictionCol="_pred", metricName="silhouette",
+                             distanceMeasure="squaredEuclidean")
+    return float(ev.evaluate(vec))
 
 
 def safe_metrics(df: DataFrame, cols: list[str], label: str = "cluster") -> dict:

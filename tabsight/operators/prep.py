@@ -204,8 +204,8 @@ def preprocess(df: DataFrame, exclude_cols: list[str] | None = None, target_col:
 
 
 def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str] | None = None):
-    """Centred PCA: covariance by one aggregate (d·(d+1)/2 terms), eigen-decomposition of the
-    d×d matrix on the driver, projection as a linear expression per component. ±inf → NULL,
+    """Centred PCA: MLlib ``PCA`` fitted on mean-centred vectors (its transform does not centre,
+    so the projection is done here as a linear expression per component). ±inf → NULL,
     all-NULL columns dropped, NULLs filled with the column median; the sign of each component
     is fixed so its largest-magnitude loading is positive. Returns (frame, explained ratio) or
     None when fewer than 3 rows or 2 usable columns."""
@@ -224,23 +224,20 @@ def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str
     filled = clean.select(*[qcol(x) for x in (keep or [])],
                           *[F.coalesce(qcol(c), F.lit(med[c][0])).alias(c) for c in use])
     d = len(use)
-    aggs = [F.avg(qcol(c)).alias(f"m{i}") for i, c in enumerate(use)]
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.covar_samp(qcol(use[i]), qcol(use[j])).alias(f"c{i}_{j}"))
-    r = filled.agg(*aggs).first()
-    mean = np.array([r[f"m{i}"] for i in range(d)])
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1]
-    vals, vecs = vals[order], vecs[:, order]
+    means = filled.agg(*[F.avg(qcol(c)).alias(f"m{i}") for i, c in enumerate(use)]).first()
+    mean = np.array([means[f"m{i}"] for i in range(d)])
+    # covariance and eigenvectors by MLlib (one tree-aggregate of d×d Gramians) on centred vectors
+    from pyspark.ml.feature import PCA as _MLPCA
+    from pyspark.ml.feature import VectorAssembler
+    centred = filled.select(*[(qcol(c) - F.lit(float(mean[i]))).alias(f"_c{i}") for i, c in enumerate(use)])
+    vec = VectorAssembler(inputCols=[f"_c{i}" for i in range(d)], outputCol="_v").transform(centred)
+    model = _MLPCA(k=k, inputCol="_v", outputCol="_p").fit(vec)
+    vecs = np.array(model.pc.toArray(), dtype=float, copy=True)
+    ratios = model.explainedVariance.toArray()
     for j in range(vecs.shape[1]):
         if vecs[np.argmax(np.abs(vecs[:, j])), j] < 0:
             vecs[:, j] = -vecs[:, j]
-    total = float(vals.sum()) if vals.sum() > 0 else 1.0
+    vals = ratios
     comps = []
     for j in range(k):
         expr = None
@@ -249,7 +246,7 @@ def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str
             expr = term if expr is None else expr + term
         comps.append(expr.alias(f"PC{j + 1}"))
     out = filled.select(*[qcol(x) for x in (keep or [])], *comps)
-    return out, [float(v) / total for v in vals[:k]]
+    return out, [float(v) for v in vals[:k]]
 
 
 # ------------------------------------------------------------------ SQL form (saveable as an MLlib stage)

@@ -63,6 +63,7 @@ def cluster_all(processed: DataFrame, names: list[str], kmeans_k: int | None = N
     runs = {}
     if "KMeans" in methods:
         labels, k, search, cost = KM.kmeans(scaled, cols, k=kmeans_k, n_init=n_init, rescale=False)
+        labels = labels.checkpoint()
         m = CM.safe_metrics(labels, cols)
         runs["KMeans"] = ClusteringRun("KMeans", labels.select("row_id", "cluster"), {**m, "n_noise": 0},
                                        {"k": k, "inertia": cost, "search": search})
@@ -71,7 +72,7 @@ def cluster_all(processed: DataFrame, names: list[str], kmeans_k: int | None = N
         n = scaled.count()
         ms = min_samples or scaled.select(BD.dbscan_min_samples(F.lit(n))).first()[0]
         e = eps if eps is not None else NB.estimate_eps(pts, ms)[0]
-        lab = DB.dbscan(pts, e, ms).select("row_id", "cluster")
+        lab = DB.dbscan(pts, e, ms).select("row_id", "cluster").checkpoint()
         m = CM.safe_metrics(scaled.join(lab, "row_id"), cols)
         runs["DBSCAN"] = ClusteringRun("DBSCAN", lab, m, {"eps": e, "min_samples": ms})
     return runs
