@@ -203,7 +203,8 @@ def preprocess(df: DataFrame, exclude_cols: list[str] | None = None, target_col:
 # ------------------------------------------------------------------ PCA (M4)
 
 
-def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str] | None = None):
+def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str] | None = None,
+        drop_all_null_rows: bool = False):
     """Centred PCA: MLlib ``PCA`` fitted on mean-centred vectors (its transform does not centre,
     so the projection is done here as a linear expression per component). ±inf → NULL,
     all-NULL columns dropped, NULLs filled with the column median; the sign of each component
@@ -212,6 +213,8 @@ def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str
     clean = df.select(*[qcol(k) for k in (keep or [])],
                       *[F.when(F.isnan(qcol(c).cast("double")) | (F.abs(qcol(c).cast("double")) == F.lit(float("inf"))),
                                F.lit(None)).otherwise(qcol(c).cast("double")).alias(c) for c in columns])
+    if drop_all_null_rows:  # P14: the scatter path drops rows with every feature missing
+        clean = clean.na.drop(how="all", subset=list(columns))
     counts = clean.agg(F.count(F.lit(1)).alias("n"), *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     use = [c for i, c in enumerate(columns) if counts[f"c{i}"] > 0]
     n = counts["n"]

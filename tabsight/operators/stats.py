@@ -211,3 +211,14 @@ def summary_table(df: DataFrame) -> DataFrame:
 
 __all__ = ["describe_numeric", "feature_distribution", "outliers_iqr", "outliers_zscore", "histogram",
            "correlation_matrix", "summary_table", "combine_scalars"]
+
+
+def univariate(df: DataFrame, column: str) -> DataFrame:
+    """The chart table for one column — histogram for numeric, value counts for categorical."""
+    from .profile import value_counts
+    cls = dict(classify(df))[column]
+    if cls == NUMERIC:
+        return histogram(df, column)
+    if cls == CATEGORICAL:
+        return value_counts(df, column)
+    raise ValueError(f"Column {column!r} is neither numeric nor categorical")

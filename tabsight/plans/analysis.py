@@ -47,6 +47,7 @@ class AnalysisResult:
     pca: DataFrame | None = None
     modeling: TR.ModelingResult | None = None
     findings: DataFrame | None = None
+    feature_stats: DataFrame | None = None
 
 
 def _safe_name(i: int) -> str:
@@ -112,7 +113,7 @@ def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: boo
     best = pick_best(runs)
     best_labels = runs[best].labels.checkpoint()                             # reused by every report below
     labelled = processed.join(best_labels, "row_id", "left").checkpoint()   # J1: labels back on their rows
-    pca_res = PR.pca(processed, names, 2, keep=["row_id"])
+    pca_res = PR.pca(processed, names, 2, keep=["row_id"], drop_all_null_rows=True)
     pca = pca_res[0].join(best_labels, "row_id", "left") if pca_res else None
     modeling = None
     if run_modeling and target_col and target_col in df.columns:
@@ -120,7 +121,7 @@ def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: boo
         modeling = TR.train(model_input, target_col)
     findings = full_report(labelled, names, runs[best], modeling)
     return AnalysisResult("success", (n_rows, len(clean.columns)), screen, processed, names, runs, best, labelled,
-                          pca, modeling, findings)
+                          pca, modeling, findings, feature_statistics(labelled))
 
 
 def _one_row(spark, values: dict, schema: str) -> DataFrame:

@@ -152,3 +152,15 @@ def test_outlier_guards(spark):
     r = ST.outliers_iqr(df).first()
     assert r.n_outliers == 0 and r.outlier_ratio == 0.0  # fewer than 4 values
     assert math.isfinite(1.0)
+
+
+def test_univariate_dispatch(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (2.0, "b")], "x double, c string")
+    assert "bin" in ST.univariate(df, "x").columns
+    assert [tuple(r) for r in ST.univariate(df, "c").collect()] == [("b", 2), ("a", 1)]
+
+
+def test_pca_drops_all_null_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, None), (4.0, 3.0)], "a double, b double")
+    out, ratios = PR.pca(df, ["a", "b"], 2, drop_all_null_rows=True)
+    assert out.count() == 4 and abs(sum(ratios) - 1.0) < 1e-9
