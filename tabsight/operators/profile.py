@@ -1,7 +1,8 @@
 """Column profile and frequency table — the two shared tables every report is projected from.
 
 * ``column_profile``: one global aggregate per chunk of columns (Parquet prunes each chunk's
-  scan to its own columns, so chunking costs no extra I/O), unpivoted to one row per column.
+  scan to its own columns, so chunking costs no extra I/O; small chunks keep the generated
+  code inside whole-stage codegen), unpivoted to one row per column.
 * ``frequency_table``: every (column, value) pair with its count, built by unpivoting the
   columns into (position, value-as-string) and a map-side-combined ``groupBy``. Distinct
   counts, modes, top-k and value counts are all projections of it.
@@ -17,15 +18,27 @@ from pyspark.sql import functions as F
 from ..functions.classes import (BOOLEAN, CATEGORICAL, NUMERIC, classify, stats_numeric)
 from ..functions.safe import qcol
 
-CHUNK = 64
+CHUNK = 64          # at most this many columns per aggregate
+AGG_BUDGET = 32     # and at most this many aggregate expressions, so generated code stays small
 
 PROFILE_COLUMNS = ["position", "column_name", "cls", "n_rows", "n_nonnull", "n_null", "mean",
                    "std_samp", "std_pop", "min", "max", "skewness", "kurtosis"]
 
 
-def _chunks(items: list, size: int = CHUNK):
-    for i in range(0, len(items), size):
-        yield items[i:i + size]
+def _chunks(items: list, size: int = CHUNK, weight=None, budget: int = AGG_BUDGET):
+    """Split columns into chunks of ≤ ``size`` columns and ≤ ``budget`` aggregate expressions.
+    Each chunk is one scan, but Parquet reads only that chunk's columns, so the total I/O is
+    the same as one wide aggregate while whole-stage codegen keeps working."""
+    cur, load = [], 0
+    for it in items:
+        w = weight(it) if weight else 1
+        if cur and (len(cur) >= size or load + w > budget):
+            yield cur
+            cur, load = [], 0
+        cur.append(it)
+        load += w
+    if cur:
+        yield cur
 
 
 def _null_double():
@@ -38,7 +51,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     cols = list(columns) if columns is not None else list(df.columns)
     pos_of = {c: i for i, c in enumerate(df.columns)}
     parts = []
-    for chunk in _chunks(cols):
+    for chunk in _chunks(cols, weight=lambda c: 8 if stats_numeric(classes[c]) else 1):
         aggs = [F.count(F.lit(1)).alias("n_rows")]
         for c in chunk:
             i = pos_of[c]
