@@ -145,45 +145,67 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
             .orderBy("bin"))
 
 
+def _agg_scalars(df: DataFrame, named: list, budget: int = 32) -> dict:
+    """Evaluate many scalar aggregates in column-chunked passes (each pass reads only the columns
+    it needs and stays small enough for whole-stage codegen); returns {alias: value}."""
+    out = {}
+    for i in range(0, len(named), budget):
+        part = named[i:i + budget]
+        row = df.agg(*[e.alias(a) for a, e in part]).first()
+        out.update({a: row[a] for a, _ in part})
+    return out
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair, pairwise-complete, in long form (x, y, r).
 
-    Two passes of plain sums (cheap, codegen-friendly aggregates): column means, then per pair
-    the sums of mean-shifted values over the rows where both are present:
-    r = (Sxy − Sx·Sy/n) / sqrt((Sxx − Sx²/n)(Syy − Sy²/n)). Shifting by the means keeps the
-    sums small (no cancellation); a zero spread gives NULL, not an error, under ANSI mode.
-    Fewer than two numeric columns → empty table.
+    Plain sums of mean-shifted values (no cancellation): for columns without NULLs the
+    per-column sums serve every pair and each pair adds one cross-product sum; pairs involving
+    a column with NULLs get their own sums over the rows where both are present.
+    r = (Sxy − Sx·Sy/n) / sqrt((Sxx − Sx²/n)(Syy − Sy²/n)); zero spread → NULL (no ANSI error).
+    The result has #columns² rows. Fewer than two numeric columns → empty table.
     """
+    import math
     cols = _numeric_cols(df, columns)
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "x string, y string, r double")
-    mr = df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    dx = [qcol(c).cast("double") - F.lit(mr[f"m{i}"] if mr[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)]
-    present = [qcol(c).isNotNull() for c in cols]
-    aggs, pairs = [], []
+    first = _agg_scalars(df, [(f"m{i}", F.avg(qcol(c).cast("double"))) for i, c in enumerate(cols)]
+                         + [(f"c{i}", F.count(qcol(c))) for i, c in enumerate(cols)] + [("n", F.count(F.lit(1)))])
+    n_all = first["n"]
+    complete = [first[f"c{i}"] == n_all for i in range(len(cols))]
+    dx = [qcol(c).cast("double") - F.lit(first[f"m{i}"] if first[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)]
+    named = []
     for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            both = present[i] & present[j]
-            a = F.when(both, dx[i])
-            b = F.when(both, dx[j])
-            aggs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(a).alias(f"sa{i}_{j}"), F.sum(b).alias(f"sb{i}_{j}"),
-                     F.sum(a * b).alias(f"sab{i}_{j}"), F.sum(a * a).alias(f"saa{i}_{j}"), F.sum(b * b).alias(f"sbb{i}_{j}")]
-            pairs.append((cols[i], cols[j], f"{i}_{j}"))
-    wide = df.agg(*aggs)
-    structs = []
-    for a, b, k in pairs:
-        n = F.col(f"n{k}").cast("double")
-        sa, sb = F.col(f"sa{k}"), F.col(f"sb{k}")
-        cov = F.col(f"sab{k}") - F.try_divide(sa * sb, n)
-        va = F.col(f"saa{k}") - F.try_divide(sa * sa, n)
-        vb = F.col(f"sbb{k}") - F.try_divide(sb * sb, n)
-        den = F.sqrt(va * vb)
-        r = F.when(den > 0, F.try_divide(cov, den))
-        structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("r")))
-    return wide.select(F.inline(F.array(*structs))).select("x", "y", F.round("r", R).alias("r"))
+        if complete[i]:
+            named += [(f"s{i}", F.sum(dx[i])), (f"q{i}", F.sum(dx[i] * dx[i]))]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    for i, j in pairs:
+        if complete[i] and complete[j]:
+            named.append((f"x{i}_{j}", F.sum(dx[i] * dx[j])))
+        else:
+            both = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
+            a, b = F.when(both, dx[i]), F.when(both, dx[j])
+            named += [(f"n{i}_{j}", F.count_if(both)), (f"a{i}_{j}", F.sum(a)), (f"b{i}_{j}", F.sum(b)),
+                      (f"x{i}_{j}", F.sum(a * b)), (f"aa{i}_{j}", F.sum(a * a)), (f"bb{i}_{j}", F.sum(b * b))]
+    v = _agg_scalars(df, named)
+    rows = []
+    for i, j in pairs:
+        if complete[i] and complete[j]:
+            n, sa, sb, saa, sbb = n_all, v[f"s{i}"], v[f"s{j}"], v[f"q{i}"], v[f"q{j}"]
+        else:
+            n, sa, sb, saa, sbb = (v[f"n{i}_{j}"], v[f"a{i}_{j}"], v[f"b{i}_{j}"], v[f"aa{i}_{j}"], v[f"bb{i}_{j}"])
+        sab = v[f"x{i}_{j}"]
+        r = None
+        if n and sab is not None:
+            cov = sab - sa * sb / n
+            va, vb = saa - sa * sa / n, sbb - sb * sb / n
+            den = math.sqrt(va * vb) if va > 0 and vb > 0 else 0.0
+            r = round(cov / den, R) if den > 0 else None
+        rows.append((cols[i], cols[j], r))
+        if i != j:
+            rows.append((cols[j], cols[i], r))
+    return spark.createDataFrame(rows, "x string, y string, r double")
 
 
 def summary_table(df: DataFrame) -> DataFrame:
