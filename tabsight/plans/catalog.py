@@ -1325,3 +1325,13 @@ ORACLES["dbscan_auto"] = _dbscan_sql(
     f"(PARTITION BY row_id ORDER BY d) AS r FROM (SELECT a.row_id, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * "
     f"(a.x1 - b.x1)) AS d FROM {_PP} a, {_PP} b)) WHERE r = (SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) FROM {_PP}))",
     f"SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) FROM {_PP}")
+
+
+@register("dbscan_embeddings")
+def _dbscan_emb(spark, d):
+    # M7 + M8 on 64-dimensional vectors (grid on the two widest coordinates, exact distances)
+    emb = T(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"),
+                                            F.col("embedding").cast("array<double>").alias("features"))
+    k = emb.select(BD.dbscan_min_samples(F.count(F.lit(1)))).first()[0]
+    eps, _ = NB.estimate_eps(emb, k)
+    return DB.dbscan(emb, eps, k).select("row_id", "cluster")
