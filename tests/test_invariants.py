@@ -77,3 +77,43 @@ def test_model_roundtrip_same_predictions(spark):
 def test_entry_runs(spark):
     import __spark_entry__ as E
     assert "screen_columns" in E.queries() and "screen_columns" in E.oracle_sql()
+
+
+def _brute_dbscan(X, ids, eps, ms):
+    """Reference semantics in NumPy: clusters numbered by smallest core id, border → lowest cluster."""
+    import numpy as np
+    order = np.argsort(ids)
+    X, ids = X[order], ids[order]
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    nb = D <= eps
+    core = nb.sum(1) >= ms
+    lab = -np.ones(len(X), dtype=int)
+    c = 0
+    for s in range(len(X)):
+        if not core[s] or lab[s] != -1:
+            continue
+        stack = [s]
+        lab[s] = c
+        while stack:
+            u = stack.pop()
+            for v in np.nonzero(nb[u] & core)[0]:
+                if lab[v] == -1:
+                    lab[v] = c
+                    stack.append(v)
+        c += 1
+    for u in range(len(X)):
+        if not core[u]:
+            cl = [lab[v] for v in np.nonzero(nb[u] & core)[0]]
+            lab[u] = min(cl) if cl else -1
+    return dict(zip(ids.tolist(), lab.tolist()))
+
+
+def test_dbscan_hot_spot_matches_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    pts = np.vstack([rng.normal(size=(300, 2)), np.tile([[0.3, -0.2]], (160, 1)), rng.normal(3, 0.3, size=(40, 2))])
+    ids = np.arange(len(pts)) * 3 + 11
+    df = spark.createDataFrame([(int(i), [float(a), float(b)]) for i, (a, b) in zip(ids, pts)], "row_id long, features array<double>")
+    for eps in (0.15, 0.3):
+        got = {r.row_id: r.cluster for r in DB.dbscan(df, eps, 6).collect()}
+        assert got == _brute_dbscan(pts, ids, eps, 6)
