@@ -87,20 +87,38 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         "mean", "std_samp", "std_pop", "min", "max", "skewness", "kurtosis")
 
 
-def stacked_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+LONG_VALUE = 32
+
+
+def _count_key(v):
+    """Key for counting only: values longer than 32 characters are replaced by their 128-bit md5
+    (in a separate namespace), so counting distinct pages or documents shuffles 34-byte keys
+    instead of whole texts; collisions among md5 digests are negligible (~n²/2¹²⁹)."""
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(F.length(v) > LONG_VALUE, F.concat(F.lit("h:"), F.md5(v)))
+            .otherwise(F.concat(F.lit("v:"), v)))
+
+
+def stacked_values(df: DataFrame, columns: list[str] | None = None, counting_only: bool = False) -> DataFrame:
     """(position, value) with every cell rendered as a string — the unpivoted table."""
     cols = list(columns) if columns is not None else list(df.columns)
     pos_of = {c: i for i, c in enumerate(df.columns)}
+
+    def val(c):
+        v = qcol(c).cast("string")
+        return _count_key(v) if counting_only else v
+
     return df.select(F.inline(F.array(*[
-        F.struct(F.lit(pos_of[c]).alias("position"), qcol(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(pos_of[c]).alias("position"), val(c).alias("value")) for c in cols
     ])))
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(position, column_name, value, cnt); NULL is one value of its own."""
+def frequency_table(df: DataFrame, columns: list[str] | None = None, counting_only: bool = False) -> DataFrame:
+    """(position, column_name, value, cnt); NULL is one value of its own. With ``counting_only``
+    the value is a counting key (long texts hashed) — for distinct counts, not for display."""
     cols = list(columns) if columns is not None else list(df.columns)
     names = F.array(*[F.lit(c) for c in df.columns])
-    return (stacked_values(df, cols)
+    return (stacked_values(df, cols, counting_only)
             .groupBy("position", "value").agg(F.count(F.lit(1)).alias("cnt"))
             .select("position", F.element_at(names, F.col("position") + 1).alias("column_name"),
                     "value", "cnt"))
@@ -117,7 +135,7 @@ def distinct_counts(freq: DataFrame) -> DataFrame:
 def full_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Column profile joined with exact distinct counts (both sides have one row per column)."""
     prof = column_profile(df, columns)
-    dc = distinct_counts(frequency_table(df, columns)).drop("n_rows")
+    dc = distinct_counts(frequency_table(df, columns, counting_only=True)).drop("n_rows")
     return (prof.join(F.broadcast(dc), "position", "left")
             .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("long"))
             .withColumn("has_null", F.coalesce("has_null", F.lit(0))))

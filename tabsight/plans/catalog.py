@@ -1335,3 +1335,7 @@ def _dbscan_emb(spark, d):
     k = emb.select(BD.dbscan_min_samples(F.count(F.lit(1)))).first()[0]
     eps, _ = NB.estimate_eps(emb, k)
     return DB.dbscan(emb, eps, k).select("row_id", "cluster")
+
+
+register("screen_columns_pages", screen_sql("pages"))(lambda spark, d: S.screen_columns(T(spark, d, "pages")))
+register("screen_columns_benchmark", screen_sql("benchmark"))(lambda spark, d: S.screen_columns(T(spark, d, "benchmark")))
