@@ -280,3 +280,16 @@ def preprocessor_sql(pre: Preprocessor, keep: list[str] | None = None) -> str:
         for v in pre.levels[c]:
             items.append(f"CASE WHEN {x} = {_sql_str(v)} THEN 1.0 ELSE 0.0 END AS {_sql_ident(f'{c}_{v}')}")
     return "SELECT " + ", ".join(items) + " FROM __THIS__"
+
+
+def preprocessor_sql_sparse(pre: Preprocessor, keep: list[str] | None = None) -> str:
+    """Like ``preprocessor_sql`` but categorical columns are only imputed (kept as text), for a
+    sparse one-hot by ``StringIndexer`` + ``OneHotEncoder`` downstream."""
+    pre._check()
+    items = [_sql_ident(k) for k in (keep or [])]
+    for c in pre.numeric_features:
+        x = f"coalesce(CAST({_sql_ident(c)} AS DOUBLE), {_sql_double(pre.num_fill[c])})"
+        items.append(f"(({x} - {_sql_double(pre.num_center[c])}) / {_sql_double(pre.num_scale[c])}) AS {_sql_ident(c)}")
+    for c in pre.categorical_features:
+        items.append(f"coalesce({_sql_ident(c)}, {_sql_str(pre.cat_fill[c])}) AS {_sql_ident(c)}")
+    return "SELECT " + ", ".join(items) + " FROM __THIS__"

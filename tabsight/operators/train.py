@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.classes import CATEGORICAL, classify
 from ..functions.safe import qcol
 from . import model_eval as ME
-from .prep import Preprocessor, blank_to_null, dedupe_rows, preprocessor_sql, row_key
+from .prep import Preprocessor, blank_to_null, dedupe_rows, preprocessor_sql_sparse, row_key
 from .screen import prep_drop_columns
 
 CLASSIFICATION = "classification"
@@ -127,10 +127,24 @@ def prepare_supervised(df: DataFrame, target: str, exclude_cols: list[str] | Non
 
 
 def feature_pipeline(pre: Preprocessor, keep: list[str]) -> list:
-    names = pre.feature_names()
-    sql = SQLTransformer(statement=preprocessor_sql(pre, keep))
-    asm = VectorAssembler(inputCols=names, outputCol="features")
-    return [sql, asm]
+    """Saveable stages: a SQL stage (impute + scale numeric, impute categorical), then per
+    categorical column a ``StringIndexerModel`` built from the fitted sorted levels (no extra
+    pass; unseen → the dropped last slot) and one ``OneHotEncoder`` giving *sparse* vectors,
+    then the assembler. Vector slots follow ``pre.feature_names()``."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
+    cats = pre.categorical_features
+    sql = SQLTransformer(statement=preprocessor_sql_sparse(pre, keep))
+    stages = [sql]
+    inputs = list(pre.numeric_features)
+    if cats:
+        for c in cats:
+            stages.append(StringIndexerModel.from_labels(pre.levels[c], inputCol=c, outputCol=f"{c}__idx",
+                                                         handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__ohe" for c in cats],
+                                    dropLast=True))
+        inputs += [f"{c}__ohe" for c in cats]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+    return stages
 
 
 def train(df: DataFrame, target: str, exclude_cols: list[str] | None = None, n_splits: int = 5, seed: int = 42,
