@@ -117,3 +117,9 @@ def test_dbscan_hot_spot_matches_brute_force(spark):
     for eps in (0.15, 0.3):
         got = {r.row_id: r.cluster for r in DB.dbscan(df, eps, 6).collect()}
         assert got == _brute_dbscan(pts, ids, eps, 6)
+
+
+def test_dbscan_embeddings_fixture(spark):
+    # FIXTURES: 64-dimensional embeddings with automatic eps → one cluster, no noise
+    rows = QUERIES["dbscan_embeddings"](spark, SF_CHECK).groupBy("cluster").count().collect()
+    assert [(r.cluster, r["count"]) for r in rows] == [(0, 500)]
