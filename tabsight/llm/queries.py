@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.llm import quality_rules, sharding, url_rules
+import public_tokenizers
+
+from tabsight.llm import bpe, ngram_join, quality_rules, sharding, url_rules
 from tabsight.llm.common import read
 
 HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
@@ -12,12 +14,30 @@ HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
     ("block", "net", "/es/"), ("block", "net", "/fr/")))
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN).select("doc_id", "ids")
+    back = bpe.decode(coded, VOCABULARY, public_tokenizers.PATTERN)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select(
         "__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.components_by_jaccard(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_by_bytes(docs, n_shards=24).select(
@@ -42,7 +62,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_sharding": op7_sharding,
     "op10_url_filters": op10_url_filters,
 }
