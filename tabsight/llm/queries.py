@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tabsight.llm import bpe, ngram_join, quality_rules, sharding, url_rules
-from tabsight.llm.common import read
+from tabsight.llm import bpe, byte_cnn, language_id, license_scan, ngram_join, quality_rules, sharding, url_rules
+from tabsight.llm.common import read, train_split
 
 HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -38,6 +38,22 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_by_jaccard(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", license_scan.scan_column("text").alias("s"))
+    return docs.select("doc_id", "s.n_words", "s.n_base", "s.first_word", "s.last_word",
+                       F.array_join("s.base_labels", ",").alias("base_labels"),
+                       F.array_join("s.labels", ",").alias("labels"), "s.score",
+                       F.size("s.detections").alias("n_detections"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = language_id.learn(docs.where(train_split()))
+    found = docs.select("doc_id", (~train_split()).alias("held_out"),
+                        language_id.language_column(spark, dictionaries).alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.rejected")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_by_bytes(docs, n_shards=24).select(
@@ -45,6 +61,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> byte_cnn.ByteCNN:
+    """The classifier, trained on the labelled rows that may be learnt from."""
+    return byte_cnn.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(train_split()))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = read(spark, sf_dir, "documents").select(
+        "doc_id", (~train_split()).alias("held_out"),
+        byte_cnn.score_column(spark, quality_model(spark, sf_dir)).alias("score"))
+    return scores.withColumn("predicted", (F.col("score") >= byte_cnn.KEEP_FROM).cast("int"))
+
+
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs with the label of the document that the URL's last number names: blocked if that
     document is marked toxic or of low quality."""
@@ -65,7 +93,10 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_license_scans": op5_license_scans,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {

@@ -3,8 +3,8 @@
 A URL becomes a basket of tokens (host suffixes, host labels, path segments, extension, query
 keys; digits in a token count as one class). Labelled baskets also hold their label; FP-growth
 finds the frequent ones, and rules ``tokens -> label`` stay if their confidence reaches
-``min_confidence``, their support ``min_support``, and no shorter rule for the same label is as
-confident. Rules are matched through an inverted index: a URL's tokens are joined to the rules
+``min_confidence`` and ``min_lift`` times the label's share of all rows, their support
+``min_support``, and no rule of one token less for the same label is as confident. Rules are matched through an inverted index: a URL's tokens are joined to the rules
 that name them, and a rule fits when all its tokens were met. The most confident fitting rule
 decides (then support, then the longer, then its text); a URL that fits none is allowed.
 
@@ -66,7 +66,7 @@ def url_tokens(url: str = "url") -> F.Column:
     return F.array_distinct(F.concat(suffixes, parts, segments, ends, keys))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6,
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.1,
                max_tokens: int = 4, url: str = "url", label: str = "label") -> DataFrame:
     """Pruned rules (``rule_id``, ``tokens``, ``verdict``, ``confidence``, ``support``) from rows
     of a URL and its label (``allow`` or ``block``; rows with null label are left out)."""
@@ -78,7 +78,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = (model.associationRules
              .where(F.startswith(F.col("consequent")[0], F.lit(_LABEL))
-                    & (F.size("antecedent") <= max_tokens)
+                    & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift)
                     & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(_LABEL))))
              .select(F.sort_array("antecedent").alias("tokens"),
                      F.expr(f"substr(consequent[0], {len(_LABEL) + 1})").alias("verdict"), "confidence", "support")
