@@ -12,7 +12,7 @@ characters from a place in each of about ``2 * SAMPLE_DOCS`` documents; a hash o
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; so is every text
 if there is nothing to learn from. With one language its name is given with score 1. Equal sizes
-go to the first name in order. Repeated rows are judged alike.
+go to the commoner language of the sample's source. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 UNKNOWN = "und"
 DICTIONARY_BYTES, SAMPLE_CHARS, SAMPLE_DOCS, MIN_MARGIN = 64_000, 2_000, 64, 0.01
 CHUNK, LEVEL, SHORT, SHORT_LEVEL = 4_096, 6, 400, 19
+# Goes before every chunk: without it a short block that gains little is stored as it is, whatever the dictionary.
+_FILLER = bytes(64)
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -38,8 +40,8 @@ def normal(text: str) -> bytes:
 
 
 def learn(rows: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Language -> dictionary content, from labelled rows (those with a null id, text or language
-    are left out). About ``2 * SAMPLE_DOCS`` documents a language reach the driver."""
+    """Language -> dictionary content, the commonest language first, from labelled rows (those with
+    a null id, text or language are left out). About ``2 * SAMPLE_DOCS`` documents a language reach the driver."""
     known = rows.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     counts = known.groupBy("lang").count().collect()
@@ -53,15 +55,15 @@ def learn(rows: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     parts = (known.where(chosen).select("lang", F.xxhash64("id").alias("h"),
                                         F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
              .groupBy("lang", "part").agg(F.min("h").alias("h")).orderBy("lang", "h", "part").collect())
-    found: dict[str, bytes] = {}
+    found = {r["lang"]: b"" for r in sorted(counts, key=lambda r: (-r["count"], r["lang"]))}
     for r in parts:
-        found[r["lang"]] = (found.get(r["lang"], b"") + normal(r["part"]) + b"\n")[:DICTIONARY_BYTES]
+        found[r["lang"]] = (found[r["lang"]] + normal(r["part"]) + b"\n")[:DICTIONARY_BYTES]
     return found
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)
         self.coders = {level: [self._coder(dictionaries[name], level) for name in self.names] for level in (LEVEL, SHORT_LEVEL)}
 
     @staticmethod
@@ -79,9 +81,9 @@ class Classifier:
         raw = normal(text)
         chunks = [raw[i:i + CHUNK] for i in range(0, len(raw), CHUNK)]
         coders = self.coders[SHORT_LEVEL if len(raw) <= SHORT else LEVEL]
-        sizes = sorted((sum(len(coder.compress(c)) for c in chunks), name)
-                       for name, coder in zip(self.names, coders, strict=True))
-        return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        sizes = [sum(len(coder.compress(_FILLER + c)) for c in chunks) for coder in coders]
+        best, second = sorted(range(len(sizes)), key=sizes.__getitem__)[:2]
+        return self.names[best], (sizes[second] - sizes[best]) / sizes[second]
 
 
 _HELD: dict[str, Classifier] = {}
