@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tabsight.llm import bpe, byte_cnn, language_id, license_scan, ngram_join, quality_rules, sharding, url_rules
+from tabsight.llm import bpe, byte_cnn, chat, language_id, license_scan, ngram_join, quality_rules, sharding, url_rules
 from tabsight.llm.common import read, train_split
 
 HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
@@ -17,6 +17,13 @@ HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.read_back(*chat.pack(turns.union(extra))))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -90,6 +97,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
