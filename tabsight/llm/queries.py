@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tabsight.llm import bpe, byte_cnn, chat, language_id, license_scan, ngram_join, quality_rules, sharding, url_rules
+from tabsight.llm import bpe, byte_cnn, chat, decontaminate, language_id, license_scan, ngram_join, quality_rules, sharding, url_rules
 from tabsight.llm.common import read, train_split
 
 HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
@@ -68,6 +68,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> byte_cnn.ByteCNN:
     """The classifier, trained on the labelled rows that may be learnt from."""
     return byte_cnn.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(train_split()))
@@ -104,6 +109,7 @@ QUERIES = {
     "op5_license_scans": op5_license_scans,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filters": op10_url_filters,
 }
