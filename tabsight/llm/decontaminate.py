@@ -3,12 +3,12 @@
 1. *TF-IDF.* Words are hashed to ``FEATURES`` features; document frequencies over all documents
    give the weights.
 2. *Randomised SVD.* The passages (``PASSAGE`` words) of all documents form a matrix A. Each task
-   adds its passages' part of A'AW for a random W, tables of fixed size that Spark sums; the left
+   adds up its passages' part of A'AW for a random W, a table of fixed size that Spark sums; the left
    singular vectors of that sum span A's leading right singular space (range finder with one
    power step). No passage leaves its task.
-3. *Candidates.* Every window of a document (two blocks of half a passage, so windows overlap by half) and every
-   window of a benchmark item are projected; pairs with a cosine of at least ``MIN_COSINE`` whose words
-   can overlap enough are candidates. Items are compared in blocks; their number is checked.
+3. *Candidates.* Overlapping windows of every document and of every benchmark item are projected,
+   shorter ones for short items (``SCALES``); pairs with a cosine of at least ``MIN_COSINE`` are
+   candidates if the window has ``COVER`` of the weight of as much of the item as it can hold. Items are compared in blocks; their number is checked.
 4. *Checks.* The words around a candidate window, narrowed to the stretch of 1.5 times the item's
    length that holds most of its words, are compared by longest common subsequence. A share of
    the item's words of ``SURE`` or more is a leak; from ``LIKELY`` on it is one if the item's answer (its last
@@ -36,8 +36,9 @@ from tabsight.llm.ngram_join import hashed_windows
 FEATURE_BITS, RANK, EXTRA, SEED = 13, 56, 8, 11
 FEATURES = 1 << FEATURE_BITS
 PASSAGE = 32
-BLOCK = PASSAGE // 2
-MIN_COSINE, SURE, LIKELY, SHORT_ITEM = 0.3, 0.75, 0.5, 5
+BLOCK = 8
+SCALES = ((24, 32, 16), (0, 16, 8))  # items of at least so many words: words of a window, words between windows
+MIN_COSINE, COVER, SURE, LIKELY, SHORT_ITEM = 0.45, 0.4, 0.75, 0.5, 5
 MAX_ITEMS = 200_000  # items in one search; their windows are broadcast (about 1 KB each)
 _GROUP = 1 << 17  # words handled at once
 
@@ -80,73 +81,84 @@ def _block_starts(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.cumsum(counts) - counts, blocks) + size * nth, blocks
 
 
-def _sum_blocks(table: np.ndarray, features: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per block the sum of its words' rows of ``table``."""
-    out = np.empty((len(starts), table.shape[1]), np.float32)
-    step = 4096
-    for i in range(0, len(starts), step):
-        part = starts[i:i + step]
-        end = starts[i + step] if i + step < len(starts) else len(features)
-        out[i:i + step] = np.add.reduceat(table[features[part[0]:end]], part - part[0], axis=0)
-    return out
-
-
-def idf_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log(N / df) of each feature over all documents (``FEATURES`` counts reach the driver)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(FEATURES + 1, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for hashes, counts in _groups(batch.column(0).to_pylist()):
-                owner = np.repeat(np.arange(len(counts)), counts)
-                total[:FEATURES] += np.bincount(np.unique(owner * FEATURES + _features(hashes)) % FEATURES, minlength=FEATURES)
-        total[FEATURES] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["feature", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(FEATURES + 1, np.int64)
-    total[rows["feature"].to_numpy()] = rows["n"].to_numpy()
-    return np.log(np.maximum(total[FEATURES], 1) / np.maximum(total[:FEATURES], 1) + 1e-9).clip(0.01).astype(np.float32)
-
-
-def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> np.ndarray:
-    """Weights times the leading right singular vectors of all passages: FEATURES x RANK."""
+def _laid_out(features: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Blocks by place: the features of each block, filled up with FEATURES (which stands for none)."""
+    places = starts[:, None] + np.arange(size)
+    return np.where(places < ends[:, None], features[np.minimum(places, len(features) - 1)], FEATURES)
+
+
+def _sum_rows(table: np.ndarray, laid_out: np.ndarray) -> np.ndarray:
+    """Per block the sum of its features' rows of ``table`` (which has a zero row for none)."""
+    total = table[laid_out[:, 0]].astype(np.float32)
+    for j in range(1, laid_out.shape[1]):
+        total += table[laid_out[:, j]]
+    return total
+
+
+def _add_by_feature(total: np.ndarray, features: np.ndarray, passage: np.ndarray, rows: np.ndarray, many: int = 48) -> None:
+    """``total[f] += rows[p]`` for every word (f, p): features met often by a matrix of their counts, the
+    others by their 1st, 2nd, ... occurrence, in each of which a feature stands once."""
+    counts = np.bincount(features, minlength=FEATURES)
+    often = np.flatnonzero(counts > many)
+    place = np.full(FEATURES, -1)
+    place[often] = np.arange(len(often))
+    at = place[features]
+    if len(often):
+        matrix = np.bincount(at[at >= 0] * len(rows) + passage[at >= 0], minlength=len(often) * len(rows))
+        total[often] += matrix.reshape(len(often), len(rows)).astype(np.float32) @ rows
+    f, p = features[at < 0], passage[at < 0]
+    order = np.argsort(f, kind="stable")
+    f, p = f[order], p[order]
+    firsts = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))[:len(f)])
+    nth = np.arange(len(f)) - np.repeat(firsts, np.diff(np.append(firsts, len(f))))
+    order = np.argsort(nth, kind="stable")
+    f, p = f[order], p[order]
+    upto = np.concatenate(([0], np.cumsum(np.bincount(nth)))) if len(f) else [0]
+    for a, b in zip(upto[:-1], upto[1:], strict=True):
+        total[f[a:b]] += rows[p[a:b]]
+
+
+def learn_space(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(weights, space): log(N / df) of each feature over all documents, and the weights times the
+    leading right singular vectors of all weighted passages, each over its singular value, as terms
+    are folded into a latent space (FEATURES x RANK).
+
+    One pass counts and sums: with T the passages' term counts, D the weights and A = TD, a random
+    W = D^-1 R makes A'AW = D(T'TR), so T'TR can be summed before the weights are known. FEATURES + 1
+    rows reach the driver, whatever the input."""
     width = RANK + EXTRA
-    start = np.random.default_rng(SEED).normal(size=(FEATURES, width)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((idf, idf[:, None] * start))
+    columns = [f"c{j}" for j in range(width)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, table = shared.value
-        total = np.zeros((FEATURES, width), np.float64)
+        signs = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (FEATURES + 1, width))
+        signs[FEATURES] = 0
+        df, total = np.zeros(FEATURES + 1, np.int64), np.zeros((FEATURES + 1, width))
         for batch in batches:
+            df[FEATURES] += batch.num_rows
             for hashes, counts in _groups(batch.column(0).to_pylist()):
                 features = _features(hashes)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                df[:FEATURES] += np.bincount(np.unique(owner * FEATURES + features) % FEATURES, minlength=FEATURES)
                 starts, _ = _block_starts(counts, PASSAGE)
-                if not len(starts):
-                    continue
-                projected = _sum_blocks(table, features, starts)
-                sizes = np.diff(np.append(starts, len(features)))
-                passage = np.repeat(np.arange(len(starts)), sizes)
-                order = np.argsort(features, kind="stable")
-                sorted_features = features[order]
-                firsts = np.flatnonzero(np.concatenate(([True], sorted_features[1:] != sorted_features[:-1])))
-                for i in range(0, len(firsts), 1024):  # A' times the projected passages
-                    some = firsts[i:i + 1024]
-                    end = firsts[i + 1024] if i + 1024 < len(firsts) else len(order)
-                    total[sorted_features[some]] += np.add.reduceat(projected[passage[order[some[0]:end]]], some - some[0], axis=0)
-        total *= weights[:, None]
-        some = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, j]) for j in range(width)]],
-                                         names=["feature", *[f"c{j}" for j in range(width)]])
-
-    columns = [f"c{j}" for j in range(width)]
-    rows = (docs.select(text).mapInArrow(add, "feature long, " + ", ".join(f"{c} double" for c in columns))
-            .groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]).toPandas())  # FEATURES rows at most
-    total = np.zeros((FEATURES, width))
-    total[rows["feature"].to_numpy()] = rows[columns].to_numpy()
-    left, _, _ = np.linalg.svd(total, full_matrices=False)
-    return np.ascontiguousarray(idf[:, None] * left[:, :RANK].astype(np.float32))
+                ends = np.append(starts[1:], len(features))
+                for i in range(0, len(starts), 4096):  # texts of any length, 4096 passages at a time
+                    s, e = starts[i:i + 4096], ends[i:i + 4096]
+                    rows = _sum_rows(signs, _laid_out(features, s, e, PASSAGE))
+                    _add_by_feature(total, features[s[0]:e[-1]], np.repeat(np.arange(len(s)), e - s), rows)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), *[pa.array(total[some, j]) for j in range(width)]],
+                                         names=["feature", "n", *columns])
+
+    found = (docs.select(text).mapInArrow(add, "feature long, n long, " + ", ".join(f"{c} double" for c in columns))
+             .groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toPandas())
+    df, total = np.zeros(FEATURES + 1), np.zeros((FEATURES, width))
+    df[found["feature"].to_numpy()] = found["n"].to_numpy()
+    some = found[found["feature"] < FEATURES]
+    total[some["feature"].to_numpy()] = some[columns].to_numpy()
+    weights = np.log(max(df[FEATURES], 1) / np.maximum(df[:FEATURES], 1) + 1e-9).clip(0.01).astype(np.float32)
+    left, values, _ = np.linalg.svd(weights[:, None] * total, full_matrices=False)
+    values = np.sqrt(np.maximum(values[:RANK], 1e-9 * max(values[0], 1)))  # A's own, up to a factor
+    return weights, np.ascontiguousarray(weights[:, None] * (left[:, :RANK] / values).astype(np.float32))
 
 
 def _lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -164,9 +176,11 @@ def _lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
 class Index:
     """The benchmark's windows in the latent space, and its items' words."""
 
-    def __init__(self, space: np.ndarray, items: list[tuple[int, str]]) -> None:
-        self.space = space
-        self.items, vectors, owner = [], [], []
+    def __init__(self, weights: np.ndarray, space: np.ndarray, items: list[tuple[int, str]]) -> None:
+        self.space = np.append(space, np.zeros((1, space.shape[1]), np.float32), axis=0)
+        self.items = []
+        vectors: list[list[np.ndarray]] = [[] for _ in SCALES]
+        owner: list[list[int]] = [[] for _ in SCALES]
         for item_id, text in items:
             hashes = _hashes(words_of(text))
             if not len(hashes):
@@ -178,16 +192,21 @@ class Index:
                 masks[w] = masks.get(w, 0) | 1 << i
             self.items.append((item_id, words, masks, _hashes(words_of(sentences[-1])).tolist()))
             rows = space[_features(hashes)]
-            for s in range(0, max(1, len(words) - PASSAGE + BLOCK), BLOCK):
-                s = max(0, min(s, len(words) - PASSAGE))
-                vectors.append(rows[s:s + PASSAGE].sum(axis=0))
-                owner.append(len(self.items) - 1)
-        self.vectors = _unit(np.array(vectors, np.float32).reshape(-1, space.shape[1]))
-        self.owner = np.array(owner, np.int64)
-        self.holds = np.zeros((len(self.items), FEATURES), bool)
+            scale, (_, span, step) = next((k, s) for k, s in enumerate(SCALES) if len(words) >= s[0])
+            for s in range(0, max(1, len(words) - span + step), step):
+                s = max(0, min(s, len(words) - span))
+                vectors[scale].append(rows[s:s + span].sum(axis=0))
+                owner[scale].append(len(self.items) - 1)
+        self.vectors = [_unit(np.array(v, np.float32).reshape(-1, space.shape[1])) for v in vectors]
+        self.owner = [np.array(o, np.int64) for o in owner]
+        # an item's weight on each feature that it has
+        self.holds = np.zeros((len(self.items), FEATURES + 1), np.float32)
+        self.needs = np.zeros(len(self.items), np.float32)
         for i, (_, words, _, _) in enumerate(self.items):
-            self.holds[i, _features(np.array(words, np.uint64))] = True
-        self.needs = np.array([max(min(3, len(w)), 0.5 * min(len(w), PASSAGE - BLOCK // 2)) for _, w, _, _ in self.items])
+            features = _features(np.array(words, np.uint64))
+            self.holds[i, features] = weights[features]
+            span = next(s[1] for s in SCALES if len(words) >= s[0])
+            self.needs[i] = COVER * weights[np.unique(features)].sum() * min(1, span / len(words))
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text its leaks: (item_id, cosine, lcs, item words, share, answer found)."""
@@ -202,45 +221,46 @@ class Index:
     def _search(self, hashes: np.ndarray, counts: np.ndarray, found: list[dict[int, tuple]]) -> None:
         features = _features(hashes)
         starts, blocks = _block_starts(counts, BLOCK)
-        if not len(starts):
-            return
-        sums = _sum_blocks(self.space, features, starts)
-        # window i of a text: its blocks i and i + 1; a text of one block has one window
-        windows = np.where(blocks > 0, np.maximum(1, blocks - 1), 0)
-        owner = np.repeat(np.arange(len(counts)), windows)
-        first_block = np.repeat(np.cumsum(blocks) - blocks, windows) + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        upto = np.zeros((len(starts) + 1, self.space.shape[1]))  # sums of all blocks before each
+        laid_out = _laid_out(features, starts, np.minimum(starts + BLOCK, np.repeat(np.cumsum(counts), blocks)), BLOCK)
+        np.cumsum(_sum_rows(self.space, laid_out), axis=0, out=upto[1:])
         text_start, text_end = np.cumsum(counts) - counts, np.cumsum(counts)
-        paired = np.minimum(first_block + 1, len(sums) - 1)
-        has_next = blocks[owner] > 1
-        vectors = _unit(sums[first_block] + np.where(has_next[:, None], sums[paired], 0))
-        begins = starts[first_block]
-        ends = np.minimum(begins + PASSAGE, text_end[owner])
-        places = begins[:, None] + np.arange(PASSAGE)
-        inside = places < ends[:, None]
-        window_features = features[np.minimum(places, len(features) - 1)]
-        for i in range(0, len(vectors), 2048):
-            for q in range(0, len(self.vectors), 4096):
-                near = vectors[i:i + 2048] @ self.vectors[q:q + 4096].T
-                w, v = np.nonzero(near >= MIN_COSINE)
-                if not len(w):
-                    continue
-                items = self.owner[v + q]
-                shared = np.empty(len(w), np.int64)
-                for s in range(0, len(w), 1 << 16):
-                    at = w[s:s + (1 << 16)] + i
-                    shared[s:s + (1 << 16)] = (self.holds[items[s:s + (1 << 16), None], window_features[at]] & inside[at]).sum(axis=1)
-                for k in np.flatnonzero(shared >= self.needs[items]):
-                    at, item = int(w[k]) + i, int(items[k])
-                    doc = int(owner[at])
-                    cosine = float(near[w[k], v[k]])
-                    if item in found[doc] and found[doc][item][4] == 1:
-                        continue
-                    size = len(self.items[item][1])
-                    low = max(int(text_start[doc]), int(begins[at]) - size)
-                    high = min(int(text_end[doc]), int(ends[at]) + size)
-                    leak = self._check(item, hashes[low:high], cosine)
-                    if leak and (item not in found[doc] or found[doc][item][2] < leak[2]):
-                        found[doc][item] = leak
+        for scale, (_, span, step) in enumerate(SCALES):
+            if not len(self.vectors[scale]):
+                continue
+            wide, apart = span // BLOCK, step // BLOCK
+            last = np.maximum(blocks - wide, 0)  # the block where a text's last window starts
+            windows = np.where(blocks > 0, -(-last // apart) + 1, 0)
+            owner = np.repeat(np.arange(len(counts)), windows)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            before = (np.cumsum(blocks) - blocks)[owner]
+            first = before + np.minimum(nth * apart, last[owner])
+            vectors = _unit((upto[np.minimum(first + wide, before + blocks[owner])] - upto[first]).astype(np.float32))
+            begins = starts[first]
+            ends = np.minimum(begins + span, text_end[owner])
+            for i in range(0, len(vectors), 2048):
+                laid_out = _laid_out(features, begins[i:i + 2048], ends[i:i + 2048], span)
+                for q in range(0, len(self.vectors[scale]), 4096):
+                    near = vectors[i:i + 2048] @ self.vectors[scale][q:q + 4096].T
+                    w, v = np.nonzero(near >= MIN_COSINE)
+                    items = self.owner[scale][v + q]
+                    for s in range(0, len(w), 1 << 16):
+                        at, of = w[s:s + (1 << 16)], items[s:s + (1 << 16)]
+                        able = np.flatnonzero(self.holds[of[:, None], laid_out[at]].sum(axis=1) >= self.needs[of])
+                        words = np.sort(laid_out[at[able]], axis=1)  # now each feature once
+                        words[:, 1:][words[:, 1:] == words[:, :-1]] = FEATURES
+                        able = able[self.holds[of[able][:, None], words].sum(axis=1) >= self.needs[of[able]]]
+                        at += i
+                        for k in able:
+                            doc, item = int(owner[at[k]]), int(of[k])
+                            if found[doc].get(item, (0,) * 5)[4] == 1:  # met in full already
+                                continue
+                            size = len(self.items[item][1])
+                            low = max(int(text_start[doc]), int(begins[at[k]]) - size)
+                            high = min(int(text_end[doc]), int(ends[at[k]]) + size)
+                            leak = self._check(item, hashes[low:high], float(near[at[k] - i, v[s + k]]))
+                            if leak and found[doc].get(item, (0,) * 5)[2] < leak[2]:
+                                found[doc][item] = leak
 
     def _check(self, item: int, region: np.ndarray, cosine: float) -> tuple | None:
         item_id, words, masks, answer = self.items[item]
@@ -274,8 +294,8 @@ def leaks_column(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> C
     if len(items) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} benchmark items: search them in parts")
     items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    space = latent_space(docs, idf_weights(docs, text), text)
-    shared = docs.sparkSession.sparkContext.broadcast((space, items))
+    weights, space = learn_space(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, space, items))
     key = hashlib.sha256(space.tobytes() + repr(items).encode()).hexdigest()
 
     @F.pandas_udf(LEAKS)
