@@ -22,16 +22,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-LEAF = 24  # bytes merged directly
+LEAF = 6  # bytes merged directly; such short strings recur, so their ids are remembered
 _SCAN = 200  # bytes up to which a plain scan for the next merge beats a heap
-_KEPT = 600_000  # pieces remembered by one worker process
+_KEPT = 500_000  # pieces remembered by one worker process
 _OUT = 2_000_000  # ids in one output batch
 
 
@@ -53,6 +55,7 @@ class Codec:
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
         self.pattern = regex.compile(pattern)
         self.pieces = _Pieces(self)
+        self.short: dict[bytes, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -94,6 +97,17 @@ class Codec:
                 heapq.heappush(heap, (r, b, to))
         return [ranks[piece[i:end[i]]] for i in range(n) if end[i]]
 
+    def merge_short(self, piece: bytes) -> list[int]:
+        """:meth:`merge`, remembered for strings of a few bytes."""
+        ids = self.short.get(piece)
+        if ids is None:
+            ids = self.merge(piece)
+            if len(piece) <= 2 * LEAF:
+                if len(self.short) >= _KEPT:
+                    self.short.clear()
+                self.short[piece] = ids
+        return ids
+
     def stable(self, a: int, b: int) -> bool:
         """True if the two tokens side by side are the encoding of their joined bytes."""
         known = self.pairs.get((a, b))
@@ -107,10 +121,12 @@ class Codec:
         """The encoding of the joined bytes of two encodings."""
         if not left or not right:
             return left or right
+        if self.stable(left[-1], right[0]):  # then every two neighbours are
+            return left + right
         i = j = 1
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            window = self.merge(b"".join([self.tokens[t] for t in chain(left[-i:], right[:j])]))
+            window = self.merge_short(b"".join([self.tokens[t] for t in chain(left[-i:], right[:j])]))
             left_holds = i == len(left) or self.stable(left[-i - 1], window[0])
             right_holds = j == len(right) or self.stable(window[-1], right[j])
             if left_holds and right_holds:
@@ -118,33 +134,37 @@ class Codec:
             i, j = i if left_holds else 2 * i, j if right_holds else 2 * j
 
     def tree(self, piece: bytes) -> list[int]:
-        """The ids of one piece by halves, cut at a power of two."""
+        """The ids of one piece by halves (long pieces: cut at a power of two, so that repeats align)."""
         if len(piece) <= LEAF:
-            return self.merge(piece)
-        cut = 1 << (len(piece) - 1).bit_length() - 1
+            return self.merge_short(piece)
+        cut = len(piece) // 2 if len(piece) <= 64 else 1 << (len(piece) - 1).bit_length() - 1
         return self.join(self.tree(piece[:cut]), self.tree(piece[cut:]))
 
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a whole text as 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
-            return b"".join([self.tokens[i] for i in ids])
+            return b"".join(map(self.tokens.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 class _Pieces(dict):
-    """Piece of text -> its ids; forgets everything once it holds ``_KEPT`` pieces."""
+    """Piece of text -> its ids, packed; forgets everything once it holds ``_KEPT`` pieces."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.codec.ranks.get(raw)  # a piece that is itself a token is never split
-        ids = (whole,) if whole is not None else tuple(self.codec.tree(raw))
+        ids = array("i", [whole] if whole is not None else self.codec.tree(raw)).tobytes()
         if len(piece) <= 64:
             if len(self) >= _KEPT:
                 self.clear()
@@ -185,20 +205,25 @@ def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, work) -> Dat
     return values.mapInArrow(run, schema)
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids (``array<int>``) of its ``text`` column in ``out``."""
     key, tokens = _shared(df.sparkSession, load_tokens(path), pattern)
 
     def work(texts: pa.Array) -> Iterator[pa.Array]:
-        codec, offsets, values = _codec(key, tokens, pattern), [0], []
-        for text_value in texts:
-            values += codec.encode(text_value.as_py() or "")
-            offsets.append(len(values))
-            if len(values) >= _OUT:
-                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-                offsets, values = [0], []
-        if len(offsets) > 1:
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        codec, packed, size = _codec(key, tokens, pattern), [], 0
+        for value in texts:
+            packed.append(codec.encode_packed(value.as_py() or ""))
+            size += len(packed[-1])
+            if size >= 4 * _OUT:
+                yield _lists(packed)
+                packed, size = [], 0
+        if packed:
+            yield _lists(packed)
 
     return _mapped(df, text, out, T.ArrayType(T.IntegerType()), work)
 
@@ -210,7 +235,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def work(lists: pa.Array) -> Iterator[pa.Array]:
         codec, found, size = _codec(key, tokens, pattern), [], 0
         for value in lists:
-            found.append(codec.decode(value.values.to_pylist()) if value.is_valid else None)
+            found.append(codec.decode(value.values.to_numpy().tolist()) if value.is_valid else None)
             size += len(found[-1] or b"")
             if size >= 4 * _OUT:
                 yield pa.array(found, pa.binary())
