@@ -118,8 +118,11 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass every rule, with their own columns."""
-    return judge(docs, text).where("kept").select("__row.*")
+    """The rows of ``docs`` that pass every rule, with their own columns.
+
+    Rejected rows leave through an empty array: a filter would be pushed below the steps of
+    :func:`measure`, which copies their expressions into each other."""
+    return judge(docs, text).select(F.inline(F.when(F.col("kept"), F.array("__row"))))
 
 
 # DuckDB SQL of the query's digest
