@@ -1,11 +1,20 @@
-"""The corpus pipeline: each stage works on all rows that the stage before it kept."""
+"""The corpus pipeline: each stage works on all rows that the stage before it kept.
+
+Quality rules, quality classifier, n-gram Jaccard join, benchmark decontamination and byte-level
+BPE encoding, in this order. All stages but the last return the columns of ``documents`` and only
+leave rows out; the last returns the token ids. Extra columns are carried through; null texts are
+rejected by the first stage, whose base rule asks for words.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tabsight.llm import bpe, byte_cnn, decontaminate, ngram_join, quality_rules
+from tabsight.llm.common import read, stored, train_split
 
-from tabsight.llm import quality_rules
-from tabsight.llm.common import read, stored
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +22,37 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.keep_good(docs)
 
 
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the operator's threshold. The network learns from the labelled
+    rows of the whole table that may be learnt from, as the rules before have left few bad ones."""
+    model = byte_cnn.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(train_split()))
+    return docs.where(byte_cnn.score_column(spark, model) >= byte_cnn.KEEP_FROM)
+
+
+def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the first with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids``, and whether decoding them gives the text again."""
+    coded = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    back = bpe.decode(coded, VOCABULARY, public_tokenizers.PATTERN)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+
+
 STAGES = [
     ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("ngram_jaccard", ngram_jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("byte_bpe", byte_bpe_stage),
 ]
 
 
