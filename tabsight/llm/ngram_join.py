@@ -63,13 +63,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct 64-bit shingle hashes of a whole text."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and blanks 09-0D and 20
+def hashed_windows(words: list[bytes], width: int) -> np.ndarray:
+    """The 64-bit hash of every ``width`` consecutive words, in order (all words, if fewer)."""
     if not words:
         return np.empty(0, np.uint64)
-    line = b" ".join(words)
-    raw = np.frombuffer(line, np.uint8)
+    raw = np.frombuffer(b" ".join(words), np.uint8)
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[raw] * _powers(_ODD, len(raw)), out=sums[1:])
@@ -77,7 +75,12 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
     k = min(width, len(words))
     starts, ends = starts[:len(starts) - k + 1], ends[k - 1:]
-    return np.unique(_mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts]))
+    return _mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts])
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit shingle hashes of a whole text."""
+    return np.unique(hashed_windows((text or "").encode().lower().split(), width))  # bytes: A-Z, and blanks 09-0D and 20
 
 
 def _signature(found: np.ndarray) -> bytes:
@@ -132,25 +135,29 @@ def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: in
     return stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>"), "prefixes")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """(``cid``, ``set``, ``parts``) of the classes in ``wanted`` (cid, id, sig), from their texts."""
+def _sets(docs: DataFrame, routes: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
+    """(``key``, ``cid``, ``set``, ``parts``) for the rows of ``routes`` (key, cid, id, sig): the set of
+    class ``cid``, made from the text of a document of that class and sent to ``key``."""
+    ways = routes.groupBy("cid", F.col("id").alias("way_id"), "sig").agg(F.collect_set("key").alias("keys"))
+    if ways.count() <= BROADCAST_IDS:
+        ways = F.broadcast(ways)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    ids = wanted.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    rows = rows.join(ways, rows["id"].eqNullSafe(ways["way_id"])).select("text", "sig", "cid", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
+            for k, (value, sig) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 found = shingles(value.as_py(), width)
+                if _signature(found) != sig.as_py():  # another document with this id
+                    continue
                 parts = np.bincount(_ranges(found, 3), minlength=8).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signature(found)], pa.binary()), pa.array([found.view(np.int64)], pa.list_(pa.int64())),
-                     pa.array([parts], pa.list_(pa.int32()))], names=["sig", "set", "parts"])
+                    [batch.column(2).slice(k, 1), batch.column(3).slice(k, 1),
+                     pa.array([found.view(np.int64)], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int32()))],
+                    names=["cid", "keys", "set", "parts"])
 
-    found = rows.mapInArrow(run, "sig binary, set array<long>, parts array<int>")
-    return stored(found.join(wanted.select("sig", "cid"), "sig").select("cid", "set", "parts"), "sets")
+    found = rows.mapInArrow(run, "cid long, keys array<long>, set array<long>, parts array<int>")
+    return found.select("cid", "set", "parts", F.explode("keys").alias("key"))
 
 
 def _needed(percent: int, a: str, b: str) -> str:
@@ -160,33 +167,43 @@ def _needed(percent: int, a: str, b: str) -> str:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
               id_column: str, text: str, width: int) -> DataFrame:
-    """The (``u``, ``v``) of ``pairs`` (x, y, nx, ny) whose sets reach the threshold."""
+    """The (``u``, ``v``) of ``pairs`` (x, y, nx, ny) whose sets reach the threshold. The set of x is
+    sent to y once for the pair; sets are made anew from the texts, none are kept."""
     pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y"))).distinct()
-    sets = _sets(docs, classes.join(ends, "cid").select("cid", "id", "sig"), id_column, text, width)
-    both = (pairs.join(sets.withColumnsRenamed({"cid": "x", "set": "sx", "parts": "px"}), "x")
-            .join(sets.withColumnsRenamed({"cid": "y", "set": "sy", "parts": "py"}), "y"))
+    named = classes.select("cid", "id", "sig", "n")
+    xs = pairs.select(F.col("x").alias("cid"), F.col("y").alias("key")).join(named, "cid")
+    ys = pairs.select(F.col("y").alias("cid"), F.col("y").alias("key")).distinct().join(named, "cid")
+    left = _sets(docs, xs, id_column, text, width).select(
+        "key", F.col("cid").alias("x"), F.col("set").alias("sx"), F.col("parts").alias("px"))
+    right = _sets(docs, ys, id_column, text, width).select(
+        "key", F.col("set").alias("sy"), F.col("parts").alias("py"))
+    both = left.join(right, "key").withColumns({"nx": F.size("sx"), "ny": F.size("sy")})
     # suffix filter: what each hash range can share at most
     most = F.expr("aggregate(zip_with(px, py, (a, b) -> least(a, b)), 0, (t, a) -> t + a)")
-    both = both.where(most >= F.expr(_needed(percent, "nx", "ny")))
     shared = F.size(F.array_intersect("sx", "sy"))
-    return both.where(100 * shared >= percent * (F.col("nx") + F.col("ny") - shared)).select(
-        F.col("x").alias("u"), F.col("y").alias("v"))
+    return (both.where(most >= F.expr(_needed(percent, "nx", "ny")))
+            .where(100 * shared >= percent * (F.col("nx") + F.col("ny") - shared))
+            .select(F.col("x").alias("u"), F.col("key").alias("v")))
 
 
 def _candidates(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x, y, nx, ny) that pass the positional filter at their first common shingle."""
-    first = joined.groupBy("x", "y").agg(F.min("ix").alias("ix"), F.min("iy").alias("iy"),
-                                         F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    return first.where(f"least(nx - ix, ny - iy) >= {_needed(percent, 'nx', 'ny')}").select("x", "y", "nx", "ny")
+    """Distinct pairs (x, y, nx, ny, common) that pass the positional filter: sets that reach the
+    threshold have enough shingles left, in both, from their first common one on. A pair that has such
+    a shingle keeps it here; its other common ones may go."""
+    near = joined.where(f"least(nx - ix, ny - iy) >= {_needed(percent, 'nx', 'ny')}")
+    return near.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.count("*").alias("common"))
 
 
 def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str, text: str, width: int) -> DataFrame:
     """(``sig``, ``id``, ``n``, ``cid``, ``component``) per class of equal sets."""
     classes = stored(rows.where("n > 0").groupBy("sig").agg(
         F.min("row").alias("cid"), F.min("id").alias("id"), F.first("n").alias("n")), "classes")
-    tokens = stored(rows.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
-                    .select(F.col("row").alias("cid"), "n", F.posexplode("prefix").alias("i", "token")), "tokens")
+    copies = rows.where("n > 0").select("row").join(classes.select(F.col("cid").alias("row")), "row", "left_anti")
+    copies = stored(copies, "copies")
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    tokens = (rows.where("n > 0").join(copies, "row", "left_anti")
+              .select(F.col("row").alias("cid"), "n", F.posexplode("prefix").alias("i", "token")))
     repeated = tokens.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
     tokens = stored(tokens.join(repeated.select("token"), "token")
                     .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")),
@@ -198,24 +215,31 @@ def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str,
         if labels is not None:
             labelled = (tokens.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                         .withColumn("component", F.coalesce("component", "cid")))
-        labelled = stored(labelled, "labelled")
+            labelled = stored(labelled, "labelled")
         # what a full comparison of differing components would list
         held = labelled.groupBy("token", "component").agg(F.count("*").cast("double").alias("k"))
         work = held.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
         todo, size = work.agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2, F.sum("s")).first()
         if not todo:
             break
-        full = turn > 0 and (todo <= 2 * size or todo > 0.7 * best)
+        full = turn > 0 and (todo <= size or todo > 0.9 * best)
         best = todo
         if full:
-            pairs = _across(labelled, held, percent)
+            pairs = _candidates(_across(labelled, held, percent), percent)
         else:
-            pivot = labelled.groupBy("token", "band").agg(F.min(F.struct(
-                F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("y"), F.col("n").alias("ny"),
-                F.col("i").alias("iy"), F.col("component").alias("cy"))).alias("p")).select("token", "band", "p.*")
-            pairs = (labelled.join(pivot, ["token", "band"]).where("component <> cy")
-                     .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny", F.col("i").alias("ix"), "iy"))
-        new = _verified(_candidates(pairs, percent), classes, docs, percent, id_column, text, width)
+            # the pivot of a bucket: of its largest component, the class with the fewest shingles before this one
+            # (the likeliest to pass the positional filter); classes outside that component are compared with it
+            weight = labelled.groupBy("component").agg(F.countDistinct("cid").alias("weight"))
+            pivot = labelled.join(weight, "component").groupBy("token", "band").agg(F.min(F.struct(
+                (-F.col("weight")).alias("w"), F.col("i").alias("iy"), F.xxhash64("cid", F.lit(turn)).alias("h"),
+                F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))).alias("p"))
+            pivot = pivot.select("token", "band", "p.cy", "p.y", "p.ny", "p.iy")
+            pairs = _candidates(
+                labelled.join(pivot, ["token", "band"]).where("component <> cy")
+                .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny", F.col("i").alias("ix"), "iy"), percent)
+            # of a class's pivots, the one with the most prefix shingles in common; later rounds try others
+            pairs = pairs.groupBy("x").agg(F.max(F.struct("common", "y", "nx", "ny")).alias("p")).select("x", "p.*")
+        new = _verified(pairs, classes, docs, percent, id_column, text, width)
         links = stored(new if links is None else links.union(new), "links")
         labels = components(links)
         turn += 1
@@ -230,18 +254,20 @@ def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str,
 def _across(labelled: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Rows of one bucket in different components, sizes within the length filter: components are
     paired first, then their members looked up, so pairs inside a component are never formed."""
-    sizes = labelled.groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sizes = labelled.groupBy("token", "component").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("left"))
     mixed = held.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     sizes = sizes.join(mixed, "token", "left_semi")
-    one = sizes.select("token", F.col("component").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    two = sizes.select("token", F.col("component").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    one = sizes.select("token", F.col("component").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("left").alias("ra"))
+    two = sizes.select("token", F.col("component").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("left").alias("rb"))
     near = one.join(two, "token").where(
-        f"ca < cb AND 100L * hb >= {percent}L * la AND 100L * ha >= {percent}L * lb").select("token", "ca", "cb")
+        f"ca < cb AND 100L * hb >= {percent}L * la AND 100L * ha >= {percent}L * lb "
+        f"AND least(ra, rb) >= {_needed(percent, 'la', 'lb')}").select("token", "ca", "cb")
     x = labelled.select("token", F.col("component").alias("ca"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     y = labelled.select("token", F.col("component").alias("cb"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"))
     return (near.join(x, ["token", "ca"]).join(y, ["token", "cb"])
             .where(f"100L * nx >= {percent}L * ny AND 100L * ny >= {percent}L * nx "
-                   f"AND least(ix, iy) + least(nx - ix, ny - iy) >= {_needed(percent, 'nx', 'ny')}"))
+                   f"AND least(nx - ix, ny - iy) >= {_needed(percent, 'nx', 'ny')}"))
 
 
 def components_by_jaccard(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text",
@@ -256,3 +282,21 @@ def components_by_jaccard(docs: DataFrame, percent: int = 80, id_column: str = "
             .select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
                     "row", F.coalesce("component", "row").alias("component")))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (null ids last), then the first row.
+
+    The rows are written once with a row number, so that those to leave out, which are few where
+    near duplicates are, can be named by it; documents without words are all kept."""
+    at = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_of"),
+                            F.monotonically_increasing_id().alias("at")), "numbered")
+    numbered = at.select(F.col("at").alias("id"), F.col(f"row_of.`{text}`").alias("text"))
+    found = components_by_jaccard(numbered, percent, "id", "text", width).where("n_shingles > 0")
+    ids = at.select(F.col("at").alias("id"), F.col(f"row_of.`{id_column}`").alias("doc"))
+    best = F.min(F.struct(F.col("doc").isNull().alias("unknown"), F.col("doc"), F.col("id")))
+    first = found.join(ids, "id").groupBy("component").agg(best.alias("best")).select(F.col("best.id").alias("id"))
+    spare = stored(found.select("id").join(first, "id", "left_anti"), "spare").withColumnRenamed("id", "at")
+    if spare.count() <= BROADCAST_IDS:
+        spare = F.broadcast(spare)
+    return at.join(spare, "at", "left_anti").select("row_of.*")
