@@ -18,9 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bands as BD
 from ..functions.safe import qcol
 
 MAX_CLUSTER_CELLS = 5_000_000  # k × d bound for the per-cluster table kept on the driver
@@ -60,6 +61,9 @@ class ClusterTable:
 
 
 def cluster_table(df: DataFrame, cols: list[str], label: str = "cluster") -> ClusterTable:
+    k = df.select(qcol(label)).distinct().count()
+    if k * max(1, len(cols)) > MAX_CLUSTER_CELLS:
+        raise ValueError(f"{k} clusters x {len(cols)} columns: more than the per-cluster table may hold")
     sqnorm = None
     for c in cols:
         t = qcol(c) * qcol(c)
@@ -67,8 +71,6 @@ def cluster_table(df: DataFrame, cols: list[str], label: str = "cluster") -> Clu
     rows = (df.groupBy(qcol(label).alias("cl"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum(sqnorm).alias("q"), *[F.sum(qcol(c)).alias(f"s{i}") for i, c in enumerate(cols)])
             .orderBy("cl").collect())
-    if len(rows) * max(1, len(cols)) > MAX_CLUSTER_CELLS:
-        raise ValueError(f"{len(rows)} clusters × {len(cols)} dims exceeds the per-cluster table bound")
     return ClusterTable(ids=[r["cl"] for r in rows], n=np.array([r["n"] for r in rows], dtype=float),
                         sums=np.array([[r[f"s{i}"] for i in range(len(cols))] for r in rows], dtype=float).reshape(len(rows), len(cols)),
                         sq=np.array([r["q"] for r in rows], dtype=float))
@@ -183,3 +185,12 @@ def safe_metrics(df: DataFrame, cols: list[str], label: str = "cluster") -> dict
     return {**base, "silhouette": silhouette_sq(df, cols, label, ct),
             "davies_bouldin": davies_bouldin(df, cols, label, ct),
             "calinski_harabasz": calinski_harabasz(df, cols, label, ct)}
+
+
+def select_best(candidates: DataFrame) -> DataFrame:
+    """(model, adjusted_score, selected) from (model, raw_sil, n_clusters, n_noise, n_rows,
+    ord); the highest adjusted score is selected, the first listed on ties."""
+    adj = BD.adjusted_cluster_score(F.col("raw_sil"), F.col("n_clusters"), F.col("n_noise"), F.col("n_rows"))
+    w = Window.orderBy(F.desc("adj"), "ord")  # one row a candidate model
+    return (candidates.withColumn("adj", adj)
+            .select("model", F.round("adj", 6).alias("adjusted_score"), (F.row_number().over(w) == 1).alias("selected")))

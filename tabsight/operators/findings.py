@@ -33,8 +33,10 @@ def _fmt_col(kind: str, expr: str) -> Column:
         return F.format_number(x.cast("long"), 0)
     if kind == "r0":
         return F.round(x.cast("double"), 0).cast("long").cast("string")
-    if kind in ("f1", "f3"):
-        return F.round(x.cast("double"), int(kind[1])).cast("string")
+    if kind == "f1":
+        return F.round(x.cast("double"), 1).cast("string")
+    if kind == "f3":  # three decimals, also when they are zeros
+        return F.format_string("%.3f", F.round(x.cast("double"), 3))
     if kind == "pct1":
         return F.concat(F.round(x.cast("double") * 100, 1).cast("string"), F.lit("%"))
     return x.cast("string")
@@ -47,8 +49,10 @@ def _fmt_sql(kind: str, expr: str) -> str:
         return f"format('{{:,}}', CAST({expr} AS BIGINT))"
     if kind == "r0":
         return f"CAST(CAST(round(CAST({expr} AS DOUBLE), 0) AS BIGINT) AS VARCHAR)"
-    if kind in ("f1", "f3"):
-        return f"CAST(round(CAST({expr} AS DOUBLE), {kind[1]}) AS VARCHAR)"
+    if kind == "f1":
+        return f"CAST(round(CAST({expr} AS DOUBLE), 1) AS VARCHAR)"
+    if kind == "f3":
+        return f"format('{{:.3f}}', round(CAST({expr} AS DOUBLE), 3))"
     if kind == "pct1":
         return f"CAST(round(CAST({expr} AS DOUBLE) * 100, 1) AS VARCHAR) || '%'"
     return f"CAST({expr} AS VARCHAR)"

@@ -1,24 +1,30 @@
-"""k-means with restarts and automatic k (M5, M6) on MLlib.
-
-MLlib's ``KMeans`` has no ``n_init``: we fit ``n_init`` seeds and keep the lowest training
-cost. Fits for different seeds / k values are independent Spark jobs, submitted from a small
-driver thread pool so their stages share the cluster; the assembled feature vectors are
-persisted once and reused by every fit. k is chosen by the squared-Euclidean silhouette
-(linear time, see ``cluster_metrics``), smallest k on ties; a k whose fit fails is skipped.
+"""k-means with restarts and automatic k (M5, M6), all restarts of all k in one batched Lloyd loop.
+
+Every (k, restart) pair is a set of centres. One Spark job a step assigns the rows to the nearest
+centre of each set that still moves and sums, per centre, rows, coordinates and squared norms; only
+these (centres x columns) sums reach the driver, and sets that have converged drop out. Starts
+are k-means++ on ``SEED_ROWS`` rows taken by a hash of their key, so they do not depend on the
+partitioning. k is chosen by the squared-Euclidean silhouette (linear time, see
+``cluster_metrics``), which one more job works out for the best restart of every k; the smallest k
+wins ties. A k with fewer rows than centres is skipped.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import qcol
-from . import cluster_metrics as CM
+
+SEED_ROWS = 4096       # rows on which starting centres are drawn
+ROWS_PER_TASK = 50_000  # tasks of a step: rows over this
 
 
 def standardize(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -30,78 +36,156 @@ def standardize(df: DataFrame, cols: list[str], keep: list[str] | None = None) -
                        for i, c in enumerate(cols)])
 
 
-def _assemble(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features_vec").transform(df)
-
-
-def fit_best_of(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-                tol: float = 1e-4, threads: int = 4):
-    """Best-of-``n_init`` k-means model by training cost."""
-    def one(i):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features_vec",
-                    predictionCol="cluster")
-        m = km.fit(vec)
-        return m.summary.trainingCost, i, m
-
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, n_init))) as ex:
-        fits = list(ex.map(one, range(n_init)))
-    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-    return model, cost
-
+@dataclass
+class CentreSet:
+    """The centres of one (k, restart)."""
+
+    k: int
+    restart: int
+    centres: np.ndarray
+    counts: np.ndarray | None = None
+    sums: np.ndarray | None = None
+    norms: np.ndarray | None = None
+
+    @property
+    def cost(self) -> float:
+        """Squared distances to the centres, from the sums of the last assignment."""
+        c = self.centres
+        return float((self.norms - 2 * (c * self.sums).sum(1) + self.counts * (c * c).sum(1)).sum())
+
+
+def _starts(vec: DataFrame, key: str, ks: list[int], n_init: int, seed: int) -> list[CentreSet]:
+    order = [F.xxhash64(qcol(key), F.lit(seed)), qcol(key)]
+    rows = vec.select(key, "features").orderBy(*order).limit(SEED_ROWS).collect()
+    x = np.array([r["features"] for r in rows], dtype=float)
+    sets = []
+    for restart in range(n_init):
+        rng = np.random.default_rng([seed, restart])
+        chosen = [int(rng.integers(len(x)))]
+        gap = ((x - x[chosen[0]]) ** 2).sum(1)
+        while len(chosen) < min(max(ks), len(x)):
+            total = gap.sum()
+            pick = int(rng.choice(len(x), p=gap / total)) if total > 0 else int(rng.integers(len(x)))
+            chosen.append(pick)
+            gap = np.minimum(gap, ((x - x[pick]) ** 2).sum(1))
+        sets += [CentreSet(k, restart, x[chosen[:k]].copy()) for k in ks if k <= len(x)]
+    return sets
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+
+def _step(vec: DataFrame, sets: list[CentreSet], d: int) -> None:
+    """Assign every row in each set and put the new sums into the sets."""
+    centres = [s.centres for s in sets]
+    firsts = np.cumsum([0] + [len(c) for c in centres])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((firsts[-1], d + 2))
+        for batch in batches:
+            x = _matrix(batch.column(0), d)
+            wide = np.hstack([np.ones((len(x), 1)), (x * x).sum(1, keepdims=True), x])
+            for first, c in zip(firsts, centres):
+                own = np.zeros((len(x), len(c)))
+                own[np.arange(len(x)), _assign(x, c)] = 1
+                total[first:first + len(c)] += own.T @ wide
+        flat = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
+
+    rows = vec.select("features").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(firsts[-1] * (d + 2))
+    for r in rows:
+        total[r["at"]] = r["v"]
+    total = total.reshape(-1, d + 2)
+    for s, a, b in zip(sets, firsts[:-1], firsts[1:]):
+        s.counts, s.norms, s.sums = total[a:b, 0], total[a:b, 1], total[a:b, 2:]
+
+
+def _lloyd(vec: DataFrame, sets: list[CentreSet], d: int, max_iter: int, tol: float) -> None:
+    moving, spread = sets, None
+    for _ in range(max_iter):
+        _step(vec, moving, d)
+        if spread is None:  # mean variance of the columns: the scale of the tolerance
+            s = moving[0]
+            n = s.counts.sum()
+            spread = max((s.norms.sum() / n - ((s.sums.sum(0) / n) ** 2).sum()) / d, 0.0)
+        still = []
+        for s in moving:
+            new = np.where(s.counts[:, None] > 0, s.sums / np.maximum(s.counts, 1)[:, None], s.centres)
+            shift, s.centres = ((new - s.centres) ** 2).sum(), new
+            if shift > tol * spread:
+                still.append(s)
+        moving = still
+        if not moving:
+            break
+    _step(vec, sets, d)
+
+
+def _silhouettes(vec: DataFrame, sets: list[CentreSet], d: int) -> list[float | None]:
+    """Mean squared-Euclidean silhouette of each set, from its clusters' sums; None below two clusters."""
+    tables = [(s.centres, s.counts, s.sums, s.norms) for s in sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(tables))
+        for batch in batches:
+            x = _matrix(batch.column(0), d)
+            sq = (x * x).sum(1, keepdims=True)
+            for j, (c, n, sums, q) in enumerate(tables):
+                some = np.flatnonzero(n > 0)
+                if len(some) < 2:
+                    continue
+                mean = sq - 2 * (x @ (sums[some] / n[some, None]).T) + q[some] / n[some]
+                own = np.searchsorted(some, _assign(x, c))
+                rows = np.arange(len(x))
+                mine, size = mean[rows, own], n[some][own]
+                mean[rows, own] = np.inf
+                a, b = mine * size / np.maximum(size - 1, 1), mean.min(1)
+                top = np.maximum(a, b)
+                total[j] += np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "v"])
 
-def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features_vec", predictionCol="cluster")
-    m = km.fit(vec)
-    return m.summary.trainingCost, m
+    rows = vec.select("features").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    found = {r["at"]: r["v"] for r in rows}
+    return [float(found[j] / s.counts.sum()) if (s.counts > 0).sum() >= 2 else None for j, s in enumerate(sets)]
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int | None = None, key: str = "row_id", min_k: int = 2,
            max_k: int = 10, n_init: int = 10, seed: int = 42, max_iter: int = 300, rescale: bool = True,
-           tol: float = 1e-4, threads: int = 8):
-    """Returns (labels frame (key, cols…, cluster), k, search rows (k, silhouette, cost, error), cost).
-
-    All (k, seed) fits of the search are independent and go to one driver thread pool; per k
-    the lowest-cost seed wins, then the silhouettes of the k winners are computed (also
-    concurrently) and the best k (smallest on ties) is kept."""
+           tol: float = 1e-4):
+    """Returns (labels frame (key, cols…, cluster), k, search rows (k, silhouette, cost, error), cost)."""
     data = standardize(df, cols, keep=[key]) if rescale else df.select(key, *cols)
-    vec = _assemble(data, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    search = []
+    vec = data.withColumn("features", F.array(*[qcol(c).cast("double") for c in cols])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n, d = vec.count(), len(cols)
+        few = vec.coalesce(max(1, -(-n // ROWS_PER_TASK)))
         ks = [k] if k is not None else list(range(min_k, max_k + 1))
-        tasks = [(kk, i) for kk in ks for i in range(n_init)]
-        with ThreadPoolExecutor(max_workers=threads) as ex:
-            futs = {t: ex.submit(_fit_one, vec, t[0], seed + t[1], max_iter, tol) for t in tasks}
-            fits, errors = {}, {}
-            for (kk, i), fu in futs.items():
-                try:
-                    cost, m = fu.result()
-                    if kk not in fits or (cost, i) < (fits[kk][0], fits[kk][1]):
-                        fits[kk] = (cost, i, m)
-                except Exception as exc:  # noqa: BLE001 - a failing k is skipped, as in the reference
-                    errors[kk] = str(exc)[:200]
+        fitting = [kk for kk in ks if kk <= n]
+        if not fitting:
+            raise ValueError(f"k-means failed: {n} rows for k={ks[0]}")
+        sets = _starts(few, key, fitting, n_init, seed)
+        _lloyd(few, sets, d, max_iter, tol)
+        best = {kk: min((s for s in sets if s.k == kk), key=lambda s: (s.cost, s.restart)) for kk in fitting}
+        search = []
         if k is None:
-            def sil_of(kk):
-                lab = fits[kk][2].transform(vec).select(key, *cols, "cluster")
-                if lab.select("cluster").distinct().limit(2).count() < 2:
-                    return None
-                return CM.silhouette_sq(lab, cols)
-
-            with ThreadPoolExecutor(max_workers=threads) as ex:
-                sils = dict(zip(sorted(fits), ex.map(sil_of, sorted(fits))))
-            best_k, best = min_k, -2.0
-            for kk in ks:
-                if kk in errors or kk not in fits:
-                    search.append((kk, None, None, errors.get(kk)))
-                    continue
-                sil = sils[kk]
-                search.append((kk, None if sil is None else float(sil), float(fits[kk][0]), None))
-                if sil is not None and sil > best:
-                    best, best_k = sil, kk
-            k = best_k
-        if k not in fits:
-            raise ValueError(f"k-means failed for k={k}: {errors.get(k)}")
-        cost, _, model = fits[k]
-        labels = model.transform(vec).select(key, *cols, F.col("cluster").cast("int").alias("cluster"))
-        return labels, k, search, float(cost)
+            scores = dict(zip(fitting, _silhouettes(few, [best[kk] for kk in fitting], d)))
+            search = [(kk, scores[kk], best[kk].cost, None) if kk in best else (kk, None, None, f"{n} rows for k={kk}")
+                      for kk in ks]
+            ranked = sorted((-s, kk) for kk, s in scores.items() if s is not None)
+            k = ranked[0][1] if ranked else fitting[0]
+        centres = best[k].centres
+
+        @F.pandas_udf("int")
+        def nearest(features: pd.Series) -> pd.Series:
+            if not len(features):
+                return pd.Series([], dtype="int32")
+            return pd.Series(_assign(np.stack(features.to_numpy()), centres).astype(np.int32))
+
+        labels = vec.select(key, *cols, nearest("features").alias("cluster"))
+        return labels, k, search, best[k].cost
     finally:
         vec.unpersist()

@@ -61,17 +61,19 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> float
     return float(ev.evaluate(data))
 
 
-def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """RMSE, MAE, R² (R² = 1 when both sums of squares are 0, 0 when only the total is)."""
+def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                       digits: int | None = R) -> DataFrame:
+    """RMSE, MAE, R² (R² = 1 when both sums of squares are 0, 0 when only the total is); ``digits`` None: not rounded."""
+    shown = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     y, p = qcol(label).cast("double"), qcol(prediction).cast("double")
     m = df.agg(F.avg(y).alias("ybar")).first()["ybar"]
     agg = df.agg(F.sum((y - p) * (y - p)).alias("ssr"), F.sum(F.abs(y - p)).alias("sae"),
                  F.sum((y - F.lit(m)) * (y - F.lit(m))).alias("sst"), F.count(F.lit(1)).alias("n"))
     r2 = (F.when(F.col("sst") == 0, F.when(F.col("ssr") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
           .otherwise(F.lit(1.0) - F.col("ssr") / F.col("sst")))
-    return agg.select(F.round(F.sqrt(F.try_divide(F.col("ssr"), F.col("n").cast("double"))), R).alias("rmse"),
-                      F.round(F.try_divide(F.col("sae"), F.col("n").cast("double")), R).alias("mae"),
-                      F.round(r2, R).alias("r2"))
+    return agg.select(shown(F.sqrt(F.try_divide(F.col("ssr"), F.col("n").cast("double")))).alias("rmse"),
+                      shown(F.try_divide(F.col("sae"), F.col("n").cast("double"))).alias("mae"),
+                      shown(r2).alias("r2"))
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:

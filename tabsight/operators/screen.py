@@ -105,11 +105,7 @@ def prep_drop_columns(df: DataFrame, exclude_cols: list[str] | None = None,
 
 def prep_id_col(name: Column) -> Column:
     """P11 as a Column over a string column of names."""
-    low = F.lower(name)
-    out = (low == F.lit("id")) | low.endswith("_id")
-    for p in N.PREP_ID_PARTS:
-        out = out | F.contains(low, F.lit(f"_{p}")) | F.contains(low, F.lit(f"{p}_"))
-    return out
+    return name.rlike(N.PREP_ID_PATTERN)
 
 
 def column_classes(df: DataFrame) -> list[tuple[str, str]]:

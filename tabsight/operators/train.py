@@ -87,7 +87,7 @@ def score_frame(pred: DataFrame, problem: str) -> float:
     """Primary metric: accuracy or R²."""
     if problem == CLASSIFICATION:
         return pred.agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))).first()[0]
-    return ME.regression_metrics(pred).first()["r2"]
+    return ME.regression_metrics(pred, digits=None).first()["r2"]
 
 
 @dataclass
@@ -162,12 +162,18 @@ def train(df: DataFrame, target: str, exclude_cols: list[str] | None = None, n_s
     y_std = data.agg(F.stddev_pop("label")).first()[0] if problem == REGRESSION else None
     names = pre.feature_names()
     try:
-        n_train = int(n * (k - 1) / k)
-        models = make_models(problem, n_train, len(counts), y_std, seed, rf_depth)
+        models = make_models(problem, n, len(counts), y_std, seed, rf_depth)  # of the last fit, on all rows
+        by_fold = folds.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("s"),
+                                            F.sum(F.col("label") * F.col("label")).alias("q")).collect()
+
+        def fold_models(f):  # penalties from the rows that are fitted
+            m, s, q = (sum(float(r[c] or 0) for r in by_fold if r["fold"] != f) for c in ("n", "s", "q"))
+            spread = max(q / m - (s / m) ** 2, 0.0) ** 0.5 if problem == REGRESSION and m else None
+            return make_models(problem, int(m), len(counts), spread, seed, rf_depth)
 
         def fit_fold(task):
             name, f = task
-            est = models[name]
+            est = fold_models(f)[name]
             tr = folds.where(F.col("fold") != f)
             te = folds.where(F.col("fold") == f)
             m = est.fit(tr)

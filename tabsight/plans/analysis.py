@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands as BD
 from ..functions.classes import NUMERIC, classify
-from ..functions.safe import qcol
+from ..functions.safe import normalize_missing, qcol
 from ..operators import cluster_metrics as CM
 from ..operators import dbscan as DB
 from ..operators import findings as FD
@@ -79,20 +79,14 @@ def cluster_all(processed: DataFrame, names: list[str], kmeans_k: int | None = N
     return runs
 
 
-def pick_best(runs: dict) -> str:
-    """M9: adjusted silhouette, first listed wins ties; raises on an empty set."""
+def best_run(spark, runs: dict) -> str:
+    """The name of the run that ``cluster_metrics.select_best`` selects."""
     if not runs:
-        raise ValueError("Could not select best model from results")
-    best, best_score = None, float("-inf")
-    for name, r in runs.items():
-        m = r.metrics
-        score = m["silhouette"] - (1.0 if m["n_clusters"] <= 1 else 0.0)
-        noise = m["n_noise"] / m["n_rows"] if m["n_rows"] else 0.0
-        if noise > 0.3:
-            score -= (noise - 0.3) * 2
-        if score > best_score:
-            best, best_score = name, score
-    return best
+        raise ValueError("no clustering finished, so there is none to choose")
+    rows = [(name, float(r.metrics["silhouette"]), int(r.metrics["n_clusters"]), int(r.metrics["n_noise"]),
+             int(r.metrics["n_rows"]), i) for i, (name, r) in enumerate(runs.items())]
+    table = spark.createDataFrame(rows, "model string, raw_sil double, n_clusters long, n_noise long, n_rows long, ord int")
+    return CM.select_best(table).where("selected").first()["model"]
 
 
 def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: bool = False, auto_clean: bool = True,
@@ -100,6 +94,7 @@ def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: boo
     """The unsupervised run, plus modelling when a present target is given."""
     ensure_checkpoint_dir(df.sparkSession)
     screen = None
+    df = normalize_missing(df)
     clean = df
     if auto_clean:
         clean, screen = S.validate_and_clean(df, target_col)
@@ -108,9 +103,8 @@ def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: boo
     prepared = PR.preprocess(clean, target_col=target_col)
     processed = prepared.frame.persist(StorageLevel.MEMORY_AND_DISK)
     names = prepared.feature_names
-    n_rows = processed.count()
     runs = cluster_all(processed, names, kmeans_k, n_init, methods)
-    best = pick_best(runs)
+    best = best_run(df.sparkSession, runs)
     best_labels = runs[best].labels.checkpoint()                             # reused by every report below
     labelled = processed.join(best_labels, "row_id", "left").checkpoint()   # J1: labels back on their rows
     pca_res = PR.pca(processed, names, 2, keep=["row_id"], drop_all_null_rows=True)
@@ -119,19 +113,33 @@ def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: boo
     if run_modeling and target_col and target_col in df.columns:
         model_input, _ = S.validate_and_clean(df, target_col) if auto_clean else (df, None)
         modeling = TR.train(model_input, target_col)
-    findings = full_report(labelled, names, runs[best], modeling)
-    return AnalysisResult("success", (n_rows, len(clean.columns)), screen, processed, names, runs, best, labelled,
-                          pca, modeling, findings, feature_statistics(labelled))
+    quality = report_quality(clean)
+    findings = full_report(labelled, quality, runs[best], modeling)
+    processed.unpersist()
+    return AnalysisResult("success", (clean.count(), len(clean.columns)), screen, processed, names, runs, best, labelled,
+                          pca, modeling, findings, feature_statistics(clean))
 
 
 def _one_row(spark, values: dict, schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], schema)
 
 
-def full_report(labelled: DataFrame, names: list[str], run: ClusteringRun,
+def report_quality(clean: DataFrame) -> DataFrame:
+    """One row of the cleaned table's quality, before anything is filled in or scaled: records, missing
+    cells in percent, and features (all, numeric, categorical)."""
+    kinds = [k for _, k in classify(clean)]
+    nulls = sum((F.count_if(qcol(c).isNull()) for c in clean.columns), F.lit(0))
+    return clean.agg(F.count(F.lit(1)).alias("n_records"), nulls.alias("nulls")).select(
+        F.lit("dataset").alias("subject"), "n_records",
+        F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("n_records") * len(kinds)), F.lit(0.0)).alias("missing_pct"),
+        F.lit(len(kinds)).alias("n_features"), F.lit(kinds.count(NUMERIC)).alias("n_numeric"),
+        F.lit(len(kinds) - kinds.count(NUMERIC)).alias("n_categorical"), F.lit(True).alias("has_clustering"))
+
+
+def full_report(labelled: DataFrame, quality: DataFrame, run: ClusteringRun,
                 modeling: TR.ModelingResult | None) -> DataFrame:
-    """Feature statistics summary, cluster quality, cluster balance, model insights,
-    quality metrics and recommendations — as one findings table."""
+    """Cluster quality and balance (from ``labelled``), model insights, and the data's quality and
+    recommendations (from ``quality``, see :func:`report_quality`) — as one findings table."""
     spark = labelled.sparkSession
     m = run.metrics
     sizes = CM.cluster_sizes(labelled, "cluster").agg(
@@ -144,17 +152,8 @@ def full_report(labelled: DataFrame, names: list[str], run: ClusteringRun,
     parts = [FD.run(cm, "subject", FD.CLUSTER_QUALITY, "clustering"),
              FD.run(cm, "subject", FD.CLUSTER_BALANCE, "clustering"),
              FD.run(cm, "subject", FD.CLUSTERING_BUSINESS, "clustering_summary")]
-    n_feat = len(labelled.columns) - 1
-    nulls = None
-    for c in labelled.columns:
-        t = F.count_if(qcol(c).isNull())
-        nulls = t if nulls is None else nulls + t
-    q = labelled.agg(F.count(F.lit(1)).alias("n_records"), nulls.alias("nulls")).select(
-        F.lit("dataset").alias("subject"), "n_records",
-        F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("n_records") * n_feat), F.lit(0.0)).alias("missing_pct"),
-        F.lit(n_feat).alias("n_features"), F.lit(True).alias("has_clustering"))
-    parts += [FD.run(q, "subject", FD.DATA_QUALITY, "data_quality"),
-              FD.run(q, "subject", FD.RECOMMEND, "recommendations")]
+    parts += [FD.run(quality, "subject", FD.DATA_QUALITY, "data_quality"),
+              FD.run(quality, "subject", FD.RECOMMEND, "recommendations")]
     if modeling is not None and modeling.all_importances:
         imp = spark.createDataFrame(modeling.all_importances, "feature string, importance double")
         summ = FD.importance_summary(imp).withColumn("subject", F.lit(modeling.best_model_name))
@@ -165,7 +164,8 @@ def full_report(labelled: DataFrame, names: list[str], run: ClusteringRun,
         mm = _one_row(spark, {"subject": modeling.best_model_name, "model_name": modeling.best_model_name,
                               "problem_type": modeling.problem_type, "best_score": float(modeling.best_score),
                               "cv_mean": float(np.mean(cv)), "cv_std": float(np.std(cv)),
-                              "n_records": int(modeling.training_data["n_samples"]), "missing_pct": 0.0,
+                              "n_records": int(modeling.training_data["n_samples"]),
+                              "missing_pct": float(quality.first()["missing_pct"]),
                               "top_feature": modeling.feature_importance[0][0] if modeling.feature_importance else None},
                       "subject string, model_name string, problem_type string, best_score double, cv_mean double, "
                       "cv_std double, n_records long, missing_pct double, top_feature string")
@@ -178,7 +178,6 @@ def full_report(labelled: DataFrame, names: list[str], run: ClusteringRun,
     return out
 
 
-def feature_statistics(labelled: DataFrame) -> DataFrame:
-    """A6 part of G12: distribution of every numeric column except the cluster label."""
-    num = [c for c, k in classify(labelled) if k == NUMERIC and c != "cluster"]
-    return ST.feature_distribution(labelled, num)
+def feature_statistics(clean: DataFrame) -> DataFrame:
+    """A6 part of G12: distribution of every numeric column of the cleaned table, in its own units."""
+    return ST.feature_distribution(clean, [c for c, k in classify(clean) if k == NUMERIC])

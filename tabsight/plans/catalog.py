@@ -700,15 +700,7 @@ def _select(spark, d):
     # Adjusted score per candidate; the best (first listed on ties) is selected
     ev = _evaluation_frame(spark, _labels(spark, d), "p_size_bands").withColumn("ord", F.lit(0)).unionByName(
         _evaluation_frame(spark, _price_split(spark, d), "price_split").withColumn("ord", F.lit(1)))
-    return select_best(ev)
-
-
-def select_best(ev):
-    from pyspark.sql import Window
-    adj = BD.adjusted_cluster_score(F.col("raw_sil"), F.col("n_clusters"), F.col("n_noise"), F.col("n_rows"))
-    w = Window.orderBy(F.desc("adj"), "ord")
-    return (ev.withColumn("adj", adj)
-            .select("model", F.round("adj", R).alias("adjusted_score"), (F.row_number().over(w) == 1).alias("selected")))
+    return CM.select_best(ev)
 
 
 # =============================================================== neighbours and DBSCAN
@@ -1305,7 +1297,7 @@ def _summary(spark, d):
 @register("cluster_labels")
 def _cluster_labels(spark, d):
     # IO6: the labelled processed table written as Parquet and read back
-    res = AN.run_analysis(T(spark, d, "part"), methods=("DBSCAN",))
+    res = AN.run_analysis(T(spark, d, "part"))
     path = SK.write_labelled(res.labelled, "part_labelled")
     return spark.read.parquet(path).select("row_id", "cluster")
 
@@ -1315,7 +1307,7 @@ def _csv_scan(spark, d):
     # IO1: events written as CSV (blank strings, timestamps, JSON text) and read back with narrowing
     ev = DV.events_blank(T(spark, d, "events"))
     path = SK.results_dir(spark, "events_csv")
-    ev.write.mode("overwrite").option("header", True).csv(path)
+    ev.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     back = CSV.read_csv(spark, path)
     return back.select([F.col(f"`{c}`") for c in back.columns])
 

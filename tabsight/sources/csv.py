@@ -48,10 +48,10 @@ def dedupe_header(names: list[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-           .option("nullValue", "").option("emptyValue", "").option("mode", "PERMISSIVE").csv(path))
-    header = spark.read.option("sep", sep).csv(path).first()
-    names = dedupe_header([("" if v is None else str(v)) for v in header]) if header else raw.columns
+    reader = spark.read.options(sep=sep, quote='"', escape='"', multiLine=True)  # quotes doubled, lines inside quotes
+    raw = reader.options(header=True, inferSchema=False, nullValue="", emptyValue="", mode="PERMISSIVE").csv(path)
+    header = reader.options(header=False).csv(path).first()
+    names = dedupe_header([str(v) if v else f"Unnamed: {i}" for i, v in enumerate(header)]) if header else raw.columns
     raw = raw.toDF(*names)
     na = F.array(*[F.lit(t) for t in NA_TOKENS])
     clean = raw.select(*[F.when(F.array_contains(na, qcol(c)) | qcol(c).isNull(), F.lit(None).cast("string"))
@@ -60,8 +60,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
         x = qcol(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), F.count(x.try_cast("bigint")).alias(f"l{i}"),
+                 F.count(x.try_cast("double")).alias(f"d{i}"),
                  F.count_if(F.array_contains(booleans, x)).alias(f"b{i}")]
     aggs.append(F.count(F.lit(1)).alias("rows"))
     st = clean.agg(*aggs).first()
@@ -73,9 +73,9 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         if n == 0:
             out.append(x.cast("double").alias(c))
         elif st[f"l{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").cast("long" if n == rows else "double").alias(c))
+            out.append(x.try_cast("bigint").cast("long" if n == rows else "double").alias(c))
         elif st[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(x.try_cast("double").alias(c))
         elif st[f"b{i}"] == n and n == rows:
             out.append(F.array_contains(trues, x).alias(c))
         else:

@@ -32,7 +32,7 @@ def test_model_performance_cuts(spark):
               FD.MODEL_BUSINESS)
     assert "**Weak** (<60%)" in m[("w", 0)] and "**Moderate** (60%-75%)" in m[("m", 0)]
     assert "**Moderate** (60%-75%)" in m[("m2", 0)] and "**Strong** (>75%)" in m[("s", 0)]
-    assert "(R² = 0.8)" in m[("r", 0)]
+    assert "(R² = 0.800)" in m[("r", 0)]
     assert m[("w", 1)].startswith("✅ **Stable Model**")          # cv 0 < 0.05
     assert m[("m", 1)].startswith("📊 **Reasonable Stability**")   # cv 0.0502
     assert m[("m2", 1)].startswith("📊 **Reasonable Stability**")  # cv 0.08 < 0.10
@@ -44,8 +44,8 @@ def test_clustering_cuts(spark):
             ("ten", 10, 0.0, 10, 30, 21, 100), ("many", 11, None, None, None, 0, 100)]
     m = _msgs(spark, rows, "subject string, n_clusters long, silhouette double, min_size long, max_size long, "
                            "n_noise long, n_rows long", FD.CLUSTERING_BUSINESS)
-    assert "**Strong** (0.6)" in m[("one", 0)] and "**Moderate** (0.5)" in m[("three", 0)]
-    assert "No reliable segmentation" in m[("ten", 0)] and "(-1.0)" in m[("many", 0)]
+    assert "**Strong** (0.600)" in m[("one", 0)] and "**Moderate** (0.500)" in m[("three", 0)]
+    assert "No reliable segmentation" in m[("ten", 0)] and "(-1.000)" in m[("many", 0)]
     assert m[("one", 1)].startswith("⚠️ **Homogeneous Data**")
     assert "**3** distinct segments" in m[("three", 1)] and "**5** clusters indicate" in m[("five", 1)]
     assert m[("ten", 1)].startswith("🔍 **High Granularity**") and m[("many", 1)].startswith("🔬 **Fine-Grained**")

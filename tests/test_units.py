@@ -164,3 +164,38 @@ def test_pca_drops_all_null_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, None), (4.0, 3.0)], "a double, b double")
     out, ratios = PR.pca(df, ["a", "b"], 2, drop_all_null_rows=True)
     assert out.count() == 4 and abs(sum(ratios) - 1.0) < 1e-9
+
+
+def test_csv_from_pythons_writer(spark, tmp_path):
+    import csv
+
+    from tabsight.sources.csv import read_csv
+    rows = [["", "a", "a", "`odd`"], ["1", '{"k": "v, w"}', "two\nlines", "x"], ["2", 'say "hi"', "", "y"]]
+    with open(tmp_path / "t.csv", "w", newline="") as f:
+        csv.writer(f).writerows(rows)
+    back = read_csv(spark, f"file://{tmp_path}/t.csv")
+    assert back.columns == ["Unnamed: 0", "a", "a.1", "`odd`"]
+    assert sorted(tuple(r) for r in back.collect()) == [
+        (1, '{"k": "v, w"}', "two\nlines", "x"), (2, 'say "hi"', None, "y")]
+
+
+def test_report_reads_the_cleaned_table(spark):
+    from tabsight.plans.analysis import report_quality
+    rows = [(float(i), None if i % 4 == 0 else "x") for i in range(100)]
+    q = report_quality(spark.createDataFrame(rows, "v double, w string")).first()
+    assert (q["n_records"], q["n_features"], q["n_numeric"], q["n_categorical"], q["missing_pct"]) == (100, 2, 1, 1, 12.5)
+
+
+def test_kmeans_does_not_depend_on_the_partitioning(spark):
+    from pyspark.sql import functions as F
+
+    from tabsight.operators.kmeans import kmeans
+    points = spark.range(400).select(F.col("id").alias("row_id"), (F.pmod("id", F.lit(4)) * 5 + F.rand(1)).alias("x"),
+                                     (F.pmod("id", F.lit(4)) * 3 + F.rand(2)).alias("y"))
+    points = spark.createDataFrame(points.collect(), points.schema)
+    found = []
+    for n in (1, 8, 60):
+        labels, k, search, cost = kmeans(points.repartition(n), ["x", "y"], n_init=3, max_k=6)
+        found.append((k, sorted((r["row_id"], r["cluster"]) for r in labels.collect()), round(cost, 9)))
+        assert [s[0] for s in search] == list(range(2, 7))
+    assert found[0] == found[1] == found[2] and found[0][0] == 4
