@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import qcol
+from ..session import ship
 
 SEED_ROWS = 4096       # rows on which starting centres are drawn
 ROWS_PER_TASK = 50_000  # tasks of a step: rows over this
@@ -158,6 +159,7 @@ def kmeans(df: DataFrame, cols: list[str], k: int | None = None, key: str = "row
            max_k: int = 10, n_init: int = 10, seed: int = 42, max_iter: int = 300, rescale: bool = True,
            tol: float = 1e-4):
     """Returns (labels frame (key, cols…, cluster), k, search rows (k, silhouette, cost, error), cost)."""
+    ship(df.sparkSession)
     data = standardize(df, cols, keep=[key]) if rescale else df.select(key, *cols)
     vec = data.withColumn("features", F.array(*[qcol(c).cast("double") for c in cols])).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,12 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
 
 
-def materialize(df, name: str = "t"):
-    """Cut lineage by writing ``df`` as Parquet under the checkpoint directory and reading it
-    back — for tables that are also worth keeping as files (columnar, prunable); iterative
-    operators use ``checkpoint()``, which writes to the same shared storage."""
-    import uuid
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable for the Python workers, as ``--py-files`` does, once per application."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(root):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "tabsight_package.zip")  # Spark copies it to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                whole = os.path.join(folder, name)
+                z.write(whole, os.path.relpath(whole, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
