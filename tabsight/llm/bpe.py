@@ -31,9 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tabsight.llm.common import ship
+
 LEAF = 6  # bytes merged directly; such short strings recur, so their ids are remembered
 _SCAN = 200  # bytes up to which a plain scan for the next merge beats a heap
-_KEPT = 500_000  # pieces remembered by one worker process
+_KEPT = 200_000  # pieces remembered by one worker process, and as many from before
+_SEAMS = 60_000  # short strings and seams remembered
 _OUT = 2_000_000  # ids in one output batch
 
 
@@ -103,7 +106,7 @@ class Codec:
         if ids is None:
             ids = self.merge(piece)
             if len(piece) <= 2 * LEAF:
-                if len(self.short) >= _KEPT:
+                if len(self.short) >= _SEAMS:
                     self.short.clear()
                 self.short[piece] = ids
         return ids
@@ -112,7 +115,7 @@ class Codec:
         """True if the two tokens side by side are the encoding of their joined bytes."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= _KEPT:
+            if len(self.pairs) >= _SEAMS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
@@ -155,18 +158,23 @@ class Codec:
 
 
 class _Pieces(dict):
-    """Piece of text -> its ids, packed; forgets everything once it holds ``_KEPT`` pieces."""
+    """Piece of text -> its ids, packed; once it holds ``_KEPT`` pieces they become the old ones, of
+    which those met again are taken over and the others forgotten at the next turn."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
         self.codec = codec
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.codec.ranks.get(raw)  # a piece that is itself a token is never split
-        ids = array("i", [whole] if whole is not None else self.codec.tree(raw)).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.codec.ranks.get(raw)  # a piece that is itself a token is never split
+            ids = array("i", [whole] if whole is not None else self.codec.tree(raw)).tobytes()
         if len(piece) <= 64:
             if len(self) >= _KEPT:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -187,9 +195,10 @@ def _shared(spark, tokens: list[bytes], pattern: str):
     return key, spark.sparkContext.broadcast(tokens)
 
 
-def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, work) -> DataFrame:
-    """``df`` with column ``out``; ``work`` maps a list of values to batches of results."""
-    keep = [c for c in df.columns if c.lower() != out.lower()]
+def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, work, keep: list[str] | None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (None: all) and ``out``; ``work`` maps a batch of values to batches of results."""
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c.lower() != out.lower() and (keep is None or c in keep)]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, kind)])
     at = len(keep)
 
@@ -200,6 +209,7 @@ def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, work) -> Dat
                 held = [c.slice(start, len(found)) for c in columns[:at]]
                 yield pa.RecordBatch.from_arrays([*held, found], names=[*keep, out])
                 start += len(found)
+        pa.default_memory_pool().release_unused()  # the worker process is kept for other tasks
 
     values = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("__in"))
     return values.mapInArrow(run, schema)
@@ -210,8 +220,10 @@ def _lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the token ids (``array<int>``) of its ``text`` column in ``out``."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids",
+           keep: list[str] | None = None) -> DataFrame:
+    """``df`` with the token ids (``array<int>``) of its ``text`` column in ``out``; of its own columns
+    those in ``keep``, or all."""
     key, tokens = _shared(df.sparkSession, load_tokens(path), pattern)
 
     def work(texts: pa.Array) -> Iterator[pa.Array]:
@@ -225,10 +237,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         if packed:
             yield _lists(packed)
 
-    return _mapped(df, text, out, T.ArrayType(T.IntegerType()), work)
+    return _mapped(df, text, out, T.ArrayType(T.IntegerType()), work, keep)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded",
+           keep: list[str] | None = None) -> DataFrame:
     """``df`` with the bytes that its ``ids`` column stands for in ``out``."""
     key, tokens = _shared(df.sparkSession, load_tokens(path), pattern)
 
@@ -243,4 +256,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         if found:
             yield pa.array(found, pa.binary())
 
-    return _mapped(df, ids, out, T.BinaryType(), work)
+    return _mapped(df, ids, out, T.BinaryType(), work, keep)

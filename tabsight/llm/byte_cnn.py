@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsight.llm.common import ship
+
 WIDTH, FILTERS, BLOCK, PIECE = 8, 16, 128, 1 << 19
 TRAIN_CHARS, PER_CLASS, EPOCHS, SEED = 2000, 1500, 14, 7
 KEEP_FROM = 0.7
@@ -157,6 +159,7 @@ _MODELS: dict[str, ByteCNN] = {}
 
 def score_column(spark, model: ByteCNN, text: str | Column = "text") -> Column:
     """The probability of label 1 for a whole text, as a column."""
+    ship(spark)
     shared = spark.sparkContext.broadcast((model.filters, model.bias, model.out, model.shift, model.constant))
     key = hashlib.sha256(model.filters.tobytes() + model.out.tobytes() + repr((model.shift, model.constant)).encode()).hexdigest()
 

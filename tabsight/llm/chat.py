@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import ship, stored
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 # Control strings of chat templates, none of which may stand in a formatted text by itself.
@@ -100,6 +100,7 @@ def pack(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     *members*: per conversation and interval of its path, in order: ``conv_id``, ``nth``, ``tree``, the ``run``
     that holds it, and ``start`` and ``end`` in the tree.
     """
+    ship(conversations.sparkSession)
     turns = F.sort_array(F.collect_list(F.struct(
         F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv")).agg(turns.alias("turns"))
@@ -191,5 +192,6 @@ def digests(read: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[
                     "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+    ship(read.sparkSession)
     return read.select("conv_id", "formatted", "loss").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

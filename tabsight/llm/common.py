@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.session import ensure_checkpoint_dir
+from tabsight.session import ensure_checkpoint_dir, ship
+
+__all__ = ["packed", "read", "ship", "stored", "train_split"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsight.llm.common import ship
 from tabsight.llm.ngram_join import hashed_windows
 
 FEATURE_BITS, RANK, EXTRA, SEED = 13, 56, 8, 11
@@ -126,6 +127,7 @@ def learn_space(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
     One pass counts and sums: with T the passages' term counts, D the weights and A = TD, a random
     W = D^-1 R makes A'AW = D(T'TR), so T'TR can be summed before the weights are known. FEATURES + 1
     rows reach the driver, whatever the input."""
+    ship(docs.sparkSession)
     width = RANK + EXTRA
     columns = [f"c{j}" for j in range(width)]
 

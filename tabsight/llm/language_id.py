@@ -26,6 +26,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsight.llm.common import ship
+
 UNKNOWN = "und"
 DICTIONARY_BYTES, SAMPLE_CHARS, SAMPLE_DOCS, MIN_MARGIN = 64_000, 2_000, 64, 0.01
 CHUNK, LEVEL, SHORT, SHORT_LEVEL = 4_096, 6, 400, 19
@@ -91,6 +93,7 @@ _HELD: dict[str, Classifier] = {}
 
 def language_column(spark, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> Column:
     """A struct of ``lang``, ``score`` and ``rejected`` for a whole text."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(dictionaries)
     key = hashlib.sha256(repr(sorted(dictionaries.items())).encode()).hexdigest()
 

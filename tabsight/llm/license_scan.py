@@ -24,6 +24,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from tabsight.llm.common import ship
+
 # Fixed values: (label, name, keywords of which one must occur, versions that get labels of their own).
 FAMILIES = (
     ("gpl", r"gnu (?:general public|gpl) licen[sc]e|gnu gpl|\bgpl", ("gnu", "gpl"), ("1", "2", "3")),
@@ -213,8 +215,9 @@ def _resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 _SCANNER: list[Scanner] = []
 
 
-def scan_column(text: str = "text") -> Column:
+def scan_column(spark, text: str = "text") -> Column:
     """The whole scan of a text as a struct column."""
+    ship(spark)
 
     @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
                   "labels array<string>, score double, detections array<struct<start: long, end: long, label: string, "

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import ship, stored
 from tabsight.llm.components import components
 
 ORDER_BITS = 18
@@ -274,6 +274,7 @@ def components_by_jaccard(docs: DataFrame, percent: int = 80, id_column: str = "
                           width: int = 5) -> DataFrame:
     """Per row of ``docs``: its id, ``n_shingles``, ``row`` (this run's row number) and
     ``component_id``, the smallest id reachable by links."""
+    ship(docs.sparkSession)
     rows = prefixes(docs, percent, id_column, text, width)
     classes = link_classes(docs, rows, percent, id_column, text, width)
     names = classes.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -26,7 +26,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN).select("doc_id", "ids")
+    coded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id"])
     back = bpe.decode(coded, VOCABULARY, public_tokenizers.PATTERN)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -46,7 +46,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", license_scan.scan_column("text").alias("s"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", license_scan.scan_column(spark).alias("s"))
     return docs.select("doc_id", "s.n_words", "s.n_base", "s.first_word", "s.last_word",
                        F.array_join("s.base_labels", ",").alias("base_labels"),
                        F.array_join("s.labels", ",").alias("labels"), "s.score",

@@ -229,7 +229,7 @@ def test_license_base_against_regex(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").collect()]
     docs += [(-i, t) for i, t in enumerate(["cc by cc by cc-by", "CC BY\n\nMIT License mit license", "accby cc byx", "GNU general\tpublic LICENSE", None, ""], 1)]
     got = {r["doc_id"]: r["s"] for r in spark.createDataFrame(docs, "doc_id long, text string")
-           .select("doc_id", license_scan.scan_column().alias("s")).collect()}
+           .select("doc_id", license_scan.scan_column(spark).alias("s")).collect()}
     for doc, text in docs:
         words = word.findall(ascii_lower(text or ""))
         places, labels = [], set()
