@@ -104,8 +104,10 @@ def stacked_values(df: DataFrame, columns: list[str] | None = None, counting_onl
     cols = list(columns) if columns is not None else list(df.columns)
     pos_of = {c: i for i, c in enumerate(df.columns)}
 
+    floating = {c: t for c, t in df.dtypes if t in ("double", "float")}
+
     def val(c):
-        v = qcol(c).cast("string")
+        v = (qcol(c) + F.lit(0.0).cast(floating[c]) if c in floating else qcol(c)).cast("string")  # -0.0 is 0.0
         return _count_key(v) if counting_only else v
 
     return df.select(F.inline(F.array(*[

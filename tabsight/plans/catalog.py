@@ -334,9 +334,9 @@ def _catdist(spark, d):
     return P.category_distribution(T(spark, d, "orders"))
 
 
-@register("category_distribution_documents", _catdist_sql("documents", ["lang", "source"]))
+@register("category_distribution_documents", _catdist_sql("documents", ["lang", "source", "text"]))
 def _catdist2(spark, d):
-    return P.category_distribution(T(spark, d, "documents"), ["lang", "source"])
+    return P.category_distribution(T(spark, d, "documents"), ["lang", "source", "text"])
 
 
 @register("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -537,11 +537,10 @@ def _pca(spark, d):
           f"UNION ALL SELECT 'PC2', round(l2 / (l1 + l2), {R}) FROM e")
 def _pca_ev(spark, d):
     res = PR.pca(T(spark, d, "part"), ["p_size", "p_retailprice"], 2, keep=["p_partkey"])
-    frame, ratios = res
     # C5 side table: explained variance per component, derived from the fitted covariance of the scan
-    return frame.limit(1).select(F.inline(F.array(*[
-        F.struct(F.lit(f"PC{i + 1}").alias("component"), F.round(F.lit(r), R).alias("explained_variance_ratio"))
-        for i, r in enumerate(ratios)])))
+    rows = [(f"PC{i + 1}", float(r)) for i, r in enumerate(res[1])]
+    return spark.createDataFrame(rows, "component string, explained_variance_ratio double").select(
+        "component", F.round("explained_variance_ratio", R).alias("explained_variance_ratio"))
 
 
 # =============================================================== cluster metrics on fixed labels
@@ -656,7 +655,7 @@ def _eval_sql(src: str, name: str) -> str:
             f"CASE WHEN k.nc < 2 THEN NULL ELSE (SELECT avg(r) FROM r) END AS db, "
             f"CASE WHEN k.nc < 2 THEN NULL ELSE b.b * (g.n - b.k) / ((SELECT sum(d2) FROM w) * (b.k - 1)) END AS ch FROM k, b, g) "
             f"SELECT {lit(name)} AS model, CAST(nc AS BIGINT) AS n_clusters, CAST(nn AS BIGINT) AS n_noise, CAST(nr AS BIGINT) AS n_rows, "
-            f"round(sil, 4) AS silhouette_score, round(db, 4) AS davies_bouldin_score, round(ch, 4) AS calinski_harabasz_score, "
+            f"round(sil, 4) AS silhouette_sq, round(db, 4) AS davies_bouldin_score, round(ch, 4) AS calinski_harabasz_score, "
             f"CASE WHEN sil > 0.5 THEN 'strong' WHEN sil > 0.2 THEN 'moderate' ELSE 'weak' END AS quality, sil AS raw_sil FROM mt")
 
 
@@ -668,18 +667,18 @@ def _evaluation_frame(spark, lab, name: str):
 
     row = (name, m["n_clusters"], m["n_noise"], m["n_rows"], r4(m["silhouette"]), r4(m["davies_bouldin"]),
            r4(m["calinski_harabasz"]), float(m["silhouette"]))
-    df = spark.createDataFrame([row], "model string, n_clusters long, n_noise long, n_rows long, silhouette_score double, "
+    df = spark.createDataFrame([row], "model string, n_clusters long, n_noise long, n_rows long, silhouette_sq double, "
                                       "davies_bouldin_score double, calinski_harabasz_score double, raw_sil double")
     return df.withColumn("quality", BD.cluster_quality_band(F.col("raw_sil")))
 
 
 @register("cluster_evaluation",
-          f"SELECT model, n_clusters, n_noise, silhouette_score, davies_bouldin_score, calinski_harabasz_score, quality "
+          f"SELECT model, n_clusters, n_noise, silhouette_sq, davies_bouldin_score, calinski_harabasz_score, quality "
           f"FROM ({_eval_sql(_PL, 'p_size_bands')})")
 def _ceval(spark, d):
     # F16: the rounded evaluation summary of one labelling
     return _evaluation_frame(spark, _labels(spark, d), "p_size_bands").select(
-        "model", "n_clusters", "n_noise", "silhouette_score", "davies_bouldin_score", "calinski_harabasz_score", "quality")
+        "model", "n_clusters", "n_noise", "silhouette_sq", "davies_bouldin_score", "calinski_harabasz_score", "quality")
 
 
 _PRICE_SPLIT_SQL = f"(SELECT row_id, x0, x1, CASE WHEN x1 > 0 THEN 1 ELSE 0 END AS cluster FROM {_PP})"
@@ -1143,12 +1142,9 @@ _IMP_SQL = " UNION ALL ".join(
 
 def _importance(spark, d):
     li = T(spark, d, "lineitem")
-    corr = ST.correlation_matrix(li, _IMP_FEATS + ["l_extendedprice"])
-    # unrounded r for the ranking: recompute from the same aggregate without the rounding step
     aggs = [F.try_divide(F.covar_pop(F.col(c).cast("double"), F.col("l_extendedprice")),
                          F.stddev_pop(F.col(c).cast("double")) * F.stddev_pop("l_extendedprice")).alias(c) for c in _IMP_FEATS]
     wide = li.agg(*aggs)
-    del corr
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in _IMP_FEATS])))
 
 

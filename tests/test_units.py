@@ -199,3 +199,9 @@ def test_kmeans_does_not_depend_on_the_partitioning(spark):
         found.append((k, sorted((r["row_id"], r["cluster"]) for r in labels.collect()), round(cost, 9)))
         assert [s[0] for s in search] == list(range(2, 7))
     assert found[0] == found[1] == found[2] and found[0][0] == 4
+
+
+def test_negative_zero_is_zero(spark):
+    from tabsight.operators.profile import frequency_table
+    values = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "v double")
+    assert sorted((r["value"], r["cnt"]) for r in frequency_table(values).collect()) == [("0.0", 2), ("1.0", 1)]
