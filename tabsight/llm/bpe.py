@@ -31,12 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabsight.llm.common import ship
+from tabsight.llm.common import give_back, ship
 
 LEAF = 6  # bytes merged directly; such short strings recur, so their ids are remembered
 _SCAN = 200  # bytes up to which a plain scan for the next merge beats a heap
-_KEPT = 200_000  # pieces remembered by one worker process, and as many from before
-_SEAMS = 60_000  # short strings and seams remembered
+_KEPT = 150_000  # pieces remembered by one worker process, and as many from before
+_SEAMS = 40_000  # short strings and seams remembered
 _OUT = 2_000_000  # ids in one output batch
 
 
@@ -209,7 +209,7 @@ def _mapped(df: DataFrame, source: str, out: str, kind: T.DataType, work, keep:
                 held = [c.slice(start, len(found)) for c in columns[:at]]
                 yield pa.RecordBatch.from_arrays([*held, found], names=[*keep, out])
                 start += len(found)
-        pa.default_memory_pool().release_unused()  # the worker process is kept for other tasks
+        give_back()
 
     values = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("__in"))
     return values.mapInArrow(run, schema)

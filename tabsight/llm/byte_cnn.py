@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import ship
+from tabsight.llm.common import give_back, ship
 
 WIDTH, FILTERS, BLOCK, PIECE = 8, 16, 128, 1 << 19
 TRAIN_CHARS, PER_CLASS, EPOCHS, SEED = 2000, 1500, 14, 7
@@ -171,5 +171,6 @@ def score_column(spark, model: ByteCNN, text: str | Column = "text") -> Column:
         held = _MODELS[key]
         for texts in batches:
             yield pd.Series([held.score(t) for t in texts], dtype="float64")
+        give_back()
 
     return score(text)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabsight.session import ensure_checkpoint_dir, ship
 
-__all__ = ["packed", "read", "ship", "stored", "train_split"]
+__all__ = ["give_back", "packed", "read", "ship", "stored", "train_split"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """In a Python worker at the end of a task: return freed memory to the system, as Spark keeps the
+    process for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back: lineage is cut and
     later plans reuse the rows, also after an executor is lost."""

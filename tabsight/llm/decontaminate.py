@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import ship
+from tabsight.llm.common import give_back, ship
 from tabsight.llm.ngram_join import hashed_windows
 
 FEATURE_BITS, RANK, EXTRA, SEED = 13, 56, 8, 11
@@ -150,6 +150,7 @@ def learn_space(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), *[pa.array(total[some, j]) for j in range(width)]],
                                          names=["feature", "n", *columns])
+        give_back()
 
     found = (docs.select(text).mapInArrow(add, "feature long, n long, " + ", ".join(f"{c} double" for c in columns))
              .groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toPandas())
@@ -310,6 +311,7 @@ def leaks_column(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> C
         for texts in batches:
             yield pd.Series([[dict(zip(names, leak, strict=True)) for leak in found] for found in index.search(list(texts))],
                             dtype=object)
+        give_back()
 
     return leaks(text)
 
