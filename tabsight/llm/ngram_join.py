@@ -14,7 +14,7 @@ case, joined by single blanks). Equal sets form a class, and one row of each cla
    between components is lost and none inside a component is listed. Pairs must pass the length
    filter (sizes) and, at their first common shingle, the positional filter.
 4. *Verification, once per pair.* The suffix filter bounds the overlap by the counts of both
-   sets in eight hash ranges; pairs that pass are compared exactly,
+   sets in equal hash ranges, about four hashes each; pairs that pass are compared exactly,
    ``100 * intersection >= percent * union``.
 
 Results are exact but for collisions of 64-bit hashes. Defined results: a document without text
@@ -32,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.llm.common import ship, stored
+from tabsight.llm.common import give_back, ship, stored
 from tabsight.llm.components import components
 
 ORDER_BITS = 18
+MAX_BIN_BITS = 14  # ranges of a set's suffix filter: 2**this at most
 BROADCAST_IDS = 1_000_000  # ids in a broadcast semi-join; beyond it Spark shuffles
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -91,6 +92,11 @@ def _ranges(found: np.ndarray, bits: int) -> np.ndarray:
     return (found >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, kind)))
+
+
 def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """How many documents hold a shingle of each hash range (a fixed 2**ORDER_BITS counts)."""
 
@@ -101,6 +107,7 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
                 np.add.at(total, _ranges(shingles(value.as_py(), width), ORDER_BITS), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["range", "n"])
+        give_back()
 
     counted = docs.select(F.col(text)).mapInArrow(count, "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
     rows = counted.toPandas()  # at most 2**ORDER_BITS rows, whatever the input
@@ -110,12 +117,13 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: int) -> DataFrame:
-    """(``row``, ``id``, ``n``, ``sig``, ``prefix``) per row of ``docs``, written once."""
+    """(``row``, ``id``, ``n``, ``sig``, ``prefix``, ``bins``) per row of ``docs``, written once; ``bins``
+    counts the set's hashes in equal ranges, about four hashes a range."""
     order = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, signatures, heads = [], [], []
+            sizes, signatures, heads, bins = [], [], [], []
             for value in batch.column(2):
                 found = shingles(value.as_py(), width)
                 n = len(found)
@@ -124,19 +132,20 @@ def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: in
                 sizes.append(n)
                 signatures.append(_signature(found))
                 heads.append(found[rank].view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
-            flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
+                bits = min(MAX_BIN_BITS, max(1, (n // 4).bit_length()))
+                bins.append(np.bincount(_ranges(found, bits), minlength=1 << bits).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["row", "id", "n", "sig", "prefix"])
+                 _lists(heads, np.int64), _lists(bins, np.int32)], names=["row", "id", "n", "sig", "prefix", "bins"])
+        give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>"), "prefixes")
+    return stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>, bins array<int>"), "prefixes")
 
 
 def _sets(docs: DataFrame, routes: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """(``key``, ``cid``, ``set``, ``parts``) for the rows of ``routes`` (key, cid, id, sig): the set of
+    """(``key``, ``cid``, ``set``) for the rows of ``routes`` (key, cid, id, sig): the set of
     class ``cid``, made from the text of a document of that class and sent to ``key``."""
     ways = routes.groupBy("cid", F.col("id").alias("way_id"), "sig").agg(F.collect_set("key").alias("keys"))
     if ways.count() <= BROADCAST_IDS:
@@ -150,14 +159,12 @@ def _sets(docs: DataFrame, routes: DataFrame, id_column: str, text: str, width:
                 found = shingles(value.as_py(), width)
                 if _signature(found) != sig.as_py():  # another document with this id
                     continue
-                parts = np.bincount(_ranges(found, 3), minlength=8).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2).slice(k, 1), batch.column(3).slice(k, 1),
-                     pa.array([found.view(np.int64)], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int32()))],
-                    names=["cid", "keys", "set", "parts"])
+                     pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["cid", "keys", "set"])
 
-    found = rows.mapInArrow(run, "cid long, keys array<long>, set array<long>, parts array<int>")
-    return found.select("cid", "set", "parts", F.explode("keys").alias("key"))
+    found = rows.mapInArrow(run, "cid long, keys array<long>, set array<long>")
+    return found.select("cid", "set", F.explode("keys").alias("key"))
 
 
 def _needed(percent: int, a: str, b: str) -> str:
@@ -165,23 +172,35 @@ def _needed(percent: int, a: str, b: str) -> str:
     return f"ceil({percent}L * ({a} + {b}) / {100 + percent}D - 1e-9D)"
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
+def _suffix_filtered(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those whose sets cannot share enough: what two sets share in a hash range is at
+    most the smaller of their counts there. Sizes within the length filter differ by one halving at most."""
+    ends = pairs.select(F.col("x").alias("row")).union(pairs.select(F.col("y"))).distinct()
+    bins = stored(rows.select("row", "bins").join(ends, "row"), "bins")
+    both = (pairs.join(bins.withColumnsRenamed({"row": "x", "bins": "bx"}), "x")
+            .join(bins.withColumnsRenamed({"row": "y", "bins": "by"}), "y"))
+    halved = "transform(sequence(0, size({0}) div 2 - 1), i -> {0}[2 * i] + {0}[2 * i + 1])"
+    both = both.withColumns({"hx": F.expr(f"CASE WHEN size(bx) > size(by) THEN {halved.format('bx')} ELSE bx END"),
+                             "hy": F.expr(f"CASE WHEN size(by) > size(bx) THEN {halved.format('by')} ELSE by END")})
+    most = F.expr("aggregate(zip_with(hx, hy, (a, b) -> least(a, b)), 0, (t, a) -> t + a)")
+    return both.where(most >= F.expr(_needed(percent, "nx", "ny"))).select("x", "y", "nx", "ny")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
               id_column: str, text: str, width: int) -> DataFrame:
     """The (``u``, ``v``) of ``pairs`` (x, y, nx, ny) whose sets reach the threshold. The set of x is
     sent to y once for the pair; sets are made anew from the texts, none are kept."""
-    pairs = stored(pairs, "pairs")
+    pairs = stored(_suffix_filtered(stored(pairs, "candidates"), rows, percent), "pairs")
     named = classes.select("cid", "id", "sig", "n")
     xs = pairs.select(F.col("x").alias("cid"), F.col("y").alias("key")).join(named, "cid")
     ys = pairs.select(F.col("y").alias("cid"), F.col("y").alias("key")).distinct().join(named, "cid")
     left = _sets(docs, xs, id_column, text, width).select(
-        "key", F.col("cid").alias("x"), F.col("set").alias("sx"), F.col("parts").alias("px"))
+        "key", F.col("cid").alias("x"), F.col("set").alias("sx"))
     right = _sets(docs, ys, id_column, text, width).select(
-        "key", F.col("set").alias("sy"), F.col("parts").alias("py"))
+        "key", F.col("set").alias("sy"))
     both = left.join(right, "key").withColumns({"nx": F.size("sx"), "ny": F.size("sy")})
-    # suffix filter: what each hash range can share at most
-    most = F.expr("aggregate(zip_with(px, py, (a, b) -> least(a, b)), 0, (t, a) -> t + a)")
     shared = F.size(F.array_intersect("sx", "sy"))
-    return (both.where(most >= F.expr(_needed(percent, "nx", "ny")))
+    return (both
             .where(100 * shared >= percent * (F.col("nx") + F.col("ny") - shared))
             .select(F.col("x").alias("u"), F.col("key").alias("v")))
 
@@ -222,15 +241,18 @@ def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str,
         todo, size = work.agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2, F.sum("s")).first()
         if not todo:
             break
-        full = turn > 0 and (todo <= size or todo > 0.9 * best)
+        full = turn > 0 and (todo <= 4 * size or todo > 0.9 * best)
         best = todo
         if full:
             pairs = _candidates(_across(labelled, held, percent), percent)
         else:
             # the pivot of a bucket: of its largest component, the class with the fewest shingles before this one
             # (the likeliest to pass the positional filter); classes outside that component are compared with it
-            weight = labelled.groupBy("component").agg(F.countDistinct("cid").alias("weight"))
-            pivot = labelled.join(weight, "component").groupBy("token", "band").agg(F.min(F.struct(
+            weighed = labelled.withColumn("weight", F.lit(1))  # as every component is one class at first
+            if labels is not None:
+                weighed = labelled.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component", "left")
+                weighed = weighed.withColumn("weight", F.coalesce("weight", F.lit(1)))
+            pivot = weighed.groupBy("token", "band").agg(F.min(F.struct(
                 (-F.col("weight")).alias("w"), F.col("i").alias("iy"), F.xxhash64("cid", F.lit(turn)).alias("h"),
                 F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))).alias("p"))
             pivot = pivot.select("token", "band", "p.cy", "p.y", "p.ny", "p.iy")
@@ -239,7 +261,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str,
                 .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny", F.col("i").alias("ix"), "iy"), percent)
             # of a class's pivots, the one with the most prefix shingles in common; later rounds try others
             pairs = pairs.groupBy("x").agg(F.max(F.struct("common", "y", "nx", "ny")).alias("p")).select("x", "p.*")
-        new = _verified(pairs, classes, docs, percent, id_column, text, width)
+        new = _verified(pairs, rows, classes, docs, percent, id_column, text, width)
         links = stored(new if links is None else links.union(new), "links")
         labels = components(links)
         turn += 1
