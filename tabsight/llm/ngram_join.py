@@ -228,31 +228,31 @@ def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str,
                     .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")),
                     "buckets")
 
-    links, labels, best, turn = None, None, None, 0
+    links, labels, best, turn, size = None, None, None, 0, tokens.count()
     while True:
-        labelled = tokens.withColumn("component", F.col("cid"))
+        labelled = tokens.withColumns({"component": F.col("cid"), "weight": F.lit(1).cast("long")})
         if labels is not None:
-            labelled = (tokens.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-                        .withColumn("component", F.coalesce("component", "cid")))
+            weighed = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component")
+            labelled = (tokens.join(weighed.withColumnRenamed("node", "cid"), "cid", "left")
+                        .withColumns({"component": F.coalesce("component", "cid"), "weight": F.coalesce("weight", F.lit(1))}))
             labelled = stored(labelled, "labelled")
         # what a full comparison of differing components would list
-        held = labelled.groupBy("token", "component").agg(F.count("*").cast("double").alias("k"))
-        work = held.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        todo, size = work.agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2, F.sum("s")).first()
+        held = stored(labelled.groupBy("token", "component").agg(
+            F.count("*").cast("double").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+            F.max(F.col("n") - F.col("i")).alias("left")), "held")
+        mixed = stored(held.groupBy("token").agg(F.count("*").alias("c"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+                       .where("c > 1"), "mixed")
+        todo = mixed.agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).first()[0]
         if not todo:
             break
         full = turn > 0 and (todo <= 4 * size or todo > 0.9 * best)
         best = todo
         if full:
-            pairs = _candidates(_across(labelled, held, percent), percent)
+            pairs = _candidates(_across(labelled, held, mixed, percent), percent)
         else:
             # the pivot of a bucket: of its largest component, the class with the fewest shingles before this one
             # (the likeliest to pass the positional filter); classes outside that component are compared with it
-            weighed = labelled.withColumn("weight", F.lit(1))  # as every component is one class at first
-            if labels is not None:
-                weighed = labelled.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component", "left")
-                weighed = weighed.withColumn("weight", F.coalesce("weight", F.lit(1)))
-            pivot = weighed.groupBy("token", "band").agg(F.min(F.struct(
+            pivot = labelled.groupBy("token", "band").agg(F.min(F.struct(
                 (-F.col("weight")).alias("w"), F.col("i").alias("iy"), F.xxhash64("cid", F.lit(turn)).alias("h"),
                 F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))).alias("p"))
             pivot = pivot.select("token", "band", "p.cy", "p.y", "p.ny", "p.iy")
@@ -273,13 +273,10 @@ def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str,
             .withColumn("component", F.coalesce("component", "cid")))
 
 
-def _across(labelled: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def _across(labelled: DataFrame, held: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
     """Rows of one bucket in different components, sizes within the length filter: components are
     paired first, then their members looked up, so pairs inside a component are never formed."""
-    sizes = labelled.groupBy("token", "component").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("left"))
-    mixed = held.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    sizes = sizes.join(mixed, "token", "left_semi")
+    sizes = held.join(mixed.select("token"), "token", "left_semi")
     one = sizes.select("token", F.col("component").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("left").alias("ra"))
     two = sizes.select("token", F.col("component").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("left").alias("rb"))
     near = one.join(two, "token").where(
