@@ -35,8 +35,8 @@ from tabsight.llm.common import give_back, ship
 
 LEAF = 6  # bytes merged directly; such short strings recur, so their ids are remembered
 _SCAN = 200  # bytes up to which a plain scan for the next merge beats a heap
-_KEPT = 150_000  # pieces remembered by one worker process, and as many from before
-_SEAMS = 40_000  # short strings and seams remembered
+_KEPT = 250_000  # pieces remembered by one worker process, and as many from before
+_SEAMS = 100_000  # short strings and seams remembered
 _OUT = 2_000_000  # ids in one output batch
 
 
