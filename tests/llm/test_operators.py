@@ -125,6 +125,27 @@ def test_mined_rules_against_counts(spark):
     assert url_rules.mine_rules(labelled.limit(0)).count() == 0
 
 
+def test_rules_of_a_frequent_label_and_of_many_tokens_are_kept(spark):
+    rows = [(f"http://{'farm' if i % 20 else 'news'}.example/{i}", "block" if i % 20 else "allow") for i in range(400)]
+    labelled = spark.createDataFrame(rows, "url string, label string")  # 95 % block: no lift reaches 1.1
+    rules = url_rules.mine_rules(labelled)
+    pages = spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id long, url string")
+    judged = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, rules).collect()}
+    assert judged == {i: label for i, (_, label) in enumerate(rows)}
+    for limit in (0, 100_000):  # joined by shuffle, and broadcast
+        assert judged == {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, rules, broadcast_rules=limit).collect()}
+
+    rows = []  # blocked when all of five keys are there: a rule of five tokens beats each of four
+    for i in range(320):
+        keys = [k for j, k in enumerate("abcde") if i % 2 or i >> (j + 1) & 1]
+        rows.append((f"http://x.example/?{'&'.join(k + '=1' for k in keys)}", "block" if len(keys) == 5 else "allow"))
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, label string"))
+    whole = {tuple(r["tokens"]): r["confidence"] for r in rules.where("verdict = 'block'").collect()}
+    assert whole[tuple(f"key:{k}" for k in "abcde")] == 1
+    pages = spark.createDataFrame([(1, "http://x.example/?e=2&d&c&b&a")], "page_id long, url string")
+    assert url_rules.judge_urls(pages, rules).first()["mined_rule"] == "block key:a key:b key:c key:d key:e"
+
+
 # ---------------------------------------------------------------- BPE
 
 @pytest.fixture(scope="module")
