@@ -8,7 +8,8 @@
    power step). No passage leaves its task.
 3. *Candidates.* Overlapping windows of every document and of every benchmark item are projected,
    shorter ones for short items (``SCALES``); pairs with a cosine of at least ``MIN_COSINE`` are
-   candidates if the window has ``COVER`` of the weight of as much of the item as it can hold. Items are compared in blocks; their number is checked.
+   candidates if the window has ``COVER`` of the weight of as much of the item as it can hold. Any number of items is searched, ``ITEMS``
+   at a time, each such part in a pass of its own over the documents.
 4. *Checks.* The words around a candidate window, narrowed to the stretch of 1.5 times the item's
    length that holds most of its words, are compared by longest common subsequence. A share of
    the item's words of ``SURE`` or more is a leak; from ``LIKELY`` on it is one if the item's answer (its last
@@ -23,15 +24,17 @@ judged alike; repeated items each count.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import give_back, ship
+from tabsight.llm.common import give_back, ship, stored
 from tabsight.llm.ngram_join import hashed_windows
 
 FEATURE_BITS, RANK, EXTRA, SEED = 13, 56, 8, 11
@@ -40,7 +43,8 @@ PASSAGE = 32
 BLOCK = 8
 SCALES = ((24, 32, 16), (0, 16, 8))  # items of at least so many words: words of a window, words between windows
 MIN_COSINE, COVER, SURE, LIKELY, SHORT_ITEM = 0.45, 0.4, 0.75, 0.5, 5
-MAX_ITEMS = 200_000  # items in one search; their windows are broadcast (about 1 KB each)
+ITEMS = 5_000  # items in one search, about 10 KB each in a Python worker; more are searched in parts
+HELD = 512  # items whose weights are laid out by feature at once, 32 KB each
 _GROUP = 1 << 17  # words handled at once
 
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32
@@ -202,14 +206,28 @@ class Index:
                 owner[scale].append(len(self.items) - 1)
         self.vectors = [_unit(np.array(v, np.float32).reshape(-1, space.shape[1])) for v in vectors]
         self.owner = [np.array(o, np.int64) for o in owner]
-        # an item's weight on each feature that it has
-        self.holds = np.zeros((len(self.items), FEATURES + 1), np.float32)
+        # an item's features and its weight on each; ``holds`` lays them out for some items
+        self.features: list[np.ndarray] = []
+        self.weights = weights
+        self.holds = np.zeros((min(HELD, len(self.items)), FEATURES + 1), np.float32)
+        self.held = (0, 0)
         self.needs = np.zeros(len(self.items), np.float32)
         for i, (_, words, _, _) in enumerate(self.items):
-            features = _features(np.array(words, np.uint64))
-            self.holds[i, features] = weights[features]
+            features = np.unique(_features(np.array(words, np.uint64))).astype(np.int32)
+            self.features.append(features)
             span = next(s[1] for s in SCALES if len(words) >= s[0])
-            self.needs[i] = COVER * weights[np.unique(features)].sum() * min(1, span / len(words))
+            self.needs[i] = COVER * weights[features].sum() * min(1, span / len(words))
+        self.chunks = [list(_chunks(o)) for o in self.owner]
+
+    def _lay_out(self, first: int, last: int) -> None:
+        """``holds``: the weights of the items from ``first`` to ``last``, and no others."""
+        if self.held == (first, last):
+            return
+        for rows in range(*self.held):
+            self.holds[rows - self.held[0], self.features[rows]] = 0
+        for rows in range(first, last):
+            self.holds[rows - first, self.features[rows]] = self.weights[self.features[rows]]
+        self.held = (first, last)
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text its leaks: (item_id, cosine, lcs, item words, share, answer found)."""
@@ -243,16 +261,20 @@ class Index:
             ends = np.minimum(begins + span, text_end[owner])
             for i in range(0, len(vectors), 2048):
                 laid_out = _laid_out(features, begins[i:i + 2048], ends[i:i + 2048], span)
-                for q in range(0, len(self.vectors[scale]), 4096):
-                    near = vectors[i:i + 2048] @ self.vectors[scale][q:q + 4096].T
+                for q, upto_q in self.chunks[scale]:
+                    near = vectors[i:i + 2048] @ self.vectors[scale][q:upto_q].T
                     w, v = np.nonzero(near >= MIN_COSINE)
+                    if not len(w):
+                        continue
                     items = self.owner[scale][v + q]
+                    base = int(self.owner[scale][q])
+                    self._lay_out(base, int(self.owner[scale][upto_q - 1]) + 1)
                     for s in range(0, len(w), 1 << 16):
                         at, of = w[s:s + (1 << 16)], items[s:s + (1 << 16)]
-                        able = np.flatnonzero(self.holds[of[:, None], laid_out[at]].sum(axis=1) >= self.needs[of])
+                        able = np.flatnonzero(self.holds[of[:, None] - base, laid_out[at]].sum(axis=1) >= self.needs[of])
                         words = np.sort(laid_out[at[able]], axis=1)  # now each feature once
                         words[:, 1:][words[:, 1:] == words[:, :-1]] = FEATURES
-                        able = able[self.holds[of[able][:, None], words].sum(axis=1) >= self.needs[of[able]]]
+                        able = able[self.holds[of[able][:, None] - base, words].sum(axis=1) >= self.needs[of[able]]]
                         at += i
                         for k in able:
                             doc, item = int(owner[at[k]]), int(of[k])
@@ -282,6 +304,15 @@ class Index:
         return None
 
 
+def _chunks(owner: np.ndarray, vectors: int = 4096) -> Iterator[tuple[int, int]]:
+    """Consecutive vectors, at most so many and of at most ``HELD`` items in a row."""
+    first = 0
+    while first < len(owner):
+        last = min(first + vectors, int(np.searchsorted(owner, owner[first] + HELD)))
+        yield first, last
+        first = last
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -290,15 +321,37 @@ LEAKS = "array<struct<item_id: long, cosine: double, lcs: int, item_words: int,
 _INDEXES: dict[str, Index] = {}
 
 
-def leaks_column(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
-    """The leaks of a whole text as an array column; the space is learnt from all of ``docs``."""
-    items = [(r[0], r[1]) for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
-             .limit(MAX_ITEMS + 1).collect()]
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items: search them in parts")
-    items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    weights, space = learn_space(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, space, items))
+def _parts(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items, about ``ITEMS`` at a time, and whether these are all; one part is on the driver at once."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    some = items.limit(ITEMS + 1).collect()
+    alone = len(some) <= ITEMS
+    count = 1 if alone else -(-items.count() // ITEMS)
+    if not alone:
+        items = stored(items.repartition(count).withColumn("part", F.spark_partition_id()), "benchmark-items")
+    for part in range(count):
+        rows = some if alone else items.where(F.col("part") == part).collect()
+        yield sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), alone
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str,
+              keep: Callable[[Column], DataFrame]) -> tuple[list[DataFrame], bool]:
+    """``keep`` of the leaks of a whole text (an array column), for each part of the items, and whether
+    there is one part only; the space is learnt from all of ``docs``. Several parts are searched one
+    after the other and what is kept of each is stored."""
+    learnt = learn_space(docs, text)
+    found = []
+    for items, alone in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast((*learnt, items))
+        frame = keep(_leaks_column(shared, learnt[1], items, text))
+        if alone:
+            return [frame], True
+        found.append(stored(frame, "leaks"))
+        shared.destroy()
+    return found, False
+
+
+def _leaks_column(shared: Broadcast, space: np.ndarray, items: list[tuple[int, str]], text: str) -> Column:
     key = hashlib.sha256(space.tobytes() + repr(items).encode()).hexdigest()
 
     @F.pandas_udf(LEAKS)
@@ -318,10 +371,21 @@ def leaks_column(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> C
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it."""
-    return (docs.select(F.col(id_column).alias("doc_id"), F.explode(leaks_column(docs, benchmark, text)).alias("leak"))
-            .select("doc_id", "leak.*"))
+    found, _ = _searched(docs, benchmark, text, lambda leaks: docs.select(
+        F.col(id_column).alias("doc_id"), F.explode(leaks).alias("leak")).select("doc_id", "leak.*"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found, with their own columns."""
-    return docs.where(F.size(leaks_column(docs, benchmark, text)) == 0)
+    """The rows of ``docs`` in which no benchmark item was found, with their own columns. When the items
+    are searched in parts, texts that leak are known by their md5."""
+    columns: list[Column] = []
+
+    def leaky(leaks: Column) -> DataFrame:
+        columns.append(leaks)
+        return docs.where(F.size(leaks) > 0).select(F.md5(text).alias("__leaky")).distinct()
+
+    found, alone = _searched(docs, benchmark, text, leaky)
+    if alone:
+        return docs.where(F.size(columns[0]) == 0)
+    return docs.join(reduce(DataFrame.unionAll, found), F.md5(docs[text]) == F.col("__leaky"), "left_anti")

@@ -335,6 +335,29 @@ def test_decontamination_finds_planted_items(spark, odd):
     assert decontaminate.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_items_beyond_one_search_are_searched_in_parts(spark, monkeypatch):
+    benchmark = spark.read.parquet(f"{SF_CHECK}/benchmark.parquet").select("item_id", "text")
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text")
+    whole = sorted(map(tuple, decontaminate.find_leaks(docs, benchmark).collect()))
+    kept = sorted(map(tuple, decontaminate.drop_leaks(docs, benchmark).collect()))
+    assert whole and len(kept) == docs.count() - len({r[0] for r in whole})
+    monkeypatch.setattr(decontaminate, "ITEMS", 70)
+    monkeypatch.setattr(decontaminate, "HELD", 16)
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, benchmark).collect())) == whole
+    assert sorted(map(tuple, decontaminate.drop_leaks(docs, benchmark).collect())) == kept
+
+
+def test_item_weights_are_held_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    weights = np.ones(decontaminate.FEATURES, np.float32)
+    space = rng.normal(size=(decontaminate.FEATURES, 4)).astype(np.float32)
+    items = [(i, " ".join(f"w{j}" for j in rng.integers(0, 5000, 40))) for i in range(1500)]
+    index = decontaminate.Index(weights, space, items)
+    assert index.holds.nbytes <= 512 * 4 * (decontaminate.FEATURES + 1)
+    found = index.search([f"before {items[i][1]} after" for i in (3, 700, 1499)])
+    assert [{leak[0] for leak in f} for f in found] == [{3}, {700}, {1499}]
+
+
 def test_paraphrased_item_is_found(spark):
     rows = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text").collect()
     item = next(r for r in spark.read.parquet(f"{SF_CHECK}/benchmark.parquet").collect() if len(r["text"].split()) >= 40)
