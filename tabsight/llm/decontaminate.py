@@ -10,10 +10,14 @@
    shorter ones for short items (``SCALES``); pairs with a cosine of at least ``MIN_COSINE`` are
    candidates if the window has ``COVER`` of the weight of as much of the item as it can hold. Any number of items is searched, ``ITEMS``
    at a time, each such part in a pass of its own over the documents.
-4. *Checks.* The words around a candidate window, narrowed to the stretch of 1.5 times the item's
+4. *Every leak.* Step 3 can miss, so the leaks of step 5 are also looked up by a bound that loses
+   none: a stretch with ``t`` words of an item holds at least ``t`` less the item's ``l`` lightest words of
+   the others, wherever they stand. Stretches that do (and, below ``SURE``, have the answer near) are compared.
+5. *Checks.* The words around a candidate window, narrowed to the stretch of 1.5 times the item's
    length that holds most of its words, are compared by longest common subsequence. A share of
    the item's words of ``SURE`` or more is a leak; from ``LIKELY`` on it is one if the item's answer (its last
-   sentence) also stands there word for word.
+   sentence) also stands there, at most an item's length away, word for word. In step 4 every stretch
+   of that length is compared that could hold enough.
 
 Words are runs of ``0-9 a-z`` and non-ASCII characters, ASCII lower case, compared by 64-bit hashes. Defined results:
 a text that is null or has no words leaks nothing; items that are null or have no words match
@@ -24,6 +28,7 @@ judged alike; repeated items each count.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -43,6 +48,7 @@ PASSAGE = 32
 BLOCK = 8
 SCALES = ((24, 32, 16), (0, 16, 8))  # items of at least so many words: words of a window, words between windows
 MIN_COSINE, COVER, SURE, LIKELY, SHORT_ITEM = 0.45, 0.4, 0.75, 0.5, 5
+LIGHT = 0.4  # share of an item's words, the lightest, that the look-up does without
 ITEMS = 5_000  # items in one search, about 10 KB each in a Python worker; more are searched in parts
 HELD = 512  # items whose weights are laid out by feature at once, 32 KB each
 _GROUP = 1 << 17  # words handled at once
@@ -180,6 +186,19 @@ def _lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
     return size - row.bit_count()
 
 
+def _enough(size: int) -> tuple[int, int]:
+    """Words that a sure leak of an item has at least, and a likely one (0: short items have none)."""
+    return (size, 0) if size < SHORT_ITEM else (math.ceil(SURE * size), math.ceil(LIKELY * size))
+
+
+def _stands(hashes: np.ndarray, words: list[int]) -> np.ndarray:
+    """Where the words stand one after the other."""
+    at = np.flatnonzero(hashes[:max(0, len(hashes) - len(words) + 1)] == words[0])
+    for j in range(1, len(words)):
+        at = at[hashes[at + j] == words[j]]
+    return at
+
+
 class Index:
     """The benchmark's windows in the latent space, and its items' words."""
 
@@ -218,6 +237,30 @@ class Index:
             span = next(s[1] for s in SCALES if len(words) >= s[0])
             self.needs[i] = COVER * weights[features].sum() * min(1, span / len(words))
         self.chunks = [list(_chunks(o)) for o in self.owner]
+        # the look-up: heavy word -> its items, and how many such words a leak has at least
+        self.span = np.array([len(i[1]) + len(i[1]) // 2 for i in self.items], np.int64)
+        self.least = np.zeros((2, len(self.items)), np.int64)  # for a sure leak, for a likely one (0: there is none)
+        pairs: list[tuple[int, int]] = []
+        for i, (_, words, masks, _) in enumerate(self.items):
+            size = len(words)
+            sure, likely = _enough(size)
+            light, spare = 0, int(LIGHT * size) if likely else sure - 1
+            heavy = dict.fromkeys(sorted(masks, key=lambda w: weights[w >> (64 - FEATURE_BITS)], reverse=True))
+            for w in reversed(list(heavy)):
+                light += masks[w].bit_count()
+                if light > spare:
+                    light -= masks[w].bit_count()
+                    break
+                del heavy[w]
+            self.least[:, i] = sure - light, likely and likely - light
+            pairs += [(w, i) for w in heavy]
+        pairs.sort()
+        words = np.array([w for w, _ in pairs], np.uint64)
+        self.vocabulary, many = np.unique(words, return_counts=True)
+        self.posting = np.array([i for _, i in pairs], np.int64)
+        self.posted = np.concatenate(([0], np.cumsum(many)))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
     def _lay_out(self, first: int, last: int) -> None:
         """``holds``: the weights of the items from ``first`` to ``last``, and no others."""
@@ -235,6 +278,7 @@ class Index:
         for hashes, counts in _groups(texts):
             found: list[dict[int, tuple]] = [{} for _ in counts]
             if len(hashes) and len(self.items):
+                self._look_up(hashes, counts, found)
                 self._search(hashes, counts, found)
             out += [[f[k] for k in sorted(f)] for f in found]
         return out
@@ -287,6 +331,90 @@ class Index:
                             if leak and found[doc].get(item, (0,) * 5)[2] < leak[2]:
                                 found[doc][item] = leak
 
+    def _look_up(self, hashes: np.ndarray, counts: np.ndarray, found: list[dict[int, tuple]]) -> None:
+        """The leaks, by the bound on heavy words."""
+        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes[at]), len(self.vocabulary) - 1)
+        same = self.vocabulary[place] == hashes[at]
+        at, place = at[same], place[same]
+        many = self.posted[place + 1] - self.posted[place]
+        item = self.posting[np.repeat(self.posted[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        key = np.sort(item << 40 | np.repeat(at, many))
+        item, at = key >> 40, key & ((1 << 40) - 1)
+        text_end = np.cumsum(counts)
+        doc = np.repeat(np.arange(len(counts)), counts)[at]
+        regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for likely in (0, 1):
+            least = self.least[likely][item]
+            i = np.flatnonzero(least > 0)
+            j = i + least[i] - 1
+            i, j = i[j < len(at)], j[j < len(at)]
+            near = (item[i] == item[j]) & (doc[i] == doc[j]) & (at[j] - at[i] < self.span[item[i]])
+            i, j = i[near], j[near]
+            low, high, of = at[j] - self.span[item[j]] + 1, at[i] + self.span[item[i]], item[i]
+            able = np.ones(len(i), bool)
+            if likely:  # the answer must be near
+                cuts = np.searchsorted(of, np.arange(len(self.items) + 1))
+                for k in np.unique(of):
+                    answer, size = self.items[k][3], len(self.items[k][1])
+                    some = slice(cuts[k], cuts[k + 1])
+                    if cuts[k + 1] - cuts[k] <= 16:
+                        for m in range(cuts[k], cuts[k + 1]):
+                            able[m] = len(_stands(hashes[max(0, low[m] - size):high[m] + size], answer)) > 0
+                        continue
+                    stands = _stands(hashes, answer)
+                    able[some] = (np.searchsorted(stands, high[some] + size - len(answer), "right")
+                                  > np.searchsorted(stands, low[some] - size))
+            for k in np.flatnonzero(able):
+                regions.setdefault((int(doc[i[k]]), int(of[k])), []).append((int(low[k]), int(high[k])))
+        for (d, k), parts in regions.items():
+            first, end = int(text_end[d] - counts[d]), int(text_end[d])
+            low, high = None, None
+            parts = sorted((max(a, first), min(b, end)) for a, b in parts)
+            for a, b in [*parts, (end + 1, 0)]:  # overlapping ones in one piece
+                if high is not None and a <= high:
+                    high = max(high, b)
+                    continue
+                if high is not None:
+                    leak = self._best(k, hashes, low, high, first, end)
+                    if leak and found[d].get(k, (0,) * 5)[2] < leak[2]:
+                        found[d][k] = leak
+                low, high = a, b
+                if found[d].get(k, (0,) * 5)[4] == 1:
+                    break
+
+    def _best(self, item: int, hashes: np.ndarray, low: int, high: int, first: int, end: int) -> tuple | None:
+        """The leak with most words of the item among all stretches that start from ``low`` and end by ``high``."""
+        item_id, words, masks, answer = self.items[item]
+        size, span = len(words), int(self.span[item])
+        sure, likely = _enough(size)
+        near = hashes[low:high].tolist()
+        begin = max(first, low - size)
+        stands = _stands(hashes[begin:min(end, high + size)], answer) + begin - low
+        least = likely if likely and len(stands) else sure
+        if _lcs(masks, size, near) < least:  # no stretch holds more than all of them
+            return None
+        known = np.cumsum([0] + [w in masks for w in near])
+        starts = np.flatnonzero(np.diff(known))
+        starts = starts[known[np.minimum(starts + span, len(near))] - known[starts] >= least]
+        best = None
+        for a in starts.tolist():
+            lcs = _lcs(masks, size, near[a:a + span])
+            if lcs < least or best and lcs <= best[0]:
+                continue
+            answered = bool(np.any((stands >= a - size) & (stands + len(answer) <= a + span + size)))
+            if lcs >= sure or answered:
+                best = lcs, a, answered
+                if lcs == size:
+                    break
+        if best is None:
+            return None
+        lcs, a, answered = best
+        vector = self.space[_features(hashes[low + a:min(low + a + span, high)])].sum(axis=0)
+        own = [v[o == item] for v, o in zip(self.vectors, self.owner, strict=True)]
+        cosine = max(float((v @ (vector / max(np.linalg.norm(vector), 1e-12))).max()) for v in own if len(v))
+        return item_id, cosine, lcs, size, lcs / size, answered
+
     def _check(self, item: int, region: np.ndarray, cosine: float) -> tuple | None:
         item_id, words, masks, answer = self.items[item]
         size = len(words)

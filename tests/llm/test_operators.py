@@ -358,6 +358,60 @@ def test_item_weights_are_held_in_bounded_memory():
     assert [{leak[0] for leak in f} for f in found] == [{3}, {700}, {1499}]
 
 
+def planted_leaks(seed=4):
+    """Items of 1 to 60 words, and texts that hold a share of 0.5 to 1 of one, spread over up to 1.5 times its length."""
+    rng = random.Random(seed)
+    items, texts = [], []
+    for n in (1, 2, 3, 4, 5, 7, 12, 20, 23, 24, 32, 40, 60):
+        for share in (0.5, 0.6, 0.75, 0.8, 1.0):
+            words = [f"w{min(int(rng.expovariate(1 / 60)), 400)}" for _ in range(n)]
+            answer = rng.randint(1, max(1, n // 4))
+            items.append((len(items), " ".join(words[:n - answer]) + ". " * (answer < n) + " ".join(words[n - answer:])))
+            keep = set(range(n - answer, n))  # the answer, and as many others as the share asks
+            keep |= set(rng.sample(range(n - answer), max(0, min(n - answer, -int(-share * n // 1) - answer))))
+            spare = n + n // 2 - len(keep)
+            out = [words[i] for i in sorted(keep)]
+            for _ in range(rng.randint(0, spare) if share < 1 else 0):  # the answer stays in one piece
+                out.insert(rng.randint(0, max(0, len(out) - answer)), f"w{rng.randrange(400)}")
+            around = [[f"w{min(int(rng.expovariate(1 / 60)), 400)}" for _ in range(rng.randint(0, 150))] for _ in range(2)]
+            texts.append(" ".join(around[0] + out + around[1]))
+    return items, texts
+
+
+def leaks_by_scan(items, texts):
+    """(text, item) by comparing every stretch of every text."""
+    found = set()
+    for d, text in enumerate(texts):
+        there = decontaminate._hashes(decontaminate.words_of(text)).tolist()
+        for i, item in items:
+            words = decontaminate._hashes(decontaminate.words_of(item)).tolist()
+            answer = decontaminate._hashes(decontaminate.words_of(item.split(".")[-1])).tolist()
+            n, masks = len(words), {}
+            for j, w in enumerate(words):
+                masks[w] = masks.get(w, 0) | 1 << j
+            for a in range(len(there)):
+                lcs = decontaminate._lcs(masks, n, there[a:a + n + n // 2])
+                near = there[max(0, a - n):a + n + n // 2 + n]
+                if lcs >= (n if n < 5 else 0.75 * n) or n >= 5 and lcs >= 0.5 * n and any(
+                        near[k:k + len(answer)] == answer for k in range(len(near))):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_search_finds_every_leak_of_a_brute_force_scan():
+    items, texts = planted_leaks()
+    df = np.bincount([f for t in texts for f in set(decontaminate._features(decontaminate._hashes(decontaminate.words_of(t))).tolist())],
+                     minlength=decontaminate.FEATURES)
+    weights = np.log(len(texts) / np.maximum(df, 1) + 1e-9).clip(0.01).astype(np.float32)
+    space = np.random.default_rng(1).normal(size=(decontaminate.FEATURES, 56)).astype(np.float32) * weights[:, None]
+    index = decontaminate.Index(weights, space, items)
+    expected = leaks_by_scan(items, texts)
+    assert {(i, i) for i in range(len(items))} & expected and len(expected) > len(items) / 2
+    got = {(d, leak[0]) for d, found in enumerate(index.search(texts)) for leak in found}
+    assert not expected - got
+
+
 def test_paraphrased_item_is_found(spark):
     rows = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text").collect()
     item = next(r for r in spark.read.parquet(f"{SF_CHECK}/benchmark.parquet").collect() if len(r["text"].split()) >= 40)
