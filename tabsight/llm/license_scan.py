@@ -1,9 +1,10 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A few hundred regular expressions (license families crossed with the forms in which a license is
-named, plus signature sentences of the license texts) run on the ASCII-lower-cased text. One
-pass of a keyword automaton decides which rules can match at all; a text without any keyword runs
-none. Detections are then resolved by priority: one that lies inside the interval of another of
+named, plus signature sentences of the license texts) run on the ASCII-lower-cased text. A blank of
+a rule stands for any white space, line breaks and the comment signs that lines start with among it.
+One pass of a keyword automaton over the text, each such gap made one blank, decides which rules can
+match at all; a text without any keyword runs none. Detections are then resolved by priority: one that lies inside the interval of another of
 higher priority, or of a longer one of the same priority, is suppressed.
 
 Beside the rules, *phrases* are looked up on words (runs of ``0-9``, ``a-z`` and non-ASCII
@@ -75,12 +76,12 @@ FORMS = (
     ("heading", r"(?m)^\s*(?:licen[sc]e:\s*)(?:the )?(?:", r")(?!\w)", 4, 0.9),
     ("name", r"(?:", r")(?!\w)", 2, 0.6),
 )
-# Sentences of license texts and notices: (label, pattern, keyword, priority, weight).
+# Sentences of license texts and notices: (label, pattern, keyword or keywords, priority, weight).
 SENTENCES = (
     ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "hereby granted", 7, 1.0),
     ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use", 7, 0.95),
     ("bsd", r"redistribution and use in source and binary forms, with or without modification", "redistribution and use", 7, 1.0),
-    ("bsd-3-clause", r"neither the name of .{1,80} nor the names of its contributors", "nor the names", 7, 0.95),
+    ("bsd-3-clause", r"neither the name of (?s:.{1,80}?) nor the names of its contributors", "nor the names", 7, 0.95),
     ("gpl", r"this program is free software[;:,] you can redistribute it", "free software", 7, 0.95),
     ("gpl", r"you should have received a copy of the gnu general public licen[sc]e", "have received a copy", 7, 0.95),
     ("lgpl", r"you should have received a copy of the gnu lesser general public licen[sc]e", "have received a copy", 7, 0.95),
@@ -108,13 +109,26 @@ SENTENCES = (
     ("proprietary", r"proprietary and confidential", "proprietary", 3, 0.8),
     ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", "unauthori", 3, 0.7),
     ("proprietary", r"may not be (?:copied|reproduced|distributed|published)", "may not be", 1, 0.5),
-    ("copyright", r"(?:©|\(c\)|copyright) ?(?:©|\(c\))? ?(?:19|20)\d\d", "copyright", 1, 0.4),
+    ("copyright", r"(?:©|\(c\)|copyright) ?(?:©|\(c\))? ?(?:19|20)\d\d", ("copyright", "©", "(c)"), 1, 0.4),
 )
 # Phrases counted on words, and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 PHRASE_WEIGHT = 0.6
 
 
+# Comment signs at the start of a line, and a gap between two words of a rule.
+_SIGNS = r"\n[^\S\n]*(?:[*#/;%!>|]+|--+)"
+_GAP = rf"(?>(?:\s*{_SIGNS})+\s*|\s+)"
+
+
+def _with_gaps(pattern: str) -> str:
+    """The pattern with a gap for every blank."""
+    for blank, gap in (("[- ]", f"(?:-|{_GAP})"), (r"[\s,(-]*", f"(?>{_GAP}|[,(-])*+"), (r"[\s,(]*", f"(?>{_GAP}|[,(])*+"),
+                       (r"\s?", f"{_GAP}?"), (" ", _GAP)):
+        pattern = pattern.replace(blank, gap)
+    return pattern
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -130,14 +144,15 @@ def build_rules() -> list[Rule]:
     rules = []
     for label, name, keywords, versions in FAMILIES:
         for form, before, after, priority, weight in FORMS:
-            rules.append(Rule(f"{label}:{form}", label, before + name + after, keywords, priority, weight))
+            rules.append(Rule(f"{label}:{form}", label, _with_gaps(before + name + after), keywords, priority, weight))
             for v in versions if form in ("tag", "notice", "grant", "name") else ():
                 number = re.escape(v) + (r"(?:\.0)?" if "." not in v else "") + r"(?![\w.]*\d)"
                 tail = rf")[\s,(-]*(?:licen[sc]e[\s,(]*)?(?:version |ver\.? ?|v\.? ?)?{number}"
-                rules.append(Rule(f"{label}-{v}:{form}", f"{label}-{v}", before + name + tail, keywords,
+                rules.append(Rule(f"{label}-{v}:{form}", f"{label}-{v}", _with_gaps(before + name + tail), keywords,
                                   priority + 1, min(1.0, weight + 0.04)))
     for i, (label, pattern, keyword, priority, weight) in enumerate(SENTENCES):
-        rules.append(Rule(f"{label}:sentence{i}", label, pattern, (keyword,), priority, weight))
+        keywords = (keyword,) if isinstance(keyword, str) else keyword
+        rules.append(Rule(f"{label}:sentence{i}", label, _with_gaps(pattern), keywords, priority, weight))
     return rules
 
 
@@ -157,12 +172,13 @@ class Scanner:
         for k, which in words.items():
             self.automaton.add_word(k, (k, tuple(which)))
         self.automaton.make_automaton()
+        self.signs = re.compile(_SIGNS)
         self.phrases = [(re.compile(b"(?=" + re.escape(f" {p} ".encode()) + b")"), label) for p, label in PHRASES]
 
     def detections(self, text: str) -> list[tuple[int, int, Rule]]:
         lower = text.translate(_LOWER) if not text.isascii() else text.lower()
         able: set[int] = set()
-        for _, (_, which) in self.automaton.iter(lower):
+        for _, (_, which) in self.automaton.iter(" ".join(self.signs.sub("\n", lower).split())):
             able.update(which)
         found = [(m.start(), m.end(), rule) for i in sorted(able) for rule, pattern in (self.rules[i],)
                  for m in pattern.finditer(lower) if m.end() > m.start()]

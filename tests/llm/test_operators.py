@@ -281,6 +281,34 @@ def test_license_prefilter_loses_no_match_and_containment_holds():
     assert "apache-2.0" in labels[0] and "mit" in labels[1] and "cc-by-nc-4.0" in labels[2] and labels[-1] == []
 
 
+NOTICES = {
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License)", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "gpl": "This program is free software; you can redistribute it", "copyright": "(c) 2020 X",
+    "lgpl-2.1": "released under the terms of the GNU Lesser General Public License version 2.1",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."}
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\r\n  ", "\n * ", "\n *\n * ", "\n# ", "\n// ", "\n-- ", "\n\n"])
+def test_wrapped_license_notices_are_found(gap):
+    scanner = license_scan.Scanner(license_scan.build_rules())
+    for label, notice in NOTICES.items():
+        places = [i for i, c in enumerate(notice) if c == " "]
+        texts = [notice[:i] + gap + notice[i + 1:] for i in places]  # broken at each place, and at all
+        if len(gap) <= 2 or label != "bsd-3-clause":  # whose holder's name has 80 characters at most
+            texts.append(notice.replace(" ", gap))
+        for text in texts:
+            lower = text.lower()
+            every = [(m.start(), m.end(), r) for r, p in scanner.rules for m in p.finditer(lower) if m.end() > m.start()]
+            assert scanner.detections(text) == license_scan._resolve(every)
+            assert label in scanner.scan(text)["labels"], (label, text)
+    assert scanner.scan("© 2019 Y")["labels"] == ["copyright"]
+
+
 # ---------------------------------------------------------------- learned operators
 
 def test_language_id_held_out(spark, odd):
