@@ -3,8 +3,10 @@
 Every (k, restart) pair is a set of centres. One Spark job a step assigns the rows to the nearest
 centre of each set that still moves and sums, per centre, rows, coordinates and squared norms; only
 these (centres x columns) sums reach the driver, and sets that have converged drop out. Starts
-are k-means++ on ``SEED_ROWS`` rows taken by a hash of their key, so they do not depend on the
-partitioning. k is chosen by the squared-Euclidean silhouette (linear time, see
+are k-means|| over all rows: in each of ``ROUNDS`` passes every restart draws ``OVERSAMPLE`` x k more
+candidates, a row in proportion to its squared distance from those it has (by a hash of its key, so
+starts do not depend on the partitioning); the candidates, weighted by the rows nearest to them, are
+reduced by k-means++ on the driver. k is chosen by the squared-Euclidean silhouette (linear time, see
 ``cluster_metrics``), which one more job works out for the best restart of every k; the smallest k
 wins ties. A k with fewer rows than centres is skipped.
 """
@@ -18,13 +20,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import qcol
 from ..session import ship
 
-SEED_ROWS = 4096       # rows on which starting centres are drawn
+ROUNDS, OVERSAMPLE = 5, 2  # passes that draw candidates for starting centres, and candidates a pass over k
 ROWS_PER_TASK = 50_000  # tasks of a step: rows over this
 
 
@@ -55,21 +57,63 @@ class CentreSet:
         return float((self.norms - 2 * (c * self.sums).sum(1) + self.counts * (c * c).sum(1)).sum())
 
 
-def _starts(vec: DataFrame, key: str, ks: list[int], n_init: int, seed: int) -> list[CentreSet]:
-    order = [F.xxhash64(qcol(key), F.lit(seed)), qcol(key)]
-    rows = vec.select(key, "features").orderBy(*order).limit(SEED_ROWS).collect()
-    x = np.array([r["features"] for r in rows], dtype=float)
+def _uniform(hashes: np.ndarray, restart: int, step: int) -> np.ndarray:
+    """In (0, 1), from a row's hash (splitmix64)."""
+    z = hashes.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (restart * (ROUNDS + 1) + step + 1)) % 2 ** 64)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(float) / 2 ** 53 + 2.0 ** -54
+
+
+def _draw(hashed: DataFrame, found: list[np.ndarray], step: int, many: int, d: int) -> list[np.ndarray]:
+    """For each restart ``many`` rows without replacement, in proportion to the squared distance from those
+    found (evenly if there are none): the smallest -log(u) / distance. One pass; each task keeps its best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, d)))] * len(found)
+        for batch in batches:
+            hashes, x = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
+            for r, centres in enumerate(found):
+                gap = np.full(len(x), np.inf if len(centres) else 1.0)
+                for c in centres:
+                    np.minimum(gap, ((x - c) ** 2).sum(1), out=gap)
+                some = np.flatnonzero(gap > 0)
+                score = -np.log(_uniform(hashes[some], r, step)) / gap[some]
+                score, h, rows = (np.concatenate(p) for p in zip(best[r], (score, hashes[some], x[some])))
+                first = np.lexsort((h, score))[:many]
+                best[r] = score[first], h[first], rows[first]
+        score, h, rows = (np.concatenate(p) for p in zip(*best))
+        restart = np.repeat(np.arange(len(best)), [len(b[0]) for b in best])
+        features = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * d, pa.int32()), pa.array(rows.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(restart), pa.array(score), pa.array(h), features],
+                                         names=["restart", "score", "h", "features"])
+
+    place = F.row_number().over(Window.partitionBy("restart").orderBy("score", "h"))
+    rows = (hashed.mapInArrow(run, "restart long, score double, h long, features array<double>")
+            .withColumn("place", place).where(F.col("place") <= many).orderBy("restart", "place").collect())
+    return [np.array([r["features"] for r in rows if r["restart"] == i], float).reshape(-1, d) for i in range(len(found))]
+
+
+def _starts(vec: DataFrame, key: str, ks: list[int], n_init: int, seed: int, d: int) -> list[CentreSet]:
+    hashed = vec.select(F.xxhash64(qcol(key), F.lit(seed)).alias("h"), "features")
+    found = [np.zeros((0, d))] * n_init
+    for step in range(ROUNDS + 1):
+        drawn = _draw(hashed, found, step, OVERSAMPLE * max(ks) if step else 1, d)
+        found = [np.vstack(p) for p in zip(found, drawn)]
+    pools = [CentreSet(len(x), restart, x) for restart, x in enumerate(found)]
+    _step(vec, pools, d)
     sets = []
-    for restart in range(n_init):
+    for restart, pool in enumerate(pools):
         rng = np.random.default_rng([seed, restart])
-        chosen = [int(rng.integers(len(x)))]
+        x, weight = pool.centres, pool.counts
+        chosen = [int(rng.choice(len(x), p=weight / weight.sum()))]
         gap = ((x - x[chosen[0]]) ** 2).sum(1)
-        while len(chosen) < min(max(ks), len(x)):
-            total = gap.sum()
-            pick = int(rng.choice(len(x), p=gap / total)) if total > 0 else int(rng.integers(len(x)))
+        while len(chosen) < max(ks):
+            total = (weight * gap).sum()
+            pick = int(rng.choice(len(x), p=weight * gap / total)) if total > 0 else int(rng.integers(len(x)))
             chosen.append(pick)
             gap = np.minimum(gap, ((x - x[pick]) ** 2).sum(1))
-        sets += [CentreSet(k, restart, x[chosen[:k]].copy()) for k in ks if k <= len(x)]
+        sets += [CentreSet(k, restart, x[chosen[:k]].copy()) for k in ks]
     return sets
 
 
@@ -169,7 +213,7 @@ def kmeans(df: DataFrame, cols: list[str], k: int | None = None, key: str = "row
         fitting = [kk for kk in ks if kk <= n]
         if not fitting:
             raise ValueError(f"k-means failed: {n} rows for k={ks[0]}")
-        sets = _starts(few, key, fitting, n_init, seed)
+        sets = _starts(few, key, fitting, n_init, seed, d)
         _lloyd(few, sets, d, max_iter, tol)
         best = {kk: min((s for s in sets if s.k == kk), key=lambda s: (s.cost, s.restart)) for kk in fitting}
         search = []

@@ -186,6 +186,19 @@ def test_report_reads_the_cleaned_table(spark):
     assert (q["n_records"], q["n_features"], q["n_numeric"], q["n_categorical"], q["missing_pct"]) == (100, 2, 1, 1, 12.5)
 
 
+def test_kmeans_starts_reach_a_distant_cluster_of_few_rows(spark):
+    import numpy as np
+    from tabsight.operators.kmeans import kmeans
+
+    rng = np.random.default_rng(8)
+    far = [(100_000 + i, 500.0 + i, 500.0) for i in range(4)]  # one row in 25,000
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(100_000, 2)))] + far,
+                                   "row_id long, x double, y double")
+    labels, _, _, cost = kmeans(points, ["x", "y"], k=2, rescale=False)
+    own = {r["cluster"]: r["count"] for r in labels.groupBy("cluster").count().collect()}
+    assert sorted(own.values()) == [4, 100_000] and cost < 300_000
+
+
 def test_kmeans_does_not_depend_on_the_partitioning(spark):
     from pyspark.sql import functions as F
 
