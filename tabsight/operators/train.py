@@ -49,7 +49,7 @@ def detect_problem(df: DataFrame, target: str, threshold: float = 0.05) -> str:
 
 
 def make_models(problem: str, n_train: int, n_classes: int, y_std: float | None = None, seed: int = 42,
-                rf_depth: int = 12) -> dict:
+                rf_depth: int = 30) -> dict:
     """The three candidates, in the reference's order."""
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
     if problem == CLASSIFICATION:
@@ -148,7 +148,7 @@ def feature_pipeline(pre: Preprocessor, keep: list[str]) -> list:
 
 
 def train(df: DataFrame, target: str, exclude_cols: list[str] | None = None, n_splits: int = 5, seed: int = 42,
-          threads: int = 6, rf_depth: int = 12) -> ModelingResult:
+          threads: int = 6, rf_depth: int = 30) -> ModelingResult:
     """Cross-validate three models, refit the best on everything, hold-out metrics."""
     base, pre, problem, levels = prepare_supervised(df, target, exclude_cols)
     stages = feature_pipeline(pre, ["row_id", "label"])
