@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tabsight.llm import bpe, byte_cnn, chat, decontaminate, language_id, license_scan, ngram_join, quality_rules, sharding, url_rules
+from tabsight.llm import (bpe, byte_cnn, chat, decontaminate, language_id, license_scan, ngram_join, quality_rules, sharding,
+                          simplex_clusters, spelling, toxicity, url_rules)
 from tabsight.llm.common import read, train_split
 
 HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
@@ -14,6 +15,7 @@ HOST_RULES = tuple(url_rules.HostRule(*r) for r in (
     ("block", "net", "/es/"), ("block", "net", "/fr/")))
 
 
+DELETE_ONE_IN = 199  # of op12: of so many runs of letters one loses a code point
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -101,6 +103,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules, HOST_RULES)
 
 
+def toxicity_split() -> F.Column:
+    """True for rows whose toxicity label may be learnt from: crc32(doc_id as text) mod 3 is not 1."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.fit(docs, read(spark, sf_dir, "labels").where(toxicity_split()), toxicity.character_costs(docs))
+    scores = docs.select("doc_id", (~toxicity_split()).alias("held_out"), toxicity.score_column(spark, scorer).alias("score"))
+    return scores.withColumn("predicted", (F.col("score") >= toxicity.KEEP_FROM).cast("int"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group(spelling.count_words(docs, one_in=DELETE_ONE_IN))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_clusters.digests(simplex_clusters.cluster(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
@@ -112,8 +135,13 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filters": op10_url_filters,
+    "op11_toxicity": op11_toxicity,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLES = {
     "op3_quality_rules": quality_rules.oracle_sql(),
     "op7_sharding": sharding.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(DELETE_ONE_IN),
+    "op13_centroid_clustering": simplex_clusters.oracle_sql(),
 }
