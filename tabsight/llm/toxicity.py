@@ -76,17 +76,17 @@ _CODE = {c: i for i, c in enumerate(LETTERS, 1)}
 # ---------------------------------------------------------------- character model
 
 def trigram_counts(texts: Iterator[str]) -> np.ndarray:
-    """Counts of the trigrams of lower-cased texts, each with a blank before and behind."""
+    """Counts of the trigrams of lower-cased texts that are not empty, each with two blanks before and behind."""
     counts, held, length = np.zeros(SIZE ** 3, np.int64), [], 0
 
     def add() -> None:
-        points = np.frombuffer(" ".join(["", *held, ""]).encode("utf-32-le"), np.uint32)
+        points = np.frombuffer("  ".join(["", *held, ""]).encode("utf-32-le"), np.uint32)
         codes = _CODES[np.where(points < 256, points, 0)]
         cells = codes[:-2] * (SIZE * SIZE) + codes[1:-1] * SIZE + codes[2:]
         counts[:] += np.bincount(cells, minlength=SIZE ** 3)
         held.clear()
 
-    for text in texts:
+    for text in filter(None, texts):  # neighbours share their two blanks, which no trigram spans
         held.append(text.lower())
         length += len(text)
         if length > BUFFER:
