@@ -1017,20 +1017,22 @@ def _lin_imp(spark, d):
 
 @register("model_roundtrip")
 def _roundtrip(spark, d):
-    # IO4: fitted pipeline (preprocessing SQL + assembler + forest) saved, loaded and re-scored
-    from pyspark.ml import Pipeline, PipelineModel
-    from ..session import ensure_checkpoint_dir
-    from ..functions.names import model_filename
+    # IO4 / F11: fitted preprocessing, forest and labels saved, loaded and re-scored
+    from pyspark.ml import Pipeline
     base, pre, stages = _binary_features(spark, d)
-    rf = TR.make_models(TR.CLASSIFICATION, base.count(), 2)["RandomForest"]
-    model = Pipeline(stages=stages + [rf]).fit(base)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{model_filename('quality', 'RandomForest')}"
-    model.write().overwrite().save(path)
-    again = PipelineModel.load(path)
-    a = model.transform(base).select("row_id", F.col("prediction").alias("prediction"))
-    b = again.transform(base).select("row_id", F.col("prediction").alias("reloaded_prediction"))
-    return a.join(b, "row_id").select("row_id", "prediction", "reloaded_prediction",
-                                      (F.col("prediction") == F.col("reloaded_prediction")).alias("same"))
+    features = Pipeline(stages=stages).fit(base)
+    forest = TR.fit_forest(features.transform(base), pre, TR.forest_shape(pre, TR.CLASSIFICATION, 2))
+    model = TR.FittedModel(features, forest, pre.numeric_features, pre.categorical_features, TR.CLASSIFICATION, ["0", "1"])
+    path = TR._new_path(spark, "quality_random_forest")
+    model.save(path)
+    again = TR.FittedModel.load(spark, path)
+    cols = pre.numeric_features + pre.categorical_features
+    rows = base.select(*cols).distinct()
+    a = model.transform(rows).withColumnRenamed("prediction", "was").withColumnRenamed("predicted_label", "label_was")
+    b = again.transform(rows).select(TR.row_key(cols).alias("row_id"), "prediction", "predicted_label")
+    return (a.withColumn("row_id", TR.row_key(cols)).join(b, "row_id")
+            .select("row_id", F.col("was").alias("prediction"), F.col("prediction").alias("reloaded_prediction"), "predicted_label",
+                    ((F.col("was") == F.col("prediction")) & (F.col("label_was") == F.col("predicted_label"))).alias("same")))
 
 
 # =============================================================== findings

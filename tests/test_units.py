@@ -186,13 +186,6 @@ def test_report_reads_the_cleaned_table(spark):
     assert (q["n_records"], q["n_features"], q["n_numeric"], q["n_categorical"], q["missing_pct"]) == (100, 2, 1, 1, 12.5)
 
 
-@pytest.mark.parametrize("problem", ["classification", "regression"])
-def test_forests_grow_to_the_depth_that_spark_allows(spark, problem):
-    from tabsight.operators.train import make_models
-
-    assert make_models(problem, 100, 2, 1.0)["RandomForest"].getMaxDepth() == 30
-
-
 def test_kmeans_starts_reach_a_distant_cluster_of_few_rows(spark):
     import numpy as np
     from tabsight.operators.kmeans import kmeans
