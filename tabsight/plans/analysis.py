@@ -18,6 +18,7 @@ from ..operators import cluster_metrics as CM
 from ..operators import dbscan as DB
 from ..operators import findings as FD
 from ..operators import kmeans as KM
+from ..operators import metric_index as MX
 from ..operators import neighbors as NB
 from ..operators import prep as PR
 from ..operators import screen as S
@@ -72,8 +73,9 @@ def cluster_all(processed: DataFrame, names: list[str], kmeans_k: int | None = N
         pts = scaled.select("row_id", F.array(*[F.col(c) for c in cols]).alias("features"))
         n = scaled.count()
         ms = min_samples or scaled.select(BD.dbscan_min_samples(F.lit(n))).first()[0]
-        e = eps if eps is not None else NB.estimate_eps(pts, ms)[0]
-        lab = DB.dbscan(pts, e, ms).select("row_id", "cluster").checkpoint()
+        tree = MX.build(pts) if len(cols) > NB.GRID_DIMS else None  # for both the distances and the clusters
+        e = eps if eps is not None else NB.estimate_eps(pts, ms, tree=tree)[0]
+        lab = DB.dbscan(pts, e, ms, tree).select("row_id", "cluster").checkpoint()
         m = CM.safe_metrics(scaled.join(lab, "row_id"), cols)
         runs["DBSCAN"] = ClusteringRun("DBSCAN", lab, m, {"eps": e, "min_samples": ms})
     return runs
