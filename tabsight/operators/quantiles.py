@@ -1,109 +1,121 @@
-"""Exact linear-interpolation quantiles (pandas / numpy ``linear`` definition) at any scale.
+"""Exact linear-interpolation quantiles (pandas / numpy ``linear`` definition) by radix selection.
 
-``percentile`` in Spark is exact but its buffer is a map of every distinct value, which is
-unbounded for a continuous column. Above ``max_exact_rows`` non-null values we therefore:
+A double's bits, turned so that they sort as the doubles do, are read as four digits of 16 bits. Each
+of four passes counts, inside the tasks, the next digit of the values that agree with the digits found so
+far, for all columns and all ranks asked for at once; the counts are summed over the tasks and the digit in which a
+rank falls is found by a running sum over at most 2^16 rows. After the last pass the digits are the value itself.
 
-0. (one aggregate) non-null count and approximate distinct count per column; columns with
-   few rows or few distinct values go straight to ``percentile`` (its map is small),
-1. take ``percentile_approx`` brackets around each requested rank (rank error ≤ N/accuracy),
-2. count the rows strictly below each bracket and inside it (one aggregate),
-3. run exact ``percentile`` only over the rows inside the bracket, at the rank shifted by the
-   count below.
-
-Every pass is a single global aggregate with map-side partial aggregation; the only thing
-that reaches the driver is a handful of scalars per (column, probability).
+Memory is fixed: at most ``CELLS`` counts a task, whatever the number of rows or of distinct values; columns that need more
+go in several turns. Only a digit and two counts per column and rank reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import qcol
 
-
-def _exact_direct(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.percentile(qcol(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        vals = row[f"q{i}"]
-        out[c] = list(vals) if vals is not None else [None] * len(probs)
+BITS, PASSES = 16, 4
+CELLS = 1 << 22
+_SIGN = np.uint64(1 << 63)
+
+
+def sortable(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles (-0.0 is 0.0; NaN is above infinity, as in Spark)."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def from_sortable(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _digit_counts(values: DataFrame, done: int, prefixes: list[list[int]]) -> DataFrame:
+    """(``c``, ``prefix``, ``digit``, ``n``): counts of the digit after ``done`` digits, of the values of column
+    c that begin with its prefix number ``prefix``."""
+    shift = np.uint64(64 - BITS * (done + 1))
+    width = 1 << BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros((len(p), width), np.int64) for p in prefixes]
+        for batch in batches:
+            for c, wanted in enumerate(prefixes):
+                column = batch.column(c).drop_null()
+                if not len(column) or not wanted:
+                    continue
+                keys = sortable(column.to_numpy(zero_copy_only=False).astype(float))
+                digits = ((keys >> shift) & np.uint64(width - 1)).astype(np.int64)
+                if done == 0:
+                    counts[c][0] += np.bincount(digits, minlength=width)
+                    continue
+                heads = keys >> (shift + np.uint64(BITS))
+                for i, head in enumerate(wanted):
+                    counts[c][i] += np.bincount(digits[heads == np.uint64(head)], minlength=width)
+        for c, table in enumerate(counts):
+            some = np.nonzero(table)
+            if len(some[0]):
+                yield pa.record_batch([pa.array(np.full(len(some[0]), c, np.int32)), pa.array(some[0].astype(np.int32)),
+                                       pa.array(some[1].astype(np.int32)), pa.array(table[some])], ["c", "prefix", "digit", "n"])
+
+    return values.mapInArrow(run, "c int, prefix int, digit int, n long").groupBy("c", "prefix", "digit").agg(F.sum("n").alias("n"))
+
+
+def _select(values: DataFrame, n_columns: int, probs: list[float]) -> list[list[float] | None]:
+    """The quantiles of the double columns of ``values``."""
+    spark = values.sparkSession
+    sizes: list[int] = [0] * n_columns
+    targets: list[dict[int, tuple[int, int]]] = [{} for _ in range(n_columns)]  # rank -> (digits so far, rank among their values)
+    for done in range(PASSES):
+        prefixes = [sorted({head for head, _ in t.values()}) if done else [0] for t in targets]
+        counts = _digit_counts(values, done, prefixes)
+        w = Window.partitionBy("c", "prefix").orderBy("digit")  # at most 2^16 rows each
+        running = counts.select("*", F.sum("n").over(w).alias("upto"))
+        if done == 0:
+            running = running.persist()
+            for r in running.groupBy("c").agg(F.sum("n").alias("n")).collect():
+                sizes[r["c"]] = r["n"]
+            for c, n in enumerate(sizes):
+                for p in probs if n else []:
+                    at = p * (n - 1)
+                    targets[c] |= {k: (0, k) for k in (math.floor(at), math.ceil(at))}
+        asked = [(c, prefixes[c].index(head), k, rest) for c, t in enumerate(targets) for k, (head, rest) in t.items()]
+        if not asked:
+            return [None] * n_columns
+        ranks = spark.createDataFrame(asked, "c int, prefix int, k long, rest long")
+        hits = running.join(F.broadcast(ranks), ["c", "prefix"]).where("rest < upto AND rest >= upto - n")
+        for r in hits.select("c", "k", "digit", (F.col("rest") - F.col("upto") + F.col("n")).alias("left")).collect():
+            head = targets[r["c"]][r["k"]][0]
+            targets[r["c"]][r["k"]] = ((head << BITS) + r["digit"], r["left"])
+        if done == 0:
+            running.unpersist()
+    out: list[list[float] | None] = []
+    for c, n in enumerate(sizes):
+        row = []
+        for p in probs if n else []:
+            at = p * (n - 1)
+            low, high = math.floor(at), math.ceil(at)
+            a, b = (from_sortable(targets[c][k][0]) for k in (low, high))
+            row.append(a if low == high or a == b else (high - at) * a + (at - low) * b)
+        out.append(row or None)
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    max_exact_rows: int = 50_000, accuracy: int = 100_000, max_exact_distinct: int = 50_000) -> dict:
-    """{column: [q(p) for p in probs]} with NULLs ignored; None for an all-null column."""
-    if not cols:
-        return {}
-    counts = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                    *[F.approx_count_distinct(qcol(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    # ``percentile`` keeps one map entry per distinct value: use it directly only when that map
-    # is small (few distinct values or few rows); otherwise bracket with a sketch first.
-    small = [c for i, c in enumerate(cols)
-             if counts[f"n{i}"] <= max_exact_rows or counts[f"d{i}"] <= max_exact_distinct]
-    large = [c for c in cols if c not in small]
-    out = _exact_direct(df, small, probs) if small else {}
-    if not large:
-        return out
-
-    eps = 2.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    brackets = df.agg(*[
-        F.percentile_approx(qcol(c).cast("double"), F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy)
-        .alias(f"b{i}") for i, c in enumerate(large)
-    ] + [F.min(qcol(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(large)]
-      + [F.max(qcol(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(large)]).first()
-
-    plan = []  # (column, prob index, lo, hi, k_lo, frac)
-    for i, c in enumerate(large):
-        n = counts[f"n{cols.index(c)}"]
-        b = brackets[f"b{i}"]
-        for j, p in enumerate(probs):
-            lo = brackets[f"mn{i}"] if lo_p[j] == 0.0 else b[j]
-            hi = brackets[f"mx{i}"] if hi_p[j] == 1.0 else b[len(probs) + j]
-            pos = p * (n - 1)
-            plan.append([c, j, lo, hi, int(math.floor(pos)), pos - math.floor(pos)])
-
-    # Pass 2: rows below and inside each bracket; widen a bracket that misses its ranks.
-    def band_counts():
-        aggs = []
-        for t, (c, j, lo, hi, k, f) in enumerate(plan):
-            x = qcol(c).cast("double")
-            aggs.append(F.count_if(x < F.lit(lo)).alias(f"below{t}"))
-            aggs.append(F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"inside{t}"))
-        return df.agg(*aggs).first()
-
-    bc = band_counts()
-    widened = False
-    for t, entry in enumerate(plan):
-        c, j, lo, hi, k, f = entry
-        k_hi = k + (1 if f > 0 else 0)
-        if not (bc[f"below{t}"] <= k and bc[f"below{t}"] + bc[f"inside{t}"] > k_hi):
-            i = large.index(c)
-            entry[2], entry[3] = brackets[f"mn{i}"], brackets[f"mx{i}"]
-            widened = True
-    if widened:
-        bc = band_counts()
-
-    # Pass 3: exact percentile inside each bracket at the shifted rank.
-    aggs = []
-    for t, (c, j, lo, hi, k, f) in enumerate(plan):
-        x = qcol(c).cast("double")
-        m = bc[f"inside{t}"]
-        rel = (k - bc[f"below{t}"] + f) / (m - 1) if m > 1 else 0.0
-        rel = min(1.0, max(0.0, rel))
-        inside = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)
-        aggs.append(F.percentile(inside, F.lit(rel)).alias(f"v{t}"))
-    vals = df.agg(*aggs).first()
-    for c in large:
-        out[c] = [None] * len(probs)
-    for t, (c, j, *_rest) in enumerate(plan):
-        out[c][j] = vals[f"v{t}"]
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """{column: [q(p) for p in probs]} with NULLs ignored; [None, …] for an all-null column."""
+    if not cols or not probs:
+        return {c: [] for c in cols}
+    at_once = max(1, CELLS // (2 * len(probs) << BITS))
+    out = {}
+    for start in range(0, len(cols), at_once):
+        some = cols[start:start + at_once]
+        values = df.select(*[qcol(c).cast("double").alias(f"v{i}") for i, c in enumerate(some)])
+        for c, row in zip(some, _select(values, len(some), probs), strict=True):
+            out[c] = row if row is not None else [None] * len(probs)
     return out
