@@ -3,14 +3,15 @@
 A document is the set of its distinct 5-word shingles (64-bit hashes of the words, ASCII lower
 case, joined by single blanks). Equal sets form a class, and one row of each class goes on.
 
-1. *Order.* A first pass counts, over all documents, how many hold a shingle of each of
-   ``2**ORDER_BITS`` hash ranges, a table of fixed size. Shingles are ordered by that count, then by hash: one
-   total order for every document, the shingles of frequent passages last.
+1. *Order.* A first pass counts, over all documents, how many hold a shingle of each hash range; there are as many
+   ranges as documents, ``2**ORDER_BITS`` at least and ``2**MOST_ORDER_BITS`` at most. Shingles are ordered by
+   that count, then by hash: one total order for every document, the shingles of frequent passages last.
 2. *Prefix.* Sets that reach ``percent`` share one of their first ``n - ceil(n * percent / 100)
-   + 1`` shingles. Only these are joined; one that a single class holds drops out at once.
+   + 1`` shingles. Only these are joined; one that a single class holds drops out at once (those of ranges that many
+   documents hold are kept unseen, so no large group is brought together for this).
 3. *Candidates.* In each prefix shingle's bucket, rows of a size band are paired with one pivot
    row, not with each other; classes found linked become one component. Rounds with new pivots
-   go on while they pay; then every pair of the bucket *whose components differ* is taken, so no link
+   go on while they pay, over the buckets that still hold several components; then every pair of the bucket *whose components differ* is taken, so no link
    between components is lost and none inside a component is listed. Pairs must pass the length
    filter (sizes) and, at their first common shingle, the positional filter.
 4. *Verification, once per pair.* The suffix filter bounds the overlap by the counts of both
@@ -30,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabsight.llm.common import give_back, ship, stored
 from tabsight.llm.components import components
 
-ORDER_BITS = 18
+ORDER_BITS, MOST_ORDER_BITS = 18, 22
+KEYS_A_ROW = 512  # keys that one route names; more go in rows of their own
 MAX_BIN_BITS = 14  # ranges of a set's suffix filter: 2**this at most
 BROADCAST_IDS = 1_000_000  # ids in a broadcast semi-join; beyond it Spark shuffles
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -98,37 +100,43 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
 
 
 def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """How many documents hold a shingle of each hash range (a fixed 2**ORDER_BITS counts)."""
+    """How many documents hold a shingle of each hash range, of 2**ORDER_BITS to 2**MOST_ORDER_BITS."""
+    bits = min(MOST_ORDER_BITS, max(ORDER_BITS, docs.count().bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << ORDER_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                np.add.at(total, _ranges(shingles(value.as_py(), width), ORDER_BITS), 1)
+                np.add.at(total, _ranges(shingles(value.as_py(), width), bits), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["range", "n"])
         give_back()
 
     counted = docs.select(F.col(text)).mapInArrow(count, "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()  # at most 2**ORDER_BITS rows, whatever the input
-    out = np.zeros(1 << ORDER_BITS, np.int64)
+    rows = counted.toPandas()  # at most 2**MOST_ORDER_BITS rows
+    out = np.zeros(1 << bits, np.int64)
     out[rows["range"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
 def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: int) -> DataFrame:
-    """(``row``, ``id``, ``n``, ``sig``, ``prefix``, ``bins``) per row of ``docs``, written once; ``bins``
-    counts the set's hashes in equal ranges, about four hashes a range."""
-    order = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, width))
+    """(``row``, ``id``, ``n``, ``sig``, ``prefix``, ``light``, ``bins``) per row of ``docs``, written once; ``light``
+    shingles of the prefix, its first, lie in ranges of at most twice the mean count; ``bins`` counts the set's hashes
+    in equal ranges, about four hashes a range."""
+    counts = bucket_counts(docs, text, width)
+    order_bits, usual = len(counts).bit_length() - 1, 2 * counts.mean()
+    order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, signatures, heads, bins = [], [], [], []
+            sizes, signatures, heads, light, bins = [], [], [], [], []
             for value in batch.column(2):
                 found = shingles(value.as_py(), width)
                 n = len(found)
                 keep = n + (-percent * n // 100) + 1 if n else 0  # n - ceil(percent * n / 100) + 1
-                rank = np.lexsort((found, order.value[_ranges(found, ORDER_BITS)]))[:keep]
+                held_by = order.value[_ranges(found, order_bits)]
+                rank = np.lexsort((found, held_by))[:keep]
+                light.append(int((held_by[rank] <= usual).sum()))
                 sizes.append(n)
                 signatures.append(_signature(found))
                 heads.append(found[rank].view(np.int64))
@@ -136,19 +144,33 @@ def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: in
                 bins.append(np.bincount(_ranges(found, bits), minlength=1 << bits).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary()),
-                 _lists(heads, np.int64), _lists(bins, np.int32)], names=["row", "id", "n", "sig", "prefix", "bins"])
+                 _lists(heads, np.int64), pa.array(light, pa.int32()), _lists(bins, np.int32)],
+                names=["row", "id", "n", "sig", "prefix", "light", "bins"])
         give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>, bins array<int>"), "prefixes")
+    return stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>, light int, bins array<int>"), "prefixes")
 
 
 def _sets(docs: DataFrame, routes: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """(``key``, ``cid``, ``set``) for the rows of ``routes`` (key, cid, id, sig): the set of
-    class ``cid``, made from the text of a document of that class and sent to ``key``."""
-    ways = routes.groupBy("cid", F.col("id").alias("way_id"), "sig").agg(F.collect_set("key").alias("keys"))
-    if ways.count() <= BROADCAST_IDS:
+    """(``key``, ``cid``, ``set``) for the rows of ``routes`` (key, cid, id, sig, many): the set of
+    class ``cid``, made from the text of a document of that class and sent to ``key``, once. Where several rows
+    have the class's id and set (``many``), one of them is kept before the sets are joined."""
+    found = _made(docs, routes.where("NOT many"), id_column, text, width)
+    repeated = routes.where("many")
+    if repeated.isEmpty():
+        return found
+    return found.union(_made(docs, repeated, id_column, text, width).dropDuplicates(["cid", "key"]))
+
+
+def _made(docs: DataFrame, routes: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
+    of_class = routes.groupBy("cid").agg(F.count("*").alias("n_keys"))
+    crowded = of_class.where(F.col("n_keys") > KEYS_A_ROW).withColumn("parts", F.ceil(F.col("n_keys") / KEYS_A_ROW))
+    part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
+    ways = routes.join(crowded.select("cid", "parts"), "cid", "left").groupBy(
+        "cid", F.col("id").alias("way_id"), "sig", part.alias("part")).agg(F.collect_set("key").alias("keys"))
+    if routes.count() <= BROADCAST_IDS:  # a route is a key of 8 bytes, and at most an id and a signature
         ways = F.broadcast(ways)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     rows = rows.join(ways, rows["id"].eqNullSafe(ways["way_id"])).select("text", "sig", "cid", "keys")
@@ -175,7 +197,9 @@ def _needed(percent: int, a: str, b: str) -> str:
 def _suffix_filtered(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``pairs`` without those whose sets cannot share enough: what two sets share in a hash range is at
     most the smaller of their counts there. Sizes within the length filter differ by one halving at most."""
-    ends = pairs.select(F.col("x").alias("row")).union(pairs.select(F.col("y"))).distinct()
+    ends = stored(pairs.select(F.col("x").alias("row")).union(pairs.select(F.col("y"))).distinct(), "ends")
+    if ends.count() <= BROADCAST_IDS:
+        ends = F.broadcast(ends)
     bins = stored(rows.select("row", "bins").join(ends, "row"), "bins")
     both = (pairs.join(bins.withColumnsRenamed({"row": "x", "bins": "bx"}), "x")
             .join(bins.withColumnsRenamed({"row": "y", "bins": "by"}), "y"))
@@ -191,7 +215,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataF
     """The (``u``, ``v``) of ``pairs`` (x, y, nx, ny) whose sets reach the threshold. The set of x is
     sent to y once for the pair; sets are made anew from the texts, none are kept."""
     pairs = stored(_suffix_filtered(stored(pairs, "candidates"), rows, percent), "pairs")
-    named = classes.select("cid", "id", "sig", "n")
+    named = classes.select("cid", "id", "sig", "n", "many")
     xs = pairs.select(F.col("x").alias("cid"), F.col("y").alias("key")).join(named, "cid")
     ys = pairs.select(F.col("y").alias("cid"), F.col("y").alias("key")).distinct().join(named, "cid")
     left = _sets(docs, xs, id_column, text, width).select(
@@ -214,34 +238,44 @@ def _candidates(joined: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, rows: DataFrame, percent: int, id_column: str, text: str, width: int) -> DataFrame:
-    """(``sig``, ``id``, ``n``, ``cid``, ``component``) per class of equal sets."""
-    classes = stored(rows.where("n > 0").groupBy("sig").agg(
-        F.min("row").alias("cid"), F.min("id").alias("id"), F.first("n").alias("n")), "classes")
+    """(``sig``, ``id``, ``n``, ``many``, ``cid``, ``component``) per class of equal sets; ``id`` is its smallest and
+    ``many`` tells whether several of its rows have that id."""
+    alike = rows.where("n > 0").groupBy("sig", "id").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("c"))
+    classes = alike.groupBy("sig").agg(F.min("row").alias("cid"), F.first("n").alias("n"),
+                                       F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("c").alias("c"))).alias("least"))
+    classes = stored(classes.select("sig", "least.id", "n", "cid", (F.col("least.c") > 1).alias("many")), "classes")
     copies = rows.where("n > 0").select("row").join(classes.select(F.col("cid").alias("row")), "row", "left_anti")
     copies = stored(copies, "copies")
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
-    tokens = (rows.where("n > 0").join(copies, "row", "left_anti")
-              .select(F.col("row").alias("cid"), "n", F.posexplode("prefix").alias("i", "token")))
-    repeated = tokens.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-    tokens = stored(tokens.join(repeated.select("token"), "token")
+    every = (rows.where("n > 0").join(copies, "row", "left_anti")
+             .select(F.col("row").alias("cid"), "n", "light", F.posexplode("prefix").alias("i", "token")))
+    at = Window.partitionBy("token")  # at most twice the mean count of a range
+    shared = (every.where("i < light").select("cid", "n", "i", "token", (F.min("cid").over(at) < F.max("cid").over(at)).alias("several"))
+              .where("several").drop("several"))
+    tokens = stored(shared.union(every.where("i >= light").select("cid", "n", "i", "token"))
                     .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")),
                     "buckets")
 
     links, labels, best, turn, size = None, None, None, 0, tokens.count()
     while True:
         labelled = tokens.withColumns({"component": F.col("cid"), "weight": F.lit(1).cast("long")})
-        if labels is not None:
+        if labels is None:  # every class is a component
+            k = F.col("s")
+            held, mixed = None, tokens.groupBy("token").agg(F.count("*").cast("double").alias("s")).withColumns({"c": k, "q": k})
+        else:
             weighed = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component")
-            labelled = (tokens.join(weighed.withColumnRenamed("node", "cid"), "cid", "left")
-                        .withColumns({"component": F.coalesce("component", "cid"), "weight": F.coalesce("weight", F.lit(1))}))
-            labelled = stored(labelled, "labelled")
-        # what a full comparison of differing components would list
-        held = stored(labelled.groupBy("token", "component").agg(
-            F.count("*").cast("double").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"),
-            F.max(F.col("n") - F.col("i")).alias("left")), "held")
-        mixed = stored(held.groupBy("token").agg(F.count("*").alias("c"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-                       .where("c > 1"), "mixed")
+            labelled = stored(tokens.join(weighed.withColumnRenamed("node", "cid"), "cid", "left").withColumns(
+                {"component": F.coalesce("component", "cid"), "weight": F.coalesce("weight", F.lit(1))}), "labelled")
+            # what a full comparison of differing components would list
+            held = stored(labelled.groupBy("token", "component").agg(
+                F.count("*").cast("double").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+                F.max(F.col("n") - F.col("i")).alias("left")), "held")
+            mixed = held.groupBy("token").agg(F.count("*").alias("c"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        mixed = stored(mixed.where("c > 1"), "mixed")
+        if labels is not None:  # buckets of one component are done
+            labelled = stored(labelled.join(mixed.select("token"), "token", "left_semi"), "open")
+            tokens = labelled.select(*tokens.columns)
         todo = mixed.agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).first()[0]
         if not todo:
             break

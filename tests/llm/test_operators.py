@@ -487,3 +487,26 @@ def test_randomised_space_matches_a_dense_one(spark):
     _, _, right = np.linalg.svd(table * weights, full_matrices=False)
     basis, _ = np.linalg.qr(space / weights[:, None])
     assert np.linalg.norm(basis.T @ right[0]) > 0.98  # the leading direction lies in the learned space
+
+
+def test_jaccard_rows_under_few_ids(spark):
+    """Many rows of one id do not multiply: 2 x 600 rows under an id each are linked as one pair."""
+    words = [f"w{i}" for i in range(60)]
+    other = words[:-1] + ["changed"]
+    rows = [(i % 2, " ".join((words, other)[i % 2])) for i in range(1_200)] + [(7, "some words that stand here alone by themselves")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    docs = [r for r in ngram_join.components_by_jaccard(df).collect()]
+    assert len(docs) == 1_201 and {(r["doc_id"], r["component_id"]) for r in docs} == {(0, 0), (1, 0), (7, 7)}
+    shingled = ngram_join.prefixes(df, 80, "doc_id", "text", 5)
+    classes = ngram_join.link_classes(df, shingled, 80, "doc_id", "text", 5)
+    routes = classes.where("id = 0").select("cid", "id", "sig", "many", F.lit(1).cast("long").alias("key"))
+    assert routes.first()["many"] and ngram_join._sets(df, routes, "doc_id", "text", 5).count() == 1
+
+
+def test_jaccard_routes_of_many_keys_are_cut(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    sig = ngram_join._signature(ngram_join.shingles("a b c d e f g h"))
+    routes = spark.range(3_000).select(F.col("id").alias("key"), F.lit(5).cast("long").alias("cid"), F.lit(1).cast("long").alias("id"),
+                                       F.lit(bytearray(sig)).alias("sig"), F.lit(False).alias("many"))
+    made = ngram_join._sets(df, routes, "doc_id", "text", 5)
+    assert made.count() == 3_000 and made.select("key").distinct().count() == 3_000
