@@ -12,6 +12,9 @@ Points are a frame ``(row_id, features array<double>)``; distances are Euclidean
    other pivot rules them out. What leaves a pair is bounded by its points, not by its pairs: weighted counts, the edges
    of a spanning forest, the smallest cluster, or the k least distances.
 
+Points may come with a ``cell`` of their own, which makes a forest of trees that grow in the same passes; ``nearest`` takes
+queries that name the tree they ask.
+
 No result depends on the partitioning. The work follows the number of leaves that balls cannot tell apart: in data without
 structure in many dimensions that is most of them; ``Join.compared`` counts it.
 """
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
@@ -46,7 +49,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     """``rows``: row_id and the name of its point. ``leaves``: a packed block per leaf. ``nodes``: the balls."""
 
-    rows: DataFrame     # row_id, name
+    rows: DataFrame     # row_id, name, root
     points: DataFrame   # cell, name, x, w
     leaves: DataFrame   # cell, names, x, w
     nodes: DataFrame    # cell, parent, centre, radius, weight (rows in it), leaf
@@ -64,10 +67,11 @@ def _packed_points(points: DataFrame, dims: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dims) + 0.0
-            yield pa.record_batch([b.column("row_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["row_id", "x"])
+            yield pa.record_batch([b.column("row_id"), b.column("cell"), pa.array([r.tobytes() for r in x], pa.binary())], ["row_id", "cell", "x"])
 
     kind = points.schema["row_id"].dataType.simpleString()
-    return points.select("row_id", "features").mapInArrow(run, f"row_id {kind}, x binary")
+    root = F.col("cell") if "cell" in points.columns else F.lit("0")
+    return points.select("row_id", root.alias("cell"), "features").mapInArrow(run, f"row_id {kind}, cell string, x binary")
 
 
 def build(points: DataFrame, cell: int = CELL) -> Tree | None:
@@ -81,9 +85,9 @@ def build(points: DataFrame, cell: int = CELL) -> Tree | None:
     dims = len(first["features"])
     kind = points.schema["row_id"].dataType.simpleString()
     packed = _packed_points(points, dims).checkpoint()
-    named = packed.groupBy("x").agg(F.min("row_id").alias("name"), F.count(F.lit(1)).alias("w")).checkpoint()
-    rows = packed.join(named.select("x", "name"), "x").select("row_id", "name").checkpoint()
-    current = named.select(F.lit("0").alias("cell"), "name", "x", "w", F.lit(0.0).alias("far"))
+    named = packed.groupBy("cell", "x").agg(F.min("row_id").alias("name"), F.count(F.lit(1)).alias("w")).checkpoint()
+    rows = packed.join(named.select("cell", "x", "name"), ["cell", "x"]).select("row_id", "name", F.col("cell").alias("root")).checkpoint()
+    current = named.select("cell", "name", "x", "w", F.lit(0.0).alias("far"))
     nodes, level = [], 0
     while True:
         counts = current.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
@@ -126,13 +130,13 @@ def build(points: DataFrame, cell: int = CELL) -> Tree | None:
         current = moved.drop("centre")
         level += 1
     current = current.checkpoint()
-    if not nodes:  # all in one leaf
-        nodes = [current.agg(F.lit("0").alias("cell"), F.min("x").alias("centre"), F.lit(math.inf).alias("radius"), F.sum("w").alias("weight"))]
-    balls = nodes[0]
-    for more in nodes[1:]:
+    whole = current.where(F.instr("cell", ".") == 0).groupBy("cell").agg(  # trees of one leaf
+        F.min("x").alias("centre"), F.lit(math.inf).alias("radius"), F.sum("w").alias("weight"))
+    balls = whole
+    for more in nodes:
         balls = balls.union(more)
     held = current.select("cell").distinct().withColumn("leaf", F.lit(True))
-    parent = F.when(F.instr("cell", ".") > 0, F.regexp_replace("cell", r"\.[0-9]+$", ""))
+    parent = F.regexp_replace("cell", r"\.[0-9]+$", "")  # a root that is a leaf is its own parent
     balls = balls.join(held, "cell", "left").select("cell", parent.alias("parent"), "centre", "radius", "weight", F.coalesce("leaf", F.lit(False)).alias("leaf")).checkpoint()
     leaves = pack_leaves(current.select("cell", "name", "x", "w")).checkpoint()
     return Tree(rows, current, leaves, balls, dims, rows.count())
@@ -159,10 +163,9 @@ def visits(tree: Tree, reach: DataFrame) -> DataFrame:
     schema = "a string, ca binary, ra double, r double, b string, cb binary, rb double, leaf boolean"
     own = tree.nodes.where("leaf").join(reach, "cell").select(
         F.col("cell").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"), "r")
-    below = tree.nodes.select(F.coalesce("parent", F.lit("")).alias("up"), F.col("cell").alias("b"), F.col("centre").alias("cb"),
+    below = tree.nodes.select(F.col("parent").alias("up"), F.col("cell").alias("b"), F.col("centre").alias("cb"),
                               F.col("radius").alias("rb"), "leaf")
-    top = "" if tree.nodes.where("cell = '0'").count() else "0"
-    frontier = own.withColumn("up", F.lit(top))
+    frontier = own.withColumn("up", F.substring_index("a", ".", 1))
     done = None
     while True:
         step = frontier.join(below, "up").select("a", "ca", "ra", "r", "b", "cb", "rb", "leaf").mapInArrow(near, schema).checkpoint()
@@ -358,3 +361,60 @@ def kth_distance(tree: Tree, k: int) -> DataFrame:
     parts = _joined(tree, pairs, left, tree.leaves, extra_a=("bound",)).mapInArrow(block, f"a string, name {kind}, d binary, w binary")
     kd = parts.groupBy("a").applyInArrow(merge, f"name {kind}, kdist double")
     return tree.rows.join(kd, "name").select("row_id", "kdist")
+
+
+def nearest(tree: Tree, queries: DataFrame, k: int, values: DataFrame) -> DataFrame:
+    """The k nearest rows of each query in its tree, by distance and then id: ``qid``, ``root``, ``squared`` (distance), ``id``
+    and ``vals``. ``queries``: qid, root, features. ``values``: row_id, root, vals (array<double>); of rows at one point only the k smallest ids are
+    kept. More than k may come back: those of each leaf that was visited."""
+    dims = tree.dims
+    kind = tree.rows.schema["row_id"].dataType.simpleString()
+    asked = queries.schema["qid"].dataType.simpleString()
+    packed = _packed_points(queries.select(F.col("qid").alias("row_id"), F.col("root").alias("cell"), "features"), dims)
+    below = tree.nodes.select(F.col("parent").alias("up"), F.col("cell").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"),
+                              "weight", "leaf")
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = np.sqrt(((_matrix(b.column("x").to_pylist(), dims) - _matrix(b.column("cb").to_pylist(), dims)) ** 2).sum(1))
+            radius = b.column("rb").to_numpy()
+            upper = np.where(b.column("weight").to_numpy() >= k, (far + radius) * (1 + SLACK), np.inf)
+            yield pa.record_batch([*(b.column(c) for c in ("qid", "root", "x", "bound", "b", "leaf")),
+                                   pa.array(far * (1 - SLACK) - radius * (1 + SLACK)), pa.array(upper)],
+                                  ["qid", "root", "x", "bound", "b", "leaf", "low", "upper"])
+
+    frontier = packed.select(F.col("row_id").alias("qid"), F.col("cell").alias("root"), "x", F.lit(math.inf).alias("bound"), F.col("cell").alias("up"))
+    done = None
+    while True:
+        step = frontier.join(below, "up").select("qid", "root", "x", "bound", "b", "leaf", "cb", "rb", "weight").mapInArrow(
+            gaps, f"qid {asked}, root string, x binary, bound double, b string, leaf boolean, low double, upper double")
+        tight = F.least("bound", F.min("upper").over(Window.partitionBy("qid", "root")))
+        step = step.withColumn("bound", tight).where("low <= bound").checkpoint()
+        ended = step.where("leaf").select("qid", "root", "x", "b")
+        done = ended if done is None else done.union(ended)
+        frontier = step.where("NOT leaf").select("qid", "root", "x", "bound", F.col("b").alias("up"))
+        if frontier.isEmpty():
+            break
+    held = tree.rows.join(values, ["row_id", "root"]).withColumn("nth", F.row_number().over(Window.partitionBy("root", "name").orderBy("row_id")))
+    held = held.where(F.col("nth") <= k).groupBy("root", "name").agg(F.collect_list(F.struct(F.col("row_id").alias("id"), "vals")).alias("entries"))
+    entries = tree.points.withColumn("root", F.substring_index("cell", ".", 1)).join(held, ["root", "name"]).select("cell", "name", "x", "w", "entries")
+    blocks = entries.groupBy(F.col("cell").alias("b")).agg(F.collect_list(F.struct("x", "entries")).alias("points"))
+    crowd = done.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
+    packs = done.join(crowd, "b").groupBy("b", "root", F.pmod(F.xxhash64("qid"), F.col("parts")).alias("part")).agg(
+        F.collect_list(F.struct("qid", "x")).alias("queries"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asks, points = batch.column("queries")[i].as_py(), batch.column("points")[i].as_py()
+                flat = sorted(((e["id"], p, e["vals"]) for p, point in enumerate(points) for e in point["entries"]), key=lambda e: e[0])
+                d = squared(_matrix([q["x"] for q in asks], dims), _matrix([p["x"] for p in points], dims))[:, [p for _, p, _ in flat]]
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                rows = [(q["qid"], d[n, j], flat[j][0], flat[j][2]) for n, q in enumerate(asks) for j in best[n]]
+                ids, gaps_, names, vals = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(ids, batch.column("queries").type.value_type.field("qid").type), pa.array([batch.column("root")[i].as_py()] * len(rows)),
+                                       pa.array(gaps_, pa.float64()), pa.array(names, batch.column("points").type.value_type.field("entries").type.value_type.field("id").type),
+                                       pa.array(vals, pa.list_(pa.float64()))], ["qid", "root", "squared", "id", "vals"])
+
+    return packs.join(blocks, "b").select("root", "queries", "points").mapInArrow(
+        compare, f"qid {asked}, root string, squared double, id {kind}, vals array<double>")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import CATEGORICAL, NUMERIC, classify
 from ..functions.safe import qcol
+from ..session import ensure_checkpoint_dir
+from .knn_impute import knn_impute
 from .profile import frequency_table, top_values
 from .quantiles import exact_quantiles
 from .screen import prep_drop_columns
@@ -57,6 +59,8 @@ class Preprocessor:
     categorical_strategy: str = "most_frequent"  # most_frequent | constant
     scaler_type: str = "standard"             # standard | minmax
     fill_value: str = "missing"
+    use_knn_imputer: bool = False             # the rows were filled by nearest donors (``preprocess``); later rows by the strategy
+    knn_neighbors: int = 5
     numeric_features: list[str] = field(default_factory=list)
     categorical_features: list[str] = field(default_factory=list)
     num_fill: dict = field(default_factory=dict)
@@ -161,7 +165,8 @@ class Preprocessor:
     def summary(self) -> dict:
         return {"numeric_features": self.numeric_features, "categorical_features": self.categorical_features,
                 "numeric_strategy": self.numeric_strategy, "categorical_strategy": self.categorical_strategy,
-                "scaler_type": self.scaler_type, "fitted": self.fitted}
+                "scaler_type": self.scaler_type, "use_knn_imputer": self.use_knn_imputer,
+                "knn_neighbors": self.knn_neighbors, "fitted": self.fitted}
 
     def _check(self):
         if not self.fitted:
@@ -182,19 +187,30 @@ class Prepared:
         return self.preprocessor.feature_names()
 
 
+def filled_by_neighbors(base: DataFrame, features: list[str], k: int) -> DataFrame:
+    """the numeric features of ``base`` filled from the k nearest rows that have them. Rows that were kept
+    apart only by their id stay apart."""
+    numeric = [c for c, kind in classify(base.select(*[qcol(c) for c in features])) if kind == NUMERIC]
+    return knn_impute(base, numeric, "row_id", k).checkpoint() if numeric else base
+
+
 def preprocess(df: DataFrame, exclude_cols: list[str] | None = None, target_col: str | None = None,
-               dedupe: bool = True, keep_target: bool = False, **prep_kw) -> Prepared:
-    """M1–M3: blank → NULL → dedupe (target included) → drop exclude ∪ ID names ∪ target →
-    impute / scale / encode. The output keeps ``row_id`` (and the target as ``label`` when
+               dedupe: bool = True, keep_target: bool = False, use_knn: bool = False, knn_neighbors: int = 5, **prep_kw) -> Prepared:
+    """M1–M3: blank → NULL → dedupe (target included; written once) → drop exclude ∪ ID names ∪ target →
+    impute (with ``use_knn`` numeric cells by their nearest donors) / scale / encode. The output keeps ``row_id`` (and the target as ``label`` when
     ``keep_target``) on the same row as the features."""
     if len(df.columns) == 0:
         raise ValueError("Input dataframe is None or empty")
     base = blank_to_null(df)
     if dedupe:
         base = dedupe_rows(base)
-    base = base.withColumn("row_id", row_key(list(df.columns)))
+    ensure_checkpoint_dir(df.sparkSession)
+    base = base.withColumn("row_id", row_key(list(df.columns))).checkpoint()
     drop = prep_drop_columns(df, exclude_cols, target_col)
     feats = [c for c in df.columns if c not in drop]
+    if use_knn:
+        base = filled_by_neighbors(base, feats, knn_neighbors)
+        prep_kw |= {"use_knn_imputer": True, "knn_neighbors": knn_neighbors}
     pre = Preprocessor(**prep_kw).fit(base.select(*[qcol(c) for c in feats]))
     keep = ["row_id"] + ([target_col] if keep_target and target_col else [])
     return Prepared(pre.transform(base, keep=keep), pre, base, drop)

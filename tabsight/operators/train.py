@@ -37,7 +37,8 @@ from ..functions.safe import qcol
 from ..session import ensure_checkpoint_dir
 from . import forest as FO
 from . import model_eval as ME
-from .prep import Preprocessor, blank_to_null, dedupe_rows, preprocessor_sql_sparse, row_key
+from .knn_impute import NEIGHBORS
+from .prep import Preprocessor, blank_to_null, dedupe_rows, filled_by_neighbors, preprocessor_sql_sparse, row_key
 from .screen import prep_drop_columns
 from .tree_growth import Shape
 
@@ -194,7 +195,7 @@ def _new_path(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{name}-{uuid.uuid4().hex}"
 
 
-def prepare_supervised(df: DataFrame, target: str, exclude_cols: list[str] | None = None):
+def prepare_supervised(df: DataFrame, target: str, exclude_cols: list[str] | None = None, use_knn: bool = False):
     """M3: blank → NULL → dedupe (target included) → drop rows with a NULL target → features.
     Returns (base frame with row_id and label, fitted preprocessor, problem type, label levels)."""
     base = dedupe_rows(blank_to_null(df))
@@ -203,7 +204,9 @@ def prepare_supervised(df: DataFrame, target: str, exclude_cols: list[str] | Non
     problem = detect_problem(base, target)
     drop = prep_drop_columns(df, exclude_cols, target)
     feats = [c for c in df.columns if c not in drop]
-    pre = Preprocessor().fit(base.select(*[qcol(c) for c in feats]))
+    if use_knn:
+        base = filled_by_neighbors(base, feats, NEIGHBORS)
+    pre = Preprocessor(use_knn_imputer=use_knn).fit(base.select(*[qcol(c) for c in feats]))
     levels = []
     if problem == CLASSIFICATION:
         levels = [r["value"] for r in ME.label_index(base, target).orderBy("index").collect()]
@@ -253,9 +256,9 @@ def _per_fold(metrics: DataFrame, k: int) -> list[dict]:
 
 
 def train(df: DataFrame, target: str, exclude_cols: list[str] | None = None, n_splits: int = 5, seed: int = 42,
-          threads: int = 6, trees: int = 100) -> ModelingResult:
+          threads: int = 6, trees: int = 100, use_knn: bool = False) -> ModelingResult:
     """Cross-validate three models, refit the best on everything, hold-out metrics."""
-    base, pre, problem, levels = prepare_supervised(df, target, exclude_cols)
+    base, pre, problem, levels = prepare_supervised(df, target, exclude_cols, use_knn)
     feat_model = Pipeline(stages=feature_pipeline(pre, ["row_id", "label"])).fit(base)
     coded = [f"{c}__idx" for c in pre.categorical_features]
     data = feat_model.transform(base).select("row_id", "label", "features", *[qcol(c) for c in pre.numeric_features + coded])

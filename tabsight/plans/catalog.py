@@ -377,6 +377,7 @@ def _nc(spark, d):
 
 
 # =============================================================== preprocessing
+from ..operators import knn_impute as KN  # noqa: E402
 from ..operators import prep as PR  # noqa: E402
 
 
@@ -420,6 +421,29 @@ def _imp_mode(spark, d):
     return df.select("l_orderkey", "l_linenumber", F.coalesce("l_returnflag", F.lit(pre.cat_fill["l_returnflag"])).alias("l_returnflag"))
 
 
+def _knn_cell(column):
+    return (f"SELECT id, avg(v) AS v FROM (SELECT id, q_{column} AS v, row_number() OVER (PARTITION BY id ORDER BY dist, donor) AS nth "
+            f"FROM d WHERE {column} IS NULL AND q_{column} IS NOT NULL) WHERE nth <= 5 GROUP BY id")
+
+
+_KNN_COLS = ["size", "price", "width"]
+
+
+@register("impute_knn",  # all donors of every row with a missing cell, by nan-Euclidean distance
+          f"WITH p AS ({DV.PART_NULLS_SQL}), d AS (SELECT r.row_id AS id, o.row_id AS donor, r.size, r.price, r.width, "
+          + ", ".join(f"o.{c} AS q_{c}" for c in _KNN_COLS) + ", ("
+          + " + ".join(f"coalesce((r.{c} - o.{c}) * (r.{c} - o.{c}), 0)" for c in _KNN_COLS) + ") * 3 / ("
+          + " + ".join(f"CAST(r.{c} IS NOT NULL AND o.{c} IS NOT NULL AS INTEGER)" for c in _KNN_COLS) + ") AS dist "
+          "FROM p r JOIN p o ON (r.size IS NULL OR r.price IS NULL OR r.width IS NULL) AND ("
+          + " OR ".join(f"(r.{c} IS NOT NULL AND o.{c} IS NOT NULL)" for c in _KNN_COLS) + ")), "
+          + ", ".join(f"f_{c} AS ({_knn_cell(c)})" for c in _KNN_COLS)
+          + " SELECT p.row_id, " + ", ".join(f"round(coalesce(p.{c}, f_{c}.v, (SELECT avg({c}) FROM p)), 6) AS {c}" for c in _KNN_COLS)
+          + " FROM p " + " ".join(f"LEFT JOIN f_{c} ON f_{c}.id = p.row_id" for c in _KNN_COLS))
+def _imp_knn(spark, d):
+    got = KN.knn_impute(DV.part_nulls(T(spark, d, "part")), _KNN_COLS)
+    return got.select("row_id", *[F.round(c, R).alias(c) for c in _KNN_COLS])
+
+
 _SCALE_COLS = ["l_quantity", "l_discount", "l_tax"]
 
 
@@ -931,6 +955,33 @@ def _cvstab(spark, d):
     return ME.fold_stability(_fold_scores(spark, d))
 
 
+@register("cv_metrics",
+          f"{_FOLD_SQL}, c AS (SELECT fold, cls, sum(support) AS support, sum(guessed) AS guessed, sum(hit) AS hit FROM ("
+          "SELECT fold, label AS cls, 1 AS support, 0 AS guessed, CASE WHEN label = prediction THEN 1 ELSE 0 END AS hit FROM f "
+          "UNION ALL SELECT fold, prediction, 0, 1, 0 FROM f) GROUP BY fold, cls), "
+          "m AS (SELECT *, coalesce(hit / nullif(CAST(guessed AS DOUBLE), 0), 0) AS pr, coalesce(hit / nullif(CAST(support AS DOUBLE), 0), 0) AS re FROM c) "
+          "SELECT fold, round(sum(hit) / CAST(sum(support) AS DOUBLE), 6) AS accuracy, "
+          "round(sum(support * coalesce(2 * pr * re / nullif(pr + re, 0), 0)) / sum(support), 6) AS f1, "
+          "round(sum(support * pr) / sum(support), 6) AS precision, round(sum(support * re) / sum(support), 6) AS recall FROM m GROUP BY fold")
+def _cv_metrics(spark, d):
+    # Every metric of every fold in one pass, as the trainer scores its folds
+    lp = DV.label_pred(T(spark, d, "labels"))
+    k = ME.n_splits_for({r[0]: r[1] for r in lp.groupBy("label").count().collect()}, "classification")
+    m = ME.fold_metrics(ME.assign_folds(lp, "doc_id", "label", k), "classification")
+    return m.select("fold", *[F.round(c, R).alias(c) for c in ("accuracy", "f1", "precision", "recall")])
+
+
+@register("label_decode",
+          "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS code, p_type AS predicted_label FROM part")
+def _label_decode(spark, d):
+    # F11, there and back: class numbers from the sorted labels, and the labels that the numbers stand for
+    part = T(spark, d, "part").select("p_partkey", "p_type")
+    index = ME.label_index(part, "p_type")
+    levels = [r["value"] for r in index.orderBy("index").collect()]
+    coded = part.join(index, F.col("p_type") == F.col("value")).select("p_partkey", F.col("index").alias("code"))
+    return ME.label_names(coded, levels, "code")
+
+
 @register("model_ranking",
           f"{_FOLD_SQL} SELECT model, round(avg(score), 6) AS score, CAST(row_number() OVER (ORDER BY avg(score) DESC, model) AS INTEGER) AS rank "
           f"FROM s GROUP BY model")
@@ -987,6 +1038,14 @@ def _train_reg(spark, d):
     return _cv_frame(spark, TR.train(df, "l_extendedprice"))
 
 
+@register("cv_scores")
+def _cv_scores(spark, d):
+    # Every metric per model and fold, beside the facts of the run
+    res = TR.train(_binary_input(spark, d), "quality")
+    facts = res.run_facts(spark).first().asDict()
+    return res.cv_scores(spark).select("*", *[F.lit(v).alias(c) for c, v in facts.items()])
+
+
 @register("feature_importance_topk")
 def _fi_topk(spark, d):
     # Top-5 importances of the refitted best model, named from the feature metadata

@@ -29,6 +29,20 @@ def lineitem_nulls(li: DataFrame) -> DataFrame:
         "l_linestatus", "l_shipdate")
 
 
+# ------------------------------------------------------------------ part_nulls
+PART_NULLS_SQL = (
+    "SELECT p_partkey AS row_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size, "
+    "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS DOUBLE) / 32 END AS price, "
+    "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(length(p_type) AS DOUBLE) END AS width FROM part")
+
+
+def part_nulls(part: DataFrame) -> DataFrame:
+    key = F.col("p_partkey")
+    return part.select(key.alias("row_id"), F.when(key % 5 != 0, F.col("p_size").cast("double")).alias("size"),
+                       F.when(key % 7 != 0, F.col("p_retailprice").cast("double") / 32).alias("price"),
+                       F.when(key % 11 != 0, F.length("p_type").cast("double")).alias("width"))
+
+
 # ------------------------------------------------------------------ lineitem_dups
 LINEITEM_DUPS_SQL = "SELECT l_linenumber, l_discount, l_tax FROM lineitem"
 
