@@ -226,11 +226,15 @@ def pca(df: DataFrame, columns: list[str], n_components: int = 2, keep: list[str
     all-NULL columns dropped, NULLs filled with the column median; the sign of each component
     is fixed so its largest-magnitude loading is positive. Returns (frame, explained ratio) or
     None when fewer than 3 rows or 2 usable columns."""
-    clean = df.select(*[qcol(k) for k in (keep or [])],
-                      *[F.when(F.isnan(qcol(c).cast("double")) | (F.abs(qcol(c).cast("double")) == F.lit(float("inf"))),
-                               F.lit(None)).otherwise(qcol(c).cast("double")).alias(c) for c in columns])
+    def finite(v):
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
     if drop_all_null_rows:  # P14: the scatter path drops rows with every feature missing
-        clean = clean.na.drop(how="all", subset=list(columns))
+        df = df.where(F.exists(F.array(*[qcol(c).cast("double") for c in columns]), finite))
+    clean = df.select(*[qcol(k) for k in (keep or [])],
+                      *[F.when(finite(qcol(c).cast("double")), qcol(c).cast("double")).alias(c) for c in columns])
+    ensure_checkpoint_dir(df.sparkSession)
+    clean = clean.checkpoint()  # read by the counts, the medians, the means, the covariances and the result
     counts = clean.agg(F.count(F.lit(1)).alias("n"), *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     use = [c for i, c in enumerate(columns) if counts[f"c{i}"] > 0]
     n = counts["n"]

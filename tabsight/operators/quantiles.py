@@ -46,11 +46,13 @@ def _digit_counts(values: DataFrame, done: int, prefixes: list[list[int]]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros((len(p), width), np.int64) for p in prefixes]
         for batch in batches:
+            flat = batch.column(0).flatten()
+            table = flat.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            held = flat.is_valid().to_numpy(zero_copy_only=False).reshape(table.shape)
             for c, wanted in enumerate(prefixes):
-                column = batch.column(c).drop_null()
-                if not len(column) or not wanted:
+                if not wanted or not held[:, c].any():
                     continue
-                keys = sortable(column.to_numpy(zero_copy_only=False).astype(float))
+                keys = sortable(table[held[:, c], c])
                 digits = ((keys >> shift) & np.uint64(width - 1)).astype(np.int64)
                 if done == 0:
                     counts[c][0] += np.bincount(digits, minlength=width)
@@ -68,7 +70,7 @@ def _digit_counts(values: DataFrame, done: int, prefixes: list[list[int]]) -> Da
 
 
 def _select(values: DataFrame, n_columns: int, probs: list[float]) -> list[list[float] | None]:
-    """The quantiles of the double columns of ``values``."""
+    """The quantiles of the elements of ``values``' one column, an array of ``n_columns`` doubles."""
     spark = values.sparkSession
     sizes: list[int] = [0] * n_columns
     targets: list[dict[int, tuple[int, int]]] = [{} for _ in range(n_columns)]  # rank -> (digits so far, rank among their values)
@@ -115,7 +117,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
     out = {}
     for start in range(0, len(cols), at_once):
         some = cols[start:start + at_once]
-        values = df.select(*[qcol(c).cast("double").alias(f"v{i}") for i, c in enumerate(some)])
+        # one array, not a column each: Spark infers a filter's constraints anew for every subset of aliased columns
+        values = df.select(F.array(*[qcol(c).cast("double") for c in some]).alias("v"))
         for c, row in zip(some, _select(values, len(some), probs), strict=True):
             out[c] = row if row is not None else [None] * len(probs)
     return out

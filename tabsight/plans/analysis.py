@@ -22,6 +22,7 @@ from ..operators import metric_index as MX
 from ..operators import neighbors as NB
 from ..operators import prep as PR
 from ..operators import screen as S
+from ..operators import silhouette as SI
 from ..operators import stats as ST
 from ..operators import train as TR
 from ..session import ensure_checkpoint_dir
@@ -44,6 +45,7 @@ class AnalysisResult:
     feature_names: list
     clusterings: dict = field(default_factory=dict)
     best: str | None = None
+    settled: bool = True         # the bounds of the silhouettes decide between the clusterings
     labelled: DataFrame | None = None
     pca: DataFrame | None = None
     modeling: TR.ModelingResult | None = None
@@ -63,24 +65,41 @@ def cluster_all(processed: DataFrame, names: list[str], kmeans_k: int | None = N
     flat = processed.select("row_id", *[qcol(n).alias(c) for n, c in zip(names, cols)])
     scaled = KM.standardize(flat, cols, keep=["row_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     runs = {}
+    pts = scaled.select("row_id", F.array(*[F.col(c) for c in cols]).alias("features"))
+    tree = MX.build(pts)  # for neighbours in many dimensions and for the Euclidean silhouette
     if "KMeans" in methods:
         labels, k, search, cost = KM.kmeans(scaled, cols, k=kmeans_k, n_init=n_init, rescale=False)
         labels = labels.checkpoint()
-        m = CM.safe_metrics(labels, cols)
+        m = euclidean(CM.safe_metrics(labels, cols), tree, labels)
         runs["KMeans"] = ClusteringRun("KMeans", labels.select("row_id", "cluster"), {**m, "n_noise": 0},
                                        {"k": k, "inertia": cost, "search": search})
     if "DBSCAN" in methods:
-        pts = scaled.select("row_id", F.array(*[F.col(c) for c in cols]).alias("features"))
         n = scaled.count()
         ms = min_samples or scaled.select(BD.dbscan_min_samples(F.lit(n))).first()[0]
-        tree = MX.build(pts) if len(cols) > NB.GRID_DIMS else None  # for both the distances and the clusters
-        e = eps if eps is not None else NB.estimate_eps(pts, ms, tree=tree)[0]
-        lab = DB.dbscan(pts, e, ms, tree).select("row_id", "cluster").checkpoint()
-        m = CM.safe_metrics(scaled.join(lab, "row_id"), cols)
+        wide = tree if len(cols) > NB.GRID_DIMS else None
+        e = eps if eps is not None else NB.estimate_eps(pts, ms, tree=wide)[0]
+        lab = DB.dbscan(pts, e, ms, wide).select("row_id", "cluster").checkpoint()
+        m = euclidean(CM.safe_metrics(scaled.join(lab, "row_id"), cols), tree, lab)
         runs["DBSCAN"] = ClusteringRun("DBSCAN", lab, m, {"eps": e, "min_samples": ms})
     return runs
 
 
+def euclidean(metrics: dict, tree: MX.Tree, labels: DataFrame) -> dict:
+    """The metrics with the Euclidean silhouette, whose bands the findings use: the middle of its interval, beside its
+    ends; the squared variant goes by its own name. Where a clustering has no silhouette (-1) it keeps that."""
+    found = SI.silhouette(tree, labels) if metrics["silhouette"] != -1 else None
+    if found is None:
+        return metrics
+    return {**metrics, "silhouette_sq": metrics["silhouette"], "silhouette": (found.low + found.high) / 2,
+            "silhouette_low": found.low, "silhouette_high": found.high}
+
+
+def settled(runs: dict) -> bool:
+    """Whether no run's silhouette interval reaches into another's: else the choice may turn on the bounds' width."""
+    ends = sorted((r.metrics["silhouette_low"], r.metrics["silhouette_high"]) for r in runs.values() if "silhouette_low" in r.metrics)
+    return all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
 def best_run(spark, runs: dict) -> str:
     """The name of the run that ``cluster_metrics.select_best`` selects."""
     if not runs:
@@ -118,8 +137,8 @@ def run_analysis(df: DataFrame, target_col: str | None = None, run_modeling: boo
     quality = report_quality(clean)
     findings = full_report(labelled, quality, runs[best], modeling)
     processed.unpersist()
-    return AnalysisResult("success", (clean.count(), len(clean.columns)), screen, processed, names, runs, best, labelled,
-                          pca, modeling, findings, feature_statistics(clean))
+    return AnalysisResult("success", (clean.count(), len(clean.columns)), screen, processed, names, runs, best, settled(runs),
+                          labelled, pca, modeling, findings, feature_statistics(clean))
 
 
 def _one_row(spark, values: dict, schema: str) -> DataFrame:

@@ -1376,6 +1376,18 @@ ORACLES["dbscan_auto"] = _dbscan_sql(
     f"SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) FROM {_PP}")
 
 
+@register("silhouette_interval")
+def _silhouette_interval(spark, d):
+    # Bounds of the Euclidean silhouette of a fixed clustering; brute force in tests/test_silhouette.py
+    from ..operators import metric_index as MX
+    from ..operators import silhouette as SI
+    pts = DV.part_labels(T(spark, d, "part"))
+    tree = MX.build(DV.with_features(pts).select("row_id", "features"))
+    found = SI.silhouette(tree, pts.select("row_id", "cluster"))
+    return spark.createDataFrame([(round(found.low, R), round(found.high, R), tree.n_rows, found.exact_pairs, found.cell_pairs)],
+                                 "silhouette_low double, silhouette_high double, n_rows long, exact_pairs long, cell_pairs long")
+
+
 @register("dbscan_embeddings")
 def _dbscan_emb(spark, d):
     # M7 + M8 on 64-dimensional vectors (grid on the two widest coordinates, exact distances)
