@@ -24,12 +24,13 @@ from collections.abc import Iterator
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.llm.common import ship
 
 UNKNOWN = "und"
 DICTIONARY_BYTES, SAMPLE_CHARS, SAMPLE_DOCS, MIN_MARGIN = 64_000, 2_000, 64, 0.01
+MOST_PARTS = 8 * SAMPLE_DOCS
 CHUNK, LEVEL, SHORT, SHORT_LEVEL = 4_096, 6, 400, 19
 # Goes before every chunk: without it a short block that gains little is stored as it is, whatever the dictionary.
 _FILLER = bytes(64)
@@ -43,7 +44,8 @@ def normal(text: str) -> bytes:
 
 def learn(rows: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary content, the commonest language first, from labelled rows (those with
-    a null id, text or language are left out). About ``2 * SAMPLE_DOCS`` documents a language reach the driver."""
+    a null id, text or language are left out). About ``2 * SAMPLE_DOCS`` documents a language reach the driver, ``MOST_PARTS``
+    at most, however many texts an id has."""
     known = rows.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     counts = known.groupBy("lang").count().collect()
@@ -56,7 +58,9 @@ def learn(rows: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     start = F.when(length > SAMPLE_CHARS, F.pmod(F.xxhash64("id", F.lit(1)), length - SAMPLE_CHARS)).otherwise(0) + 1
     parts = (known.where(chosen).select("lang", F.xxhash64("id").alias("h"),
                                         F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
-             .groupBy("lang", "part").agg(F.min("h").alias("h")).orderBy("lang", "h", "part").collect())
+             .groupBy("lang", "part").agg(F.min("h").alias("h"))
+             .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
+             .where(F.col("nth") <= MOST_PARTS).orderBy("lang", "h", "part").collect())
     found = {r["lang"]: b"" for r in sorted(counts, key=lambda r: (-r["count"], r["lang"]))}
     for r in parts:
         found[r["lang"]] = (found[r["lang"]] + normal(r["part"]) + b"\n")[:DICTIONARY_BYTES]

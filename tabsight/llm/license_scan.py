@@ -17,7 +17,7 @@ has no words, detections or labels and scores 0. Repeated rows are scanned alike
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -116,6 +116,36 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 PHRASE_WEIGHT = 0.6
 
 
+# A longer run of white space is read as one line break, or blank, so that no rule scans it again from every place.
+_LONG_RUN = re.compile(r"\s{17,}")
+
+
+def fold_runs(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """The text with each long run of white space as one character, and per run its place there, its start and end
+    in the text, and where its first line after a break begins."""
+    out, runs, upto, length = [], [], 0, 0
+    for m in _LONG_RUN.finditer(text):
+        out.append(text[upto:m.start()])
+        length += m.start() - upto
+        line = text.find("\n", m.start(), m.end())
+        out.append(" " if line < 0 else "\n")
+        runs.append((length, m.start(), m.end(), line + 1))
+        length, upto = length + 1, m.end()
+    return ("".join([*out, text[upto:]]), runs) if runs else (text, runs)
+
+
+def unfolded(start: int, end: int, runs: list[tuple[int, int, int, int]], at_line: bool) -> tuple[int, int]:
+    """The interval in the text for one in the folded text. ``at_line``: the match takes the white space before it, from
+    the first line of the run on."""
+    def back(place: int) -> int:
+        i = bisect_left(runs, (place,)) - 1  # the last run before the place
+        return place if i < 0 else place - runs[i][0] - 1 + runs[i][2]
+
+    i = bisect_left(runs, (start,)) - 1
+    first = runs[i][3] if at_line and i >= 0 and runs[i][0] + 1 == start and runs[i][3] else back(start)
+    return first, back(end)
+
+
 # Comment signs at the start of a line, and a gap between two words of a rule.
 _SIGNS = r"\n[^\S\n]*(?:[*#/;%!>|]+|--+)"
 _GAP = rf"(?>(?:\s*{_SIGNS})+\s*|\s+)"
@@ -180,8 +210,11 @@ class Scanner:
         able: set[int] = set()
         for _, (_, which) in self.automaton.iter(" ".join(self.signs.sub("\n", lower).split())):
             able.update(which)
+        folded, runs = fold_runs(lower) if able else (lower, [])
         found = [(m.start(), m.end(), rule) for i in sorted(able) for rule, pattern in (self.rules[i],)
-                 for m in pattern.finditer(lower) if m.end() > m.start()]
+                 for m in pattern.finditer(folded) if m.end() > m.start()]
+        if runs:
+            found = [(*unfolded(a, z, runs, rule.pattern.startswith("(?m)^")), rule) for a, z, rule in found]
         return _resolve(found)
 
     def scan(self, text: str | None) -> dict:

@@ -510,3 +510,47 @@ def test_jaccard_routes_of_many_keys_are_cut(spark):
                                        F.lit(bytearray(sig)).alias("sig"), F.lit(False).alias("many"))
     made = ngram_join._sets(df, routes, "doc_id", "text", 5)
     assert made.count() == 3_000 and made.select("key").distinct().count() == 3_000
+
+
+def test_license_rules_on_long_white_space():
+    """Long runs of blank lines take time in proportion, and what is found stands where it stood."""
+    import time
+    scanner = license_scan.Scanner(license_scan.build_rules())
+    start = time.time()
+    found = scanner.detections("gnu" + "\n " * 500_000 + "general public license" + "\n" * 500_000)
+    assert time.time() - start < 5 and {r.label for _, _, r in found} == {"gpl"}
+    for run in (" " * 40, "\n" * 40, " \n\t" * 20, "\r\n" * 30, "\n" + " " * 30):
+        for text in (f"under the{run}mit license{run}x", f"{run}license: mit", f"word{run}license:{run}apache license", f"a{run}b"):
+            every = [(m.start(), m.end(), r) for r, pattern in scanner.rules for m in pattern.finditer(text) if m.end() > m.start()]
+            assert scanner.detections(text) == license_scan._resolve(every), repr(text)
+
+
+def test_license_scan_on_odd_rows(spark, odd):
+    rows = odd.select("doc_id", "n_words", license_scan.scan_column(spark).alias("s"))
+    assert rows.count() == len(ODD) and rows.limit(0).count() == 0
+    assert {r["s"]["n_words"] for r in rows.where("doc_id = 1 OR doc_id = 2").collect()} == {0}
+    assert odd.limit(0).select(license_scan.scan_column(spark)).collect() == []
+
+
+def test_language_learning_is_bounded_by_language(spark):
+    rows = [(1, f"text number {i} " * 50, "en") for i in range(3_000)] + [(2, "ein text", "de"), (None, "x", "de"), (3, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = [language_id.learn(df.repartition(n)) for n in (1, 5)]
+    assert learnt[0] == learnt[1] and list(learnt[0]) == ["en", "de"] and len(learnt[0]["en"]) <= language_id.DICTIONARY_BYTES
+    assert language_id.learn(df.limit(0)) == {}
+
+
+def test_language_sizes_are_those_of_plain_zstandard():
+    import zstandard
+    words = {"aa": b"the cat sat on the mat and the dog lay there " * 30, "bb": b"der hund lag auf der matte und die katze sass " * 30}
+    model = language_id.Classifier(words)
+    for text in ("the dog sat on the mat", "die katze lag auf der matte " * 40, "x"):
+        raw = language_id.normal(text)
+        level = language_id.SHORT_LEVEL if len(raw) <= language_id.SHORT else language_id.LEVEL
+        sizes = {}
+        for name, content in words.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[name] = sum(len(c.compress(language_id._FILLER + raw[i:i + language_id.CHUNK])) for i in range(0, len(raw), language_id.CHUNK))
+        low, high = sorted(sizes.values())
+        assert model.classify(text) == (min(sizes, key=sizes.get), (high - low) / high)
