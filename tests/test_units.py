@@ -44,11 +44,11 @@ def test_even_median_and_all_null(spark):
     assert pre2.numeric_features == ["a"]  # all-NULL column dropped
 
 
-def test_bracketed_quantiles_equal_direct(spark):
+def test_quantiles_equal_percentile(spark):
     df = spark.range(0, 20011).select(((F.col("id") * 7919) % 10007 / 3.0).alias("v"))
-    direct = exact_quantiles(df, ["v"], [0.1, 0.25, 0.5, 0.9], max_exact_rows=10**9)
-    bracket = exact_quantiles(df, ["v"], [0.1, 0.25, 0.5, 0.9], max_exact_rows=10, max_exact_distinct=10, accuracy=1000)
-    for a, b in zip(direct["v"], bracket["v"]):
+    probs = [0.1, 0.25, 0.5, 0.9]
+    direct = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    for a, b in zip(direct, exact_quantiles(df, ["v"], probs)["v"], strict=True):
         assert a == pytest.approx(b, rel=1e-12)
 
 
