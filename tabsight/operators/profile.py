@@ -87,19 +87,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         "mean", "std_samp", "std_pop", "min", "max", "skewness", "kurtosis")
 
 
-LONG_VALUE = 32
-
-
-def _count_key(v):
-    """Key for counting only: values longer than 32 characters are replaced by their 128-bit md5
-    (in a separate namespace), so counting distinct pages or documents shuffles 34-byte keys
-    instead of whole texts; collisions among md5 digests are negligible (~n²/2¹²⁹)."""
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(F.length(v) > LONG_VALUE, F.concat(F.lit("h:"), F.md5(v)))
-            .otherwise(F.concat(F.lit("v:"), v)))
-
-
-def stacked_values(df: DataFrame, columns: list[str] | None = None, counting_only: bool = False) -> DataFrame:
+def stacked_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(position, value) with every cell rendered as a string — the unpivoted table."""
     cols = list(columns) if columns is not None else list(df.columns)
     pos_of = {c: i for i, c in enumerate(df.columns)}
@@ -107,20 +95,18 @@ def stacked_values(df: DataFrame, columns: list[str] | None = None, counting_onl
     floating = {c: t for c, t in df.dtypes if t in ("double", "float")}
 
     def val(c):
-        v = (qcol(c) + F.lit(0.0).cast(floating[c]) if c in floating else qcol(c)).cast("string")  # -0.0 is 0.0
-        return _count_key(v) if counting_only else v
+        return (qcol(c) + F.lit(0.0).cast(floating[c]) if c in floating else qcol(c)).cast("string")  # -0.0 is 0.0
 
     return df.select(F.inline(F.array(*[
         F.struct(F.lit(pos_of[c]).alias("position"), val(c).alias("value")) for c in cols
     ])))
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None, counting_only: bool = False) -> DataFrame:
-    """(position, column_name, value, cnt); NULL is one value of its own. With ``counting_only``
-    the value is a counting key (long texts hashed) — for distinct counts, not for display."""
+def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(position, column_name, value, cnt); NULL is one value of its own."""
     cols = list(columns) if columns is not None else list(df.columns)
     names = F.array(*[F.lit(c) for c in df.columns])
-    return (stacked_values(df, cols, counting_only)
+    return (stacked_values(df, cols)
             .groupBy("position", "value").agg(F.count(F.lit(1)).alias("cnt"))
             .select("position", F.element_at(names, F.col("position") + 1).alias("column_name"),
                     "value", "cnt"))
@@ -134,10 +120,29 @@ def distinct_counts(freq: DataFrame) -> DataFrame:
         F.sum("cnt").alias("n_rows"))
 
 
+EIGHT_BYTES = ("bigint", "double", "int", "smallint", "tinyint", "float", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
+def hashed_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(position, value, cnt) for counting only: ``value`` is a 64-bit hash, which no two values of a type of
+    at most eight bytes share, beside a second one for the others (128 bits in all: collisions are negligible, ~n²/2¹²⁹). Keys are of
+    fixed width, so neither texts nor rendered numbers are shuffled."""
+    cols = list(columns) if columns is not None else list(df.columns)
+    types, position = dict(df.dtypes), {c: i for i, c in enumerate(df.columns)}
+
+    def keys(c):
+        v = qcol(c) + F.lit(0.0).cast(types[c]) if types[c] in ("double", "float") else qcol(c)  # -0.0 is 0.0
+        more = F.lit(0).cast("long") if types[c] in EIGHT_BYTES else F.xxhash64(F.lit("more"), v)
+        return F.struct(F.lit(position[c]).alias("position"), F.when(v.isNotNull(), F.xxhash64(v)).alias("value"), more.alias("more"))
+
+    cells = df.select(F.inline(F.array(*[keys(c) for c in cols])))
+    return cells.groupBy("position", "value", "more").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def full_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Column profile joined with exact distinct counts (both sides have one row per column)."""
     prof = column_profile(df, columns)
-    dc = distinct_counts(frequency_table(df, columns, counting_only=True)).drop("n_rows")
+    dc = distinct_counts(hashed_frequencies(df, columns)).drop("n_rows")
     return (prof.join(F.broadcast(dc), "position", "left")
             .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("long"))
             .withColumn("has_null", F.coalesce("has_null", F.lit(0))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.classes import classify, stats_numeric
-from .profile import column_profile, distinct_counts, frequency_table
+from .profile import column_profile, distinct_counts, hashed_frequencies
 
 
 def high_cardinality_col(n_distinct: Column, has_null: Column, n_rows: Column, threshold: float = 0.95) -> Column:
@@ -48,7 +48,7 @@ def screen_columns(df: DataFrame, target_col: str | None = None, id_threshold: f
     needs_stats = [c for c, _ in classes if by_name[c] is None]
     prof = column_profile(df)
     if needs_stats:
-        dc = distinct_counts(frequency_table(df, needs_stats, counting_only=True)).drop("n_rows")
+        dc = distinct_counts(hashed_frequencies(df, needs_stats)).drop("n_rows")
         prof = prof.join(F.broadcast(dc), "position", "left")
     else:
         prof = prof.withColumn("n_distinct", F.lit(None).cast("long")).withColumn("has_null", F.lit(None).cast("int"))
