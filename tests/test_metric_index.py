@@ -86,3 +86,21 @@ def test_small_and_equal_tables(spark):
     assert {r["kdist"] for r in NB.kth_neighbor_distance(same, 50).collect()} == {0.0}
     two = frame(spark, np.array([[0.0, 0, 0], [3.0, 4.0, 0]]), [1, 2])
     assert {r["kdist"] for r in NB.kth_neighbor_distance(two, 9).collect()} == {5.0}
+
+
+def test_leaves_are_copied_once_a_band_and_not_once_a_pair(spark):
+    x = make("spread", 64, 700)
+    tree = MX.build(frame(spark, x, range(700)), cell=8)
+    join = MX.Join.within(tree, 20.0)  # balls rule nothing out
+    leaves, pairs = tree.leaves.count(), join.pairs.count()
+    assert pairs == leaves ** 2
+    assert MX._dealt(tree, join.pairs, tree.leaves, tree.leaves).count() == 2 * MX.BANDS * leaves < pairs / 4
+    assert join.pairs.columns == ["a", "b"]
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (0.25, 1e7), (1e200, 0.0), (1e-200, 0.0)])
+def test_products_decide_like_the_distance_itself(scale, shift):
+    x = np.random.default_rng(3).integers(-4, 5, (200, 12)) * scale + shift
+    whole = np.sqrt(MX.squared(x, x[:90]))
+    for r in np.quantile(whole, [0.0, 0.01, 0.3, 0.9]):  # distances that points really have
+        assert (MX.close(x, x[:90], float(r)) == (whole <= r)).all()
