@@ -191,9 +191,10 @@ def _enough(size: int) -> tuple[int, int]:
     return (size, 0) if size < SHORT_ITEM else (math.ceil(SURE * size), math.ceil(LIKELY * size))
 
 
-def _stands(hashes: np.ndarray, words: list[int]) -> np.ndarray:
-    """Where the words stand one after the other."""
-    at = np.flatnonzero(hashes[:max(0, len(hashes) - len(words) + 1)] == words[0])
+def _stands(hashes: np.ndarray, words: list[int], starts: np.ndarray | None = None) -> np.ndarray:
+    """Where the words stand one after the other. ``starts``: the places of the first, if they are known."""
+    last = max(0, len(hashes) - len(words) + 1)
+    at = np.flatnonzero(hashes[:last] == words[0]) if starts is None else starts[starts < last]
     for j in range(1, len(words)):
         at = at[hashes[at + j] == words[j]]
     return at
@@ -261,6 +262,10 @@ class Index:
         self.posted = np.concatenate(([0], np.cumsum(many)))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        # the first words of the answers, and which of them each item's answer has
+        self.opening, self.opened = np.unique(np.array([i[3][0] for i in self.items], np.uint64), return_inverse=True)
+        self.opens = np.zeros(1 << 20, bool)
+        self.opens[(self.opening >> np.uint64(44)).astype(np.int64)] = True
 
     def _lay_out(self, first: int, last: int) -> None:
         """``holds``: the weights of the items from ``first`` to ``last``, and no others."""
@@ -272,6 +277,14 @@ class Index:
             self.holds[rows - first, self.features[rows]] = self.weights[self.features[rows]]
         self.held = (first, last)
 
+    def _openings(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where answers may start: places in order of the first words, and the first place of each such word."""
+        at = np.flatnonzero(self.opens[(hashes >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.opening, hashes[at]), len(self.opening) - 1)
+        same = self.opening[place] == hashes[at]
+        at, place = at[same], place[same]
+        return at[np.argsort(place, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(self.opening)))))
+
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text its leaks: (item_id, cosine, lcs, item words, share, answer found)."""
         out: list[list[tuple]] = []
@@ -307,7 +320,7 @@ class Index:
                 laid_out = _laid_out(features, begins[i:i + 2048], ends[i:i + 2048], span)
                 for q, upto_q in self.chunks[scale]:
                     near = vectors[i:i + 2048] @ self.vectors[scale][q:upto_q].T
-                    w, v = np.nonzero(near >= MIN_COSINE)
+                    w, v = np.divmod(np.flatnonzero(near >= MIN_COSINE), near.shape[1])
                     if not len(w):
                         continue
                     items = self.owner[scale][v + q]
@@ -355,14 +368,12 @@ class Index:
             able = np.ones(len(i), bool)
             if likely:  # the answer must be near
                 cuts = np.searchsorted(of, np.arange(len(self.items) + 1))
+                starts, upto = self._openings(hashes)
                 for k in np.unique(of):
                     answer, size = self.items[k][3], len(self.items[k][1])
                     some = slice(cuts[k], cuts[k + 1])
-                    if cuts[k + 1] - cuts[k] <= 16:
-                        for m in range(cuts[k], cuts[k + 1]):
-                            able[m] = len(_stands(hashes[max(0, low[m] - size):high[m] + size], answer)) > 0
-                        continue
-                    stands = _stands(hashes, answer)
+                    first = self.opened[k]
+                    stands = _stands(hashes, answer, starts[upto[first]:upto[first + 1]])
                     able[some] = (np.searchsorted(stands, high[some] + size - len(answer), "right")
                                   > np.searchsorted(stands, low[some] - size))
             for k in np.flatnonzero(able):

@@ -554,3 +554,15 @@ def test_language_sizes_are_those_of_plain_zstandard():
             sizes[name] = sum(len(c.compress(language_id._FILLER + raw[i:i + language_id.CHUNK])) for i in range(0, len(raw), language_id.CHUNK))
         low, high = sorted(sizes.values())
         assert model.classify(text) == (min(sizes, key=sizes.get), (high - low) / high)
+
+
+def test_answers_are_found_by_their_first_words():
+    items = [(1, "aa bb. aa aa"), (2, "cc dd. bb"), (3, "dd ee. aa bb"), (4, "ff gg. hh")]
+    index = decontaminate.Index(np.ones(decontaminate.FEATURES, np.float32), np.ones((decontaminate.FEATURES, 4), np.float32), items)
+    rng = random.Random(4)
+    for size in (1, 2, 500):
+        hashes = decontaminate._hashes([rng.choice([b"aa", b"bb", b"cc", b"xx"]) for _ in range(size)])
+        starts, upto = index._openings(hashes)
+        for (_, _, _, answer), first in zip(index.items, index.opened, strict=True):
+            found = decontaminate._stands(hashes, answer, starts[upto[first]:upto[first + 1]])
+            assert found.tolist() == decontaminate._stands(hashes, answer).tolist()
