@@ -44,6 +44,29 @@ def test_equals_brute_force(spark, kind, monkeypatch):
     assert np.allclose([got[int(i)] for i in ids], want)
 
 
+def test_equal_rows_ask_once_and_give_k_times(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.tile(np.where(rng.random((30, 3)) < 0.25, np.nan, rng.integers(0, 9, (30, 3)).astype(float)), (20, 1))
+    x[np.isnan(x[:, 0]), 1] *= -0.0  # 0.0 and -0.0 are equal
+    ids = rng.permutation(len(x))
+    rows = [(int(i), *[None if np.isnan(v) else float(v) for v in r]) for i, r in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double").repartition(6)
+    seen, nearest = [], MX.nearest
+
+    def spy(tree, queries, k, values):
+        seen.append((queries.groupBy("qid").count().count(), values.groupBy("row_id").count().count()))
+        return nearest(tree, queries, k, values)
+
+    monkeypatch.setattr(MX, "nearest", spy)
+    got = {r["row_id"]: [r["a"], r["b"], r["c"]] for r in knn_impute(df, ["a", "b", "c"], k=3).collect()}
+    want = brute(x, ids, 3)
+    assert np.allclose([got[int(i)] for i in ids], want)
+    assert seen[0][0] <= 30 and seen[0][1] <= 90
+    seen.clear()
+    twice = knn_impute(df.union(df.limit(1)), ["a", "b", "c"], k=3)  # an id that names two rows: each for itself
+    assert twice.count() == 601 and seen[0][0] > 30
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 4.0, None)], "row_id long, a double, b double")
     assert sorted(tuple(r) for r in knn_impute(df, ["a", "b"]).collect()) == [(1, 1.0, None), (2, 2.5, None), (3, 4.0, None)]
