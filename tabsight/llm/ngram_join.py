@@ -112,10 +112,16 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["range", "n"])
         give_back()
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # the driver gets two byte strings a batch, not an object a range
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column("range").to_numpy().astype(np.int32).tobytes()], pa.binary()),
+                 pa.array([batch.column("n").to_numpy().astype(np.int64).tobytes()], pa.binary())], names=["ranges", "ns"])
+
     counted = docs.select(F.col(text)).mapInArrow(count, "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()  # at most 2**MOST_ORDER_BITS rows
     out = np.zeros(1 << bits, np.int64)
-    out[rows["range"].to_numpy()] = rows["n"].to_numpy()
+    for r in counted.mapInArrow(pack, "ranges binary, ns binary").collect():  # at most 12 bytes * 2**MOST_ORDER_BITS
+        out[np.frombuffer(r["ranges"], np.int32)] = np.frombuffer(r["ns"], np.int64)
     return out
 
 
@@ -126,6 +132,7 @@ def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: in
     counts = bucket_counts(docs, text, width)
     order_bits, usual = len(counts).bit_length() - 1, 2 * counts.mean()
     order = docs.sparkSession.sparkContext.broadcast(counts)
+    del counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +157,9 @@ def prefixes(docs: DataFrame, percent: int, id_column: str, text: str, width: in
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>, light int, bins array<int>"), "prefixes")
+    out = stored(rows.mapInArrow(run, f"row long, id {id_type}, n int, sig binary, prefix array<long>, light int, bins array<int>"), "prefixes")
+    order.unpersist()
+    return out
 
 
 def _sets(docs: DataFrame, routes: DataFrame, id_column: str, text: str, width: int) -> DataFrame:

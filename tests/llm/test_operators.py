@@ -224,6 +224,21 @@ def test_jaccard_large_group_and_other_thresholds(spark):
         assert got == jaccard_components(dict(rows), percent)
 
 
+def test_jaccard_order_counts_reach_the_driver_packed(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j) % 997}x{j}" for j in range(40)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, kind = [], type(docs)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    monkeypatch.setattr(kind, "toPandas", lambda self: pytest.fail("a row a range would reach the driver"))
+    found = ngram_join.bucket_counts(docs, "text", 5)
+    want = np.zeros(1 << ngram_join.ORDER_BITS, np.int64)
+    for text in texts:
+        np.add.at(want, ngram_join._ranges(ngram_join.shingles(text), ngram_join.ORDER_BITS), 1)
+    assert (found == want).all() and (want > 0).sum() > 5_000
+    assert sum(len(rows) for rows in seen) <= 50
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     text = "one two three four five six seven eight"
     rows = [(5, text), (5, text), (5, "quite another text with many other words here"), (None, text), (None, None), (9, None), (3, text + " nine")]
