@@ -104,3 +104,22 @@ def test_products_decide_like_the_distance_itself(scale, shift):
     whole = np.sqrt(MX.squared(x, x[:90]))
     for r in np.quantile(whole, [0.0, 0.01, 0.3, 0.9]):  # distances that points really have
         assert (MX.close(x, x[:90], float(r)) == (whole <= r)).all()
+
+
+def test_eps_runs_the_neighbour_join_once(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(90, 5))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    rows, join = spark.sparkContext.accumulator(0), MX.kth_distance
+
+    def counted(tree, k):
+        def run(batches):
+            for b in batches:
+                rows.add(b.num_rows)
+                yield b
+
+        return join(tree, k).mapInArrow(run, "row_id long, kdist double")
+
+    monkeypatch.setattr(MX, "kth_distance", counted)
+    eps, _ = NB.estimate_eps(points, 4)
+    assert rows.value == len(x)
+    assert eps == pytest.approx(np.percentile(np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 3], 90))
